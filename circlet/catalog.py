@@ -1,4 +1,5 @@
 """Registered queries of the sequence engine and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from circlet.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
