@@ -3,7 +3,9 @@
 Two fingerprints within 3 bits meet at a variant: one flips at most one bit, the other at most two. Distance 3
 joins an even with an odd number of set bits, so only odd fingerprints need pairs of flips; and since two of any
 three bits lie in the same half, pairs within a half are enough. An even fingerprint thus emits 65 variants, an
-odd one 65 + 2 * C(32, 2) = 1057, whatever the data. All variants are shuffled; where they collide, every
+odd one 65 + 2 * C(32, 2) = 1057, whatever the data. Flips of two bits leave one half alone, so the shuffle deals
+fingerprints out by halves (each half as it is and with one flip, 66 rows) and the variants are made where they
+meet; halves that very many fingerprints share have their variants dealt out one by one. Where variants collide, every
 fingerprint is linked with the smallest one that reached the variant with at most one flip (members of such a
 group are within 3 bits of it, by parity), each link is verified, and components follow from the links. A variant
 collects at most 2081 fingerprints and groups are linked as stars, so there are no hot keys and no pairs of a group.
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circlet.llm.common import ascii_lower, pieces, staged, utf8
+from circlet.llm.common import ascii_lower, pieces, small, staged, utf8
 from circlet.llm.components import connected_components
 
 #: XXH64, fixed values of the published algorithm.
@@ -127,20 +129,64 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-NEAR = [0] + [signed(1 << i) for i in range(64)]
-FAR = [signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
-
-
-def ball_links(prints: DataFrame) -> DataFrame:
-    """prints(fp: long, distinct) -> links (a, b) within 3 bits; not all pairs, but the same components."""
-
-    def variants(rows: DataFrame, masks: list[int]) -> DataFrame:
-        return rows.select("fp", F.explode(F.lit(masks)).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
-
-    near, far = variants(prints, NEAR), variants(prints.where("bit_count(fp) % 2 = 1"), FAR)
-    centre = near.groupBy("variant").agg(F.min("fp").alias("a"))
-    met = near.union(far).join(centre.hint("shuffle_hash"), "variant").where("fp <> a and bit_count(fp ^ a) <= 3")
-    return met.select("a", F.col("fp").alias("b")).distinct()
+LOW = (1 << 32) - 1
+ONE = [1 << i for i in range(32)]
+TWO = [1 << i | 1 << j for i in range(32) for j in range(i + 1, 32)]
+#: Halves that more distinct fingerprints than this share have their variants dealt out one by one.
+HOT = 50_000
+
+
+def turned(x, side):
+    """A half's flips as flips of a fingerprint: side 1 keeps the low half and flips the high one."""
+    return F.when(side == 1, F.shiftleft(x, 32)).otherwise(x)
+
+
+def seeds(prints: DataFrame) -> DataFrame:
+    """(side, half, fp): each fingerprint under either half, as it is and with one bit of that half flipped."""
+    sides = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    own = F.when(F.col("side") == 1, F.col("fp").bitwiseAND(F.lit(LOW))).otherwise(F.shiftrightunsigned("fp", 32))
+    return sides.select("side", "fp", own.alias("own")).select("side", F.explode(F.transform(F.lit([0, *ONE]).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("own")))).alias("half"), "fp")
+
+
+def variants(rows: DataFrame, near: bool) -> DataFrame:
+    """seeds -> (side, half, variant, fp). near: variants of one flip at most; else those of any number of flips.
+
+    Under its own half a fingerprint is itself or has one bit of the other half flipped, and if it is odd, two; under
+    a half with a flip it has no other.
+    """
+    side, half, fp = F.col("side"), F.col("half"), F.col("fp")
+    own = F.when(side == 1, fp.bitwiseAND(F.lit(LOW))).otherwise(F.shiftrightunsigned(fp, 32)) == half
+    here = F.when(side == 1, fp.bitwiseAND(F.lit(~LOW)).bitwiseOR(half)).otherwise(fp.bitwiseAND(F.lit(LOW)).bitwiseOR(F.shiftleft(half, 32)))
+    one, two, none = (F.lit(x).cast("array<bigint>") for x in ([0, *ONE], [0, *ONE, *TWO], [0]))
+    masks = F.when(~own, none).when(F.lit(near) | (F.bit_count(fp) % 2 == 0), one).otherwise(two)
+    return rows.select("side", "half", "fp", here.alias("here"), F.explode(masks).alias("m")).select("side", "half", F.col("here").bitwiseXOR(turned(F.col("m"), side)).alias("variant"), "fp")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of seeds whose variants collide; if the seeds are dealt out by half, no more rows move."""
+    keys = ["side", "half", "variant"]
+    centre = variants(rows, near=True).groupBy(*keys).agg(F.min("fp").alias("a"))
+    pairs = variants(rows, near=False).join(centre.hint("shuffle_hash"), keys)
+    return pairs.where("fp <> a and bit_count(fp ^ a) <= 3").select("a", F.col("fp").alias("b"))
+
+
+def ball_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """prints(fp: long, distinct) -> staged links (a, b) within 3 bits; not all pairs, but the same components."""
+    spark = prints.sparkSession
+    rows = seeds(prints)
+    own = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(F.lit(LOW)).alias("half")))).alias("s")).select("s.*")
+    crowded = own.groupBy("side", "half").count().where(F.col("count") > hot)
+    crowded = small(crowded.select("side", F.explode(F.transform(F.lit([0, *ONE]).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("half")))).alias("half")).distinct())
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        links = staged(met(rows.join(crowded, ["side", "half"], "left_anti").repartition("side", "half")).distinct())
+    finally:
+        spark.conf.set(key, before)
+    if crowded.count():
+        links = staged(links.union(met(rows.join(crowded, ["side", "half"], "left_semi"))).distinct())
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
