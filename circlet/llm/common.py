@@ -43,6 +43,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, hinted for broadcast only if its counted rows are within the bound; a plain join serves beyond."""
     df = staged(df)
@@ -60,7 +69,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 22):
+def pieces(offsets: np.ndarray, limit: int = 1 << 19):
     """Ranges of whole rows of about `limit` bytes (one row, if it alone is longer)."""
     first = 0
     while first < len(offsets) - 1:

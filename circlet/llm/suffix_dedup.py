@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circlet.llm.common import pieces, staged, utf8
+from circlet.llm.common import discard, pieces, small, staged, utf8
 
 LENGTH, GRAM = 50, 20
 HOT = 4000
@@ -86,6 +86,7 @@ def grams(rows: DataFrame) -> DataFrame:
 
 def contexts(rows: DataFrame) -> DataFrame:
     """rows(d, t, text, gs) -> (g, d, t, a, off, c): per anchor whose gram is in gs, the text c from byte a that its windows cover."""
+    spread = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches):
         for batch in batches:
@@ -96,9 +97,9 @@ def contexts(rows: DataFrame) -> DataFrame:
                 own = data[offsets[a] : offsets[b]]
                 row, first, last, place, g = anchors(own, offsets[a : b + 1] - offsets[a])
                 wanted = sets.slice(a, b - a)
-                of = np.repeat(np.arange(b - a), np.array([len(x) for x in wanted], np.int64))
-                pairs = pd.MultiIndex.from_arrays([of, wanted.flatten().to_numpy()])
-                keep = pd.MultiIndex.from_arrays([row, g.view(np.int64)]).isin(pairs)
+                of = np.repeat(np.arange(b - a), wanted.value_lengths().to_numpy())
+                # A pair that collides with a wanted one adds a context without a match, no more.
+                keep = np.isin(g ^ (row.astype(np.uint64) * spread), wanted.flatten().to_numpy().view(np.uint64) ^ (of.astype(np.uint64) * spread))
                 row, first, last, place, g = (x[keep] for x in (row, first, last, place, g))
                 whole = own.tobytes()
                 text = pa.array([whole[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist())], pa.binary())
@@ -107,14 +108,20 @@ def contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "g long, d long, t long, a long, off int, c binary")
 
 
-def suffix_ranks(text: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Ranks of the prefixes of 1, 2, 4, ... symbols at every place, by doubling; past the end stands the smallest symbol."""
-    ranks = [text.astype(np.int64)]
-    for level in range(1, levels):
-        half, n = 1 << (level - 1), len(text)
+def suffix_ranks(text: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of the prefixes of 1, 2, 4, ... bytes at every place, up to the last power of 2 within `longest` (8 at least).
+
+    Up to 8 bytes a prefix is its own rank, as a number; beyond, ranks are doubled. Past the end stand zeros.
+    """
+    n, padded = len(text), np.concatenate([text, np.zeros(8, np.uint8)])
+    ranks = [np.ndarray((n,), f">u{size}", padded, strides=(1,)) for size in (1, 2, 4)]
+    ranks.append(np.unique(np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64), return_inverse=True)[1])
+    half = 8
+    while 2 * half <= longest:
         right = np.zeros(n, np.int64)
         right[: max(0, n - half)] = ranks[-1][half:]
         ranks.append(np.unique(ranks[-1] * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1])
+        half *= 2
     return ranks
 
 
@@ -153,12 +160,12 @@ def tree(pdf: pd.DataFrame, least: int = LENGTH) -> tuple[np.ndarray, ...]:
     c = pdf["c"].tolist()
     size = np.array([len(x) for x in c], np.int64)
     base = np.cumsum(size + 1) - (size + 1)
-    text = np.zeros(int((size + 1).sum()), np.int64)
+    text = np.zeros(int((size + 1).sum()), np.uint8)
     mark = np.ones(len(text), bool)
     mark[base + size] = False
-    text[mark] = np.frombuffer(b"".join(c), np.uint8).astype(np.int64) + 1
+    text[mark] = np.frombuffer(b"".join(c), np.uint8)
     longest = int(size.max(initial=1))
-    ranks = suffix_ranks(text, max(2, int(longest).bit_length()))
+    ranks = suffix_ranks(text, longest)
     windows = np.maximum(size - least + 1, 0)
     of = np.repeat(np.arange(len(c)), windows)
     start = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -175,7 +182,7 @@ def tree(pdf: pd.DataFrame, least: int = LENGTH) -> tuple[np.ndarray, ...]:
     rest = size[of] - start
     if len(sa):
         lcp[1:] = np.where(g[1:] == g[:-1], np.minimum(lcp[1:], np.minimum(rest[1:], rest[:-1])), 0)
-    before = np.where(start > 0, text[np.maximum(sa - 1, 0)], -1)
+    before = np.where(start > 0, text[np.maximum(sa - 1, 0)].astype(np.int64), -1)
     found = np.array(maximal_repeats(sa, lcp, before, least), np.int64).reshape(-1, 3)
     count = found[:, 1] - found[:, 0]
     number = np.repeat(np.arange(len(found)), count + 1)
@@ -184,7 +191,16 @@ def tree(pdf: pd.DataFrame, least: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 
 def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Classes (g, k, off, c, m) of whole grams -> runs of windows (lo, hi) with the smallest document that has them."""
+    """Classes (g, k, c, m, most) of whole grams -> runs of windows (lo, hi) with the smallest document m that has them.
+
+    A gram's only class keeps its own smallest document throughout. Runs that no document of the class can lose are left out.
+    """
+    many = pdf["g"].duplicated(keep=False)
+    single = pdf[~many & (pdf["m"] < pdf["most"])]
+    single = pd.DataFrame({"g": single["g"], "k": single["k"], "lo": 0, "hi": single["c"].str.len() - LENGTH, "m": single["m"]})
+    pdf = pdf[many]
+    if not len(pdf):
+        return single
     number, of, start, length = tree(pdf)
     m = pdf["m"].to_numpy()
     size = pdf["c"].str.len().to_numpy(np.int64) - LENGTH + 1
@@ -199,23 +215,26 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
     own = np.repeat(np.arange(len(m)), size)
     change = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(smallest, prepend=-1) != 0))
     last = np.append(change[1:], len(own)) - 1
+    change, last = (x[smallest[change] < pdf["most"].to_numpy()[own[change]]] for x in (change, last))
     at = own[change]
-    return pd.DataFrame({"g": pdf["g"].to_numpy()[at], "k": pdf["k"].to_numpy()[at], "lo": change - base[at], "hi": last - base[at], "m": smallest[change], "most": pdf["most"].to_numpy()[at]})
+    runs = pd.DataFrame({"g": pdf["g"].to_numpy()[at], "k": pdf["k"].to_numpy()[at], "lo": change - base[at], "hi": last - base[at], "m": smallest[change]})
+    return pd.concat([single, runs])
 
 
 def found_contexts(rows: DataFrame) -> DataFrame:
-    """Steps 1 and 2: the staged contexts of grams that two or more documents have."""
+    """Steps 1 and 2: the staged contexts (g, k, d, t, a, c) of grams that two or more documents have; k: hash of the context."""
     shared = grams(rows).groupBy("g").agg(F.min("d").alias("one"), F.max("d").alias("two")).where("one < two").select("g")
     shared = staged(shared)
-    hits = staged(grams(rows).join(shared, "g", "left_semi").groupBy("d", "t").agg(F.collect_set("g").alias("gs")))
-    return staged(contexts(rows.join(hits, ["d", "t"])))
+    hits = staged(grams(rows).join(shared.hint("shuffle_hash"), "g", "left_semi").groupBy("d", "t").agg(F.collect_list("g").alias("gs")))
+    discard(shared)
+    found = staged(contexts(rows.join(hits, ["d", "t"])).select("g", F.xxhash64("c", "off").alias("k"), "d", "t", "a", "off", "c"))
+    discard(hits)
+    return found
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """Equal contexts of a gram: (g, k, off, c, m, most, n) with smallest and largest document and the gram's number of classes."""
-    each = found.groupBy("g", "off", "c").agg(F.min("d").alias("m"), F.max("d").alias("most")).withColumn("k", F.xxhash64("c", "off"))
-    each = staged(each)
-    return each.join(each.groupBy("g").agg(F.count("*").alias("n")), "g")
+    """Equal contexts of a gram: (g, k, c, m, most) with their smallest and largest document."""
+    return staged(found.groupBy("g", "off", "c").agg(F.min("d").alias("m"), F.max("d").alias("most")).select("g", F.xxhash64("c", "off").alias("k"), "c", "m", "most"))
 
 
 def in_buckets(each: DataFrame) -> DataFrame:
@@ -225,23 +244,29 @@ def in_buckets(each: DataFrame) -> DataFrame:
 
 def removable(found: DataFrame, hot: int = HOT) -> DataFrame:
     """Step 3: (g, k, lo, hi, m): windows lo to hi of a class, whose smallest document m isn't the class's only one."""
-    each = staged(classes(found))
-    shape = "g long, k long, lo long, hi long, m long, most long"
-    alone = each.where("n = 1").select("g", "k", F.lit(0).cast("long").alias("lo"), (F.length("c") - LENGTH).cast("long").alias("hi"), "m", "most")
-    trees = in_buckets(each.where(F.col("n").between(2, hot))).groupBy("bucket").applyInPandas(lambda key, pdf: settle(pdf), shape)
-    wide = each.where(F.col("n") > hot).select("g", "k", "m", "most", "c", F.explode(F.sequence(F.lit(0), F.length("c") - LENGTH)).alias("w")).withColumn("string", F.substring("c", F.col("w") + 1, F.lit(LENGTH))).drop("c")
-    best = wide.groupBy("g", "string").agg(F.min("m").alias("best"))
-    windows = wide.join(best, ["g", "string"]).select("g", "k", F.col("w").cast("long").alias("lo"), F.col("w").cast("long").alias("hi"), F.col("best").alias("m"), "most")
-    return staged(alone.union(trees).union(windows).where("m < most").drop("most"))
+    each = classes(found)
+    crowded = small(each.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("g"))
+    cold = each.join(crowded, "g", "left_anti")
+    runs = in_buckets(cold).groupBy("bucket").applyInPandas(lambda key, pdf: settle(pdf), "g long, k long, lo long, hi long, m long")
+    if crowded.count():
+        wide = each.join(crowded, "g", "left_semi").select("g", "k", "m", "most", "c", F.explode(F.sequence(F.lit(0), F.length("c") - LENGTH)).alias("w")).withColumn("string", F.substring("c", F.col("w") + 1, F.lit(LENGTH))).drop("c")
+        best = wide.groupBy("g", "string").agg(F.min("m").alias("best"))
+        windows = wide.join(best, ["g", "string"]).where("best < most")
+        runs = runs.union(windows.select("g", "k", F.col("w").cast("long").alias("lo"), F.col("w").cast("long").alias("hi"), F.col("best").alias("m")))
+    runs = staged(runs)
+    discard(each)
+    return runs
 
 
 def spans(docs_keyed: DataFrame, hot: int = HOT) -> DataFrame:
     """(d, t, spans): per document with removed bytes, its removed ranges (a, z), which may overlap."""
     found = found_contexts(docs_keyed)
-    members = found.select("g", "d", "t", "a", F.xxhash64("c", "off").alias("k"))
+    members = found.select("g", "k", "d", "t", "a")
     cut = members.join(removable(found, hot), ["g", "k"]).where("m < d")
     ranges = cut.select("d", "t", F.struct((F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi") + LENGTH).alias("z")).alias("s"))
-    return staged(ranges.groupBy("d", "t").agg(F.collect_list("s").alias("spans")))
+    out = staged(ranges.groupBy("d", "t").agg(F.collect_list("s").alias("spans")))
+    discard(found)
+    return out
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -252,19 +277,20 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"g": pdf["g"].to_numpy()[of], "k": pdf["k"].to_numpy()[of], "number": number, "start": start, "length": length, "bucket": key[0]})
 
     found = found_contexts(keyed(docs))
-    groups = in_buckets(staged(classes(found))).groupBy("bucket").applyInPandas(run, "g long, k long, number long, start long, length long, bucket long")
-    members = found.select("g", F.xxhash64("c", "off").alias("k"), "d", "a")
+    groups = in_buckets(classes(found)).groupBy("bucket").applyInPandas(run, "g long, k long, number long, start long, length long, bucket long")
+    members = found.select("g", "k", "d", "a")
     out = groups.join(members, ["g", "k"])
     return out.select(F.xxhash64("bucket", "number").alias("repeat"), "length", F.when(F.col("d") < LAST, F.col("d")).alias("doc_id"), (F.col("a") + F.col("start")).alias("start"))
 
 
-def removed(n: int, ranges) -> np.ndarray:
-    """True at the bytes that go."""
-    edge = np.zeros(n + 1, np.int64)
-    if ranges is not None and len(ranges):
-        np.add.at(edge, [r["a"] for r in ranges], 1)
-        np.add.at(edge, [r["z"] for r in ranges], -1)
-    return np.cumsum(edge)[:n] > 0
+def removed(offsets: np.ndarray, ranges: pa.ListArray) -> np.ndarray:
+    """True at the bytes that go, over rows laid end to end; ranges: each row's list of (a, z), null for none."""
+    edge = np.zeros(int(offsets[-1]) + 1, np.int64)
+    base = np.repeat(offsets[:-1], ranges.value_lengths().fill_null(0).to_numpy())
+    flat = ranges.flatten()
+    for name, step in (("a", 1), ("z", -1)):
+        edge += step * np.bincount(base + flat.field(name).to_numpy(), minlength=len(edge))
+    return np.cumsum(edge)[:-1] > 0
 
 
 def with_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -281,15 +307,16 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            out: list[list] = [[], [], [], []]
-            for i, ranges in enumerate(batch.column("_sx_spans").to_pylist()):
-                own = data[offsets[i] : offsets[i + 1]]
-                gone = removed(len(own), ranges)
-                out[0].append(len(own))
-                out[1].append(int(gone.sum()))
-                out[2].append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                out[3].append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ranges = batch.column("_sx_spans")
+            for i, j in pieces(offsets, 1 << 22):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                gone = removed(at, ranges.slice(i, j - i))
+                begins = np.diff(gone.astype(np.int8), prepend=0) == 1
+                begins[at[:-1][at[:-1] < len(own)]] = gone[at[:-1][at[:-1] < len(own)]]
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[at]) for x in (gone, begins)]
+                kept, left = own[~gone].tobytes(), at - np.concatenate([[0], np.cumsum(gone)])[at]
+                digest = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(left[:-1].tolist(), left[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_spans(narrow, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -298,16 +325,12 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes cut from text (characters that lose a byte go whole) and n_chars set anew, if there."""
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        out = []
-        for one, own in zip(text, ranges):
-            if one is None or own is None or not len(own):
-                out.append(one)
-                continue
-            data = np.frombuffer(one.encode("utf-8", "surrogatepass"), np.uint8)
-            out.append(data[~removed(len(data), own)].tobytes().decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        data, offsets = utf8(text)
+        gone = removed(offsets, ranges)
+        left, whole = offsets - np.concatenate([[0], np.cumsum(gone)])[offsets], data[~gone].tobytes()
+        return pa.array([None if null else whole[x:y].decode("utf-8", "ignore") for null, x, y in zip(text.is_null().to_pylist(), left[:-1].tolist(), left[1:].tolist())], pa.string())
 
     out = with_spans(docs).withColumn("text", kept("text", "_sx_spans")).drop("_sx_spans")
     if "n_chars" in docs.columns:
