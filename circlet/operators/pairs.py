@@ -98,37 +98,41 @@ def three_break(edges: DataFrame) -> DataFrame:
     return rows.withColumn("transposition", F.when(F.col("m") <= 1, F.lit(0)).otherwise(F.ceil((F.col("m") - F.col("shared_adj")) / 2)).cast("long"))
 
 
-def components_of(a: np.ndarray, b: np.ndarray) -> int:
-    """Connected components of an edge list, by union and find over one pair's tokens."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left = len(names)
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[x], left = y, left - 1
-    return left
-
-
-def two_break(edges: DataFrame) -> DataFrame:
+def component_counts(pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components of each pair's edge list (pair numbers from 0), by minimum labels with pointer jumping over all pairs at once."""
+    ends = pd.factorize(pd.MultiIndex.from_arrays([np.concatenate([pair, pair]), np.concatenate([a, b])]))[0]
+    x, y = ends[: len(pair)], ends[len(pair) :]
+    label = np.arange(int(ends.max()) + 1)
+    while True:
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, label[x], low)
+        np.minimum.at(after, label[y], low)
+        while (deeper := after[after]).tolist() != after.tolist():
+            after = deeper
+        if (after == label).all():
+            break
+        label = after
+    of = np.zeros(len(label), np.int64)
+    of[x] = pair
+    return np.bincount(of[label == np.arange(len(label))], minlength=int(pair.max()) + 1)
+
+
+def two_break(edges: DataFrame, together: int = 256) -> DataFrame:
     """(u, v, m, components, reversal): m less the components of both circles' adjacencies taken together; 0 for m <= 1.
 
-    A group is one pair, at most four token ends per common token.
+    A group is an entity with at most `together` consecutive others.
     """
 
     def count(key, pdf):
-        n = components_of(pdf["a"].to_numpy(str), pdf["b"].to_numpy(str))
-        m = int(pdf["m"].iloc[0])
-        return pd.DataFrame({"u": [key[0]], "v": [key[1]], "m": [m], "components": [n], "reversal": [m - n if m > 1 else 0]})
-
-    return edges.groupBy("u", "v").applyInPandas(count, "u long, v long, m long, components long, reversal long")
+        v, pair = np.unique(pdf["v"].to_numpy(), return_inverse=True)
+        n = component_counts(pair, pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        m = np.zeros(len(v), np.int64)
+        m[pair] = pdf["m"].to_numpy()
+        return pd.DataFrame({"u": pdf["u"].iloc[0], "v": v, "m": m, "components": n, "reversal": np.where(m > 1, m - n, 0)})
+
+    blocks = edges.withColumn("block", F.floor(F.col("v") / together))
+    return blocks.groupBy("u", "block").applyInPandas(count, "u long, v long, m long, components long, reversal long")
 
 
 def pair_components(seq: DataFrame, kept: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ HIT_DROPPED = ("Protein identifier", "HMM id", "HMM description")
 
 def lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, n, line) of every file below path whose name fits the pattern; a file's lines keep their order within it."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = whole.select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("ls"))
     return named.select("file", F.posexplode("ls").alias("n", "line"))
 
