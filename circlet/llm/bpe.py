@@ -31,7 +31,7 @@ CHUNK_BITS = 11
 SPAN = 16
 #: A boundary this many bytes before an end does not depend on what follows (white space looks 1 ahead, contractions 2).
 MARGIN = 8
-KEPT_BYTES = 64_000_000
+KEPT_BYTES = 24_000_000
 #: Fixed value: the pattern that byte-level vocabularies of this kind split texts by.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on which no two regex engines differ, in words and gaps of fewer than 400.

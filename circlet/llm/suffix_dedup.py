@@ -308,7 +308,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ranges = batch.column("_sx_spans")
-            for i, j in pieces(offsets, 1 << 22):
+            for i, j in pieces(offsets, 1 << 20):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 gone = removed(at, ranges.slice(i, j - i))
                 begins = np.diff(gone.astype(np.int8), prepend=0) == 1
@@ -328,9 +328,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def kept(text: pa.Array, ranges: pa.Array) -> pa.Array:
         data, offsets = utf8(text)
-        gone = removed(offsets, ranges)
-        left, whole = offsets - np.concatenate([[0], np.cumsum(gone)])[offsets], data[~gone].tobytes()
-        return pa.array([None if null else whole[x:y].decode("utf-8", "ignore") for null, x, y in zip(text.is_null().to_pylist(), left[:-1].tolist(), left[1:].tolist())], pa.string())
+        null, out = text.is_null().to_pylist(), []
+        for i, j in pieces(offsets, 1 << 20):
+            at = offsets[i : j + 1] - offsets[i]
+            gone = removed(at, ranges.slice(i, j - i))
+            left, whole = at - np.concatenate([[0], np.cumsum(gone)])[at], data[offsets[i] : offsets[j]][~gone].tobytes()
+            out += [None if null[i + n] else whole[x:y].decode("utf-8", "ignore") for n, (x, y) in enumerate(zip(left[:-1].tolist(), left[1:].tolist()))]
+        return pa.array(out, pa.string())
 
     out = with_spans(docs).withColumn("text", kept("text", "_sx_spans")).drop("_sx_spans")
     if "n_chars" in docs.columns:
