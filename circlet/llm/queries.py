@@ -73,4 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe_digests,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: op2: every byte's 50-byte string as hex (cut by way of 512-byte blocks), its first document, and what later ones lose.
+OP2_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+ k AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 1122) AS x FROM (SELECT *, unnest(range(0, n, 512)) AS o FROM d)),
+ b AS (SELECT doc_id, o + i AS p, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(512, n - o))) AS i FROM k)),
+ f AS (SELECT s, min(doc_id) AS least FROM b WHERE length(s) = 100 GROUP BY 1 HAVING count(*) > 1),
+ c AS (SELECT b.doc_id, b.p, left(b.s, 2) AS x, max(CASE WHEN f.least < b.doc_id THEN b.p END) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS 49 PRECEDING) IS NOT NULL AS gone FROM b LEFT JOIN f ON f.s = b.s),
+ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+ r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY 1)
+ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
+OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL}

@@ -345,3 +345,17 @@ def test_empty_pipeline_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_oracle(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for view in ("documents", "embeddings"):
+        con.execute(f"create view {view} as select * from '{folder}/{view}.parquet'")
+    theirs = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in theirs.description]
+    assert sorted(theirs.fetchall()) == sorted(map(tuple, queries.QUERIES[name](spark, folder).select(*columns).collect()))
