@@ -154,11 +154,15 @@ def totals(pairs: DataFrame) -> DataFrame:
 
 
 def affinity(pairs: DataFrame, weights: DataFrame, factor: float = 1.1) -> DataFrame:
-    """(u, v, d, d_norm): weighted sum, plus factor * largest sum * Jaccard distance where there was recombination; d_norm: by the largest."""
+    """(u, v, d, d_norm): weighted sum of all components but recombination; where there was recombination, factor * largest sum * Jaccard distance more.
+
+    d_norm: by the largest d.
+    """
     one = weights.groupBy().pivot("component", list(COMPONENTS)).agg(F.first("weight"))
     one = one.select(*[F.coalesce(c, F.lit(0.0)).alias(f"w_{c}") for c in COMPONENTS])
     rows = pairs.join(F.broadcast(one))  # one row
-    rows = rows.withColumn("base", sum((F.col(c) * F.col(f"w_{c}") for c in COMPONENTS[1:]), F.col("mutation") * F.col("w_mutation")))
+    counted = [F.col(c) * F.col(f"w_{c}") for c in COMPONENTS if c != "recombination"]
+    rows = rows.withColumn("base", sum(counted[1:], counted[0]))
     most = rows.agg(F.max("base").alias("most"))
     rows = rows.join(F.broadcast(most))  # one row
     rows = rows.withColumn("d", F.col("base") + F.when(F.col("recombination") > 0, factor * F.col("most") * F.col("jaccard_distance")).otherwise(F.lit(0.0)))
