@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from circlet.functions.lineage import cut
+from circlet.operators import stats
+
 
 def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size) of a dense distance matrix; new clusters are numbered from n on."""
@@ -101,9 +104,9 @@ def flow_of(similarities: DataFrame) -> DataFrame:
 
 def markov_clusters(similarities: DataFrame, inflation: float = 2.0, rounds: int = 100) -> DataFrame:
     """(node, cluster): the smallest attractor that a node's flow ends in."""
-    flow, mark = flow_of(similarities).checkpoint(), None
+    flow, mark = cut(flow_of(similarities)), None
     for _ in range(rounds):
-        flow = markov_step(flow, inflation).checkpoint()
+        flow = cut(markov_step(flow, inflation))
         now = flow.agg(F.count("*"), F.round(F.sum(F.col("p") * F.col("p")), 9)).first()
         if now == mark:
             break
@@ -121,6 +124,51 @@ def nearest_cluster(pairs: DataFrame, members: DataFrame, fewer_than: int) -> Da
     return best.select("cluster", (-F.col("b.t")).alias("target"), F.col("b.similarity").alias("similarity"))
 
 
+def moved(members: DataFrame, best: DataFrame) -> DataFrame | None:
+    """members(node, cluster) after clusters went over to their target in best(cluster, target); None if there is none.
+
+    A cluster whose target moves too waits for the next round; of two that want each other the larger number moves,
+    and where all wait, the largest does.
+    """
+    best = cut(best.select("cluster", "target"))
+    back = best.select(F.col("cluster").alias("target"), F.col("target").alias("back"))
+    now = cut(best.join(back, "target", "left").where("back is null or (back = cluster and cluster > target)").select("cluster", "target"))
+    if not now.count():
+        now = best.orderBy(F.desc("cluster")).limit(1)
+        if not best.count():
+            return None
+    return cut(members.join(now, "cluster", "left").select("node", F.coalesce("target", "cluster").alias("cluster")))
+
+
+def absorb_small(pairs: DataFrame, members: DataFrame, fewer_than: int, above: float = 0.0, rounds: int = 20) -> DataFrame:
+    """(node, cluster): clusters of fewer members join that of their most similar outside node, if above the similarity; repeated.
+
+    Those that find none stay as they are.
+    """
+    close = pairs.where(F.col("similarity") > above)
+    for _ in range(rounds):
+        after = moved(members, nearest_cluster(close, members, fewer_than))
+        if after is None:
+            break
+        members = after
+    return members.select("node", "cluster")
+
+
+def core_aggregate(rows: DataFrame, members: DataFrame, fewer_than: int, more_than: int, fraction: float = 0.7, rounds: int = 20) -> DataFrame:
+    """rows(node, token), members(node, cluster) -> (node, cluster): clusters of fewer members join the one with which they
+    share most core tokens, if more than `more_than`, ties to the smaller; at most `rounds` times. The target's name stays."""
+    for _ in range(rounds):
+        core = stats.core_tokens(rows.join(members, "node").select(F.col("cluster").alias("grp"), F.col("node").alias("entity"), "token"), fraction)
+        size = members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") < fewer_than)
+        shared = stats.core_overlap(core).where(F.col("n_shared") > more_than).select(F.col("g1").alias("cluster"), F.col("g2").alias("target"), "n_shared")
+        best = shared.join(size, "cluster").groupBy("cluster").agg((-F.max(F.struct("n_shared", (-F.col("target")).alias("t")))["t"]).alias("target"))
+        after = moved(members, best)
+        if after is None:
+            break
+        members = after
+    return members.select("node", "cluster")
+
+
 def drop_isolates(members: DataFrame) -> DataFrame:
     """(node, cluster) of clusters of more than one, numbered anew from 0 in the order of their old numbers."""
     kept = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")

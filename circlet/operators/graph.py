@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from circlet.functions.lineage import cut
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, degree): distinct neighbours, a loop counting twice."""
@@ -33,23 +35,35 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A round joins edges with one row per node; labels are written to the checkpoint folder after each.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    labels = cut(nodes.select("node", F.col("node").alias("component")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(seen, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("c"))
         jump = step.join(step.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", F.least("c", "cc").alias("component"))
-        after = jump.checkpoint()
+        after = cut(jump)
         if after.agg(F.sum("component")).first() == labels.agg(F.sum("component")).first():
             return after
         labels = after
 
 
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """labels(node, component) -> (size, n): how many components have a size."""
+    return labels.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+def union_nodes(seq: DataFrame) -> DataFrame:
+    """(token, n_entities, n_copies, n_forward): the nodes of the union of all circles."""
+    each = seq.groupBy("token", "entity").agg(F.count("*").alias("c"), F.sum((F.col("strand") > 0).cast("long")).alias("f"))
+    return each.groupBy("token").agg(F.count("*").alias("n_entities"), F.sum("c").alias("n_copies"), F.sum("f").alias("n_forward"))
+
+
+def annotation_counts(members: DataFrame, annotations: DataFrame) -> DataFrame:
+    """members(node, community), annotations(node, annotation) -> (community, annotation, n)."""
+    each = annotations.groupBy("node", "annotation").agg(F.count("*").alias("c"))
+    return each.join(members, "node").groupBy("community", "annotation").agg(F.sum("c").alias("n"))
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """edges(u, v, undirected, once each), groups(node, grp) -> (m, q): the modularity of the grouping."""
     g = groups.select("node", "grp")

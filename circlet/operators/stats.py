@@ -32,6 +32,20 @@ def cooccurrence(rows: DataFrame, entity: str, label: str) -> DataFrame:
     return pairs.where("a <> b or k = 1").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def first_two(rows: DataFrame, region: str, name: str) -> DataFrame:
+    """(a, b, n): of every region with several names, the two smallest, counted both ways round."""
+    names = rows.select(F.col(region).alias("r"), F.col(name).alias("s")).distinct()
+    one = names.groupBy("r").agg(F.min("s").alias("a"))
+    two = names.join(one, "r").where("s > a").groupBy("r", "a").agg(F.min("s").alias("b"))
+    return two.select("a", "b").union(two.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def class_of(rows: DataFrame, classes: DataFrame, none: str = "None") -> DataFrame:
+    """rows(annotation, ...) with cls: the smallest class of the annotation in classes(annotation, cls), else `none`."""
+    least = classes.groupBy("annotation").agg(F.min("cls").alias("cls"))
+    return rows.join(least, "annotation", "left").withColumn("cls", F.coalesce("cls", F.lit(none)))
+
+
 def multiple(rows: DataFrame, entity: str, label: str) -> DataFrame:
     """(n_multiple, n_all, percent): entities with more than one label."""
     each = rows.groupBy(entity).agg(F.count_distinct(label).alias("k"))

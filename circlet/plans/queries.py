@@ -150,7 +150,18 @@ def three_break(spark, d):
     return pairs.three_break(pairs.restricted_adjacencies(key_sets(spark, d)))
 
 
-@query()
+#: Components of both circles' adjacencies: labels walk along edges, but not past a smaller end.
+TWO = """, tw AS (SELECT DISTINCT u, v, x, y FROM (SELECT u, v, a AS x, b AS y FROM ad UNION ALL SELECT u, v, b, a FROM ad)),
+ wk AS (SELECT DISTINCT u, v, x AS node, x AS label FROM tw UNION SELECT tw.u, tw.v, tw.y, wk.label FROM wk JOIN tw ON tw.u = wk.u AND tw.v = wk.v AND tw.x = wk.node WHERE wk.label < tw.y),
+ cc AS (SELECT u, v, count(*) FILTER (low = node) AS components FROM (SELECT u, v, node, min(label) AS low FROM wk GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ rb AS (SELECT u, v, m, components, CASE WHEN m > 1 THEN m - components ELSE 0 END AS reversal FROM cc JOIN pr USING (u, v))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(ADJ + TWO) + " SELECT * FROM rb")
 def two_break(spark, d):
     return pairs.two_break(pairs.restricted_adjacencies(key_sets(spark, d)))
 
@@ -159,9 +170,15 @@ def components_table(spark, d):
     return pairs.pair_components(key_circles(spark, d), key_sets(spark, d))
 
 
-@query()
+TABLE = recursive(DUPLICATES + ADJ.removeprefix(COMMON) + THREE + TWO) + """, z AS (SELECT entity, count(*) AS n FROM f GROUP BY 1),
+ ki AS (SELECT u, v, count(*) FILTER (length < 2752) AS mobile, count(*) FILTER (length >= 2752) AS recombination FROM bl GROUP BY 1, 2),
+ pc AS MATERIALIZED (SELECT pr.u, pr.v, 0::BIGINT AS mutation, coalesce(mobile, 0) AS mobile, coalesce(recombination, 0) AS recombination, rb.reversal, CASE WHEN tb.m <= 1 THEN 0 ELSE ceil((tb.m - shared_adj) / 2)::BIGINT END AS transposition, coalesce(duplicate, 0) AS duplicate, 1 - pr.m / (a.n + b.n - pr.m) AS jaccard_distance
+ FROM pr JOIN z a ON a.entity = pr.u JOIN z b ON b.entity = pr.v JOIN rb ON rb.u = pr.u AND rb.v = pr.v JOIN tb ON tb.u = pr.u AND tb.v = pr.v LEFT JOIN ki ON ki.u = pr.u AND ki.v = pr.v LEFT JOIN dd ON dd.u = pr.u AND dd.v = pr.v)"""
+
+
+@query(TABLE + " SELECT * REPLACE (round(jaccard_distance, 9) AS jaccard_distance) FROM pc")
 def pair_components(spark, d):
-    return components_table(spark, d)
+    return components_table(spark, d).withColumn("jaccard_distance", F.round("jaccard_distance", 9))
 
 
 @query(BLOCKS + " SELECT CASE WHEN length < 2752 THEN 'mobile' ELSE 'recombination' END AS component, count(*)::DOUBLE AS total, round(100.0 * count(*) / (SELECT count(*) FROM bl), 6) AS frequency FROM bl GROUP BY 1")
@@ -171,15 +188,18 @@ def indel_weights(spark, d):
     return pairs.totals(rest).where("total > 0").select("component", "total", F.round("frequency", 6).alias("frequency"))
 
 
-@query()
+WEIGHTS = TABLE + ", tt AS (" + " UNION ALL ".join(f"SELECT '{c}' AS component, sum({c})::DOUBLE AS total FROM pc" for c in pairs.COMPONENTS) + "), wt AS (SELECT component, total, CASE WHEN total > 0 THEN sum(total) OVER () / total ELSE 0 END AS weight, 100 * total / sum(total) OVER () AS frequency FROM tt)"
+
+
+@query(WEIGHTS + " SELECT component, total, round(weight, 6) AS weight, round(frequency, 6) AS frequency FROM wt")
 def component_weights(spark, d):
-    return pairs.totals(components_table(spark, d))
+    return pairs.totals(components_table(spark, d)).withColumns({c: F.round(c, 6) for c in ("weight", "frequency")})
 
 
-@query()
+@query(WEIGHTS + ", ba AS (SELECT *, " + " + ".join(f"{c} * (SELECT weight FROM wt WHERE component = '{c}')" for c in pairs.COMPONENTS if c != "recombination") + " AS base FROM pc), af AS (SELECT u, v, base + CASE WHEN recombination > 0 THEN 1.1 * max(base) OVER () * jaccard_distance ELSE 0 END AS d FROM ba) SELECT u, v, round(d, 6) AS d, round(d / max(d) OVER (), 9) AS d_norm FROM af")
 def pair_affinity(spark, d):
     rows = components_table(spark, d)
-    return pairs.affinity(rows, pairs.totals(rows))
+    return pairs.affinity(rows, pairs.totals(rows)).withColumns({"d": F.round("d", 6), "d_norm": F.round("d_norm", 9)})
 
 
 def jaccard_distances(spark, d):
@@ -196,20 +216,29 @@ def normalised_distance(spark, d):
     return jaccard_distances(spark, d).select("u", "v", F.round("d", 9).alias("d"), F.round("d_norm", 9).alias("d_norm"))
 
 
-@query(COMMON + NORMED + """, al AS (SELECT user_id AS e, list(event_type ORDER BY ts, event_id) AS t FROM events GROUP BY 1),
+REPORT = COMMON + NORMED + """, al AS (SELECT user_id AS e, list(event_type ORDER BY ts, event_id) AS t FROM events GROUP BY 1),
  w AS (SELECT DISTINCT e, k, list_slice(list_concat(t, t), i + 1, i + k) AS c FROM (SELECT e, t, k, unnest(range(0, CASE WHEN len(t) >= k THEN len(t) ELSE greatest(2 * len(t) - k, 0) END)) AS i FROM al, (SELECT unnest(range(5, 10)) AS k))),
  wk AS (SELECT e, k, c, CASE WHEN c <= list_reverse(c) THEN c ELSE list_reverse(c) END AS key FROM w),
  h AS (SELECT DISTINCT k, key, e FROM wk), hn AS (SELECT k, key, count(*) AS n, string_agg(e::VARCHAR, ',' ORDER BY e) AS users FROM h GROUP BY 1, 2 HAVING count(*) > 1),
  av AS (SELECT a.k, a.key, 2 * sum(coalesce(d_norm, 1)) AS s FROM h a JOIN h b ON a.k = b.k AND a.key = b.key AND a.e < b.e LEFT JOIN dn ON dn.u = a.e AND dn.v = b.e GROUP BY 1, 2),
  q AS (SELECT DISTINCT k, key, c FROM wk WHERE list_contains(c, 'error')),
- rg AS (SELECT q.c, q.k, hn.n, s / (hn.n * hn.n) AS avg_distance, users, row_number() OVER (ORDER BY q.c) - 1 AS index FROM q JOIN hn USING (k, key) JOIN av USING (k, key) WHERE s / (hn.n * hn.n) >= 0.1)
- SELECT 'error' AS query, index, array_to_string(c, ',') AS chunk, k AS length, n, round(avg_distance, 9) AS avg_distance, users FROM rg WHERE n >= 3""")
+ rg AS (SELECT q.c, q.k, hn.n, s / (hn.n * hn.n) AS avg_distance, users, row_number() OVER (ORDER BY q.c) - 1 AS index FROM q JOIN hn USING (k, key) JOIN av USING (k, key) WHERE s / (hn.n * hn.n) >= 0.1)"""
+
+
+@query(REPORT + " SELECT 'error' AS query, index, array_to_string(c, ',') AS chunk, k AS length, n, round(avg_distance, 9) AS avg_distance, users FROM rg WHERE n >= 3")
 def region_report(spark, d):
     asked = table(spark, d, "events").select(F.col("event_type").alias("query")).where("query = 'error'").distinct()
     out = regions.flagged_regions(type_circles(spark, d), asked, jaccard_distances(spark, d))
     return out.select("query", F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), F.col("length").cast("long").alias("length"), "n", F.round("avg_distance", 9).alias("avg_distance"), text("entities").alias("users"))
 
 
+@query(REPORT + ", ks AS (SELECT *, row_number() OVER (PARTITION BY n, round(avg_distance, 9) ORDER BY index) AS place FROM rg WHERE n >= 3) SELECT index, array_to_string(c, ',') AS chunk, n, round(avg_distance, 9) AS avg_distance FROM ks WHERE place = 1")
+def distinct_reports(spark, d):
+    asked = table(spark, d, "events").select(F.col("event_type").alias("query")).where("query = 'error'").distinct()
+    out = regions.first_of_each(regions.flagged_regions(type_circles(spark, d), asked, jaccard_distances(spark, d)))
+    return out.select(F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), "n", F.round("avg_distance", 9).alias("avg_distance"))
+
+
 @query("WITH a AS (SELECT l_orderkey AS r, list(DISTINCT l_partkey) AS g, list(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1), x AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS p FROM lineitem), c AS (SELECT DISTINCT i.r AS i, h.r AS h FROM x i JOIN x h ON i.p = h.p AND i.r <> h.r), n AS (SELECT DISTINCT c.i FROM c JOIN a s ON s.r = c.i JOIN a b ON b.r = c.h WHERE list_has_all(b.g, s.g) AND list_has_all(b.e, s.e) AND (NOT list_has_all(s.g, b.g) OR NOT list_has_all(s.e, b.e) OR b.r < s.r)) SELECT r AS region, r IN (SELECT i FROM n) AS nested FROM a")
 def nested_regions(spark, d):
     orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("region")).agg(F.sort_array(F.collect_set("l_partkey")).alias("genes"), F.collect_set("l_suppkey").alias("entities"))
@@ -275,6 +304,28 @@ def fasta_parse(spark, d):
     return readers.fasta(rows).select("id", "description", "sequence")
 
 
+@query("SELECT split_part(s_name, ' ', 1) AS contig, 'nation-' || s_nationkey AS entity FROM supplier")
+def contig_lookup(spark, d):
+    file = F.concat(F.lit("/in/nation-"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".fna"))
+    line = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit(">"), "s_name", F.lit(" whole")).alias("line")), F.struct(F.lit(1).alias("n"), F.lit("ACGT").alias("line"))))
+    return readers.contig_map(table(spark, d, "supplier").select(file.alias("file"), line.alias("x")).select("file", "x.*"))
+
+
+@query("SELECT split_part(c_name, ' ', 1) AS accession, CASE WHEN c_acctbal > 0 THEN 'circular' ELSE 'linear' END AS topology FROM customer")
+def genbank_topology(spark, d):
+    line = F.concat(F.lit("LOCUS       "), "c_name", F.lit(" 4 bp DNA "), F.when(F.col("c_acctbal") > 0, F.lit("circular")).otherwise(F.lit("linear")), F.lit(" BCT"))
+    rows = table(spark, d, "customer").select(F.lit("all").alias("file"), F.col("c_custkey").alias("n"), line.alias("line"))
+    return readers.topology(rows).select("accession", "topology")
+
+
+@query("SELECT (p_partkey // 2)::VARCHAR AS token, CASE WHEN min(p_partkey) % 3 = 0 THEN (p_partkey // 2)::VARCHAR ELSE arg_min(p_name, p_partkey) END AS name FROM part GROUP BY p_partkey // 2")
+def protein_names(spark, d):
+    p = table(spark, d, "part").withColumn("id", F.floor(F.col("p_partkey") / 2).cast("string"))
+    header = F.concat(F.lit(">"), "id", F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name")))
+    line = F.explode(F.array(F.struct((2 * F.col("p_partkey")).alias("n"), header.alias("line")), F.struct((2 * F.col("p_partkey") + 1).alias("n"), F.lit("MKV").alias("line"))))
+    return readers.protein_names(p.select((F.col("id").cast("long") % 16).cast("string").alias("file"), line.alias("x")).select("file", "x.*"))
+
+
 @query("SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\n]+')), 0)::BIGINT AS n_lines, strlen(regexp_extract(text, '^\\S*')) AS first_word_bytes FROM documents")
 def first_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[^\\n]+")).cast("long").alias("n_lines"), F.octet_length(F.regexp_extract("text", r"^\S*", 0)).cast("long").alias("first_word_bytes"))
@@ -330,6 +381,18 @@ def cooccurrence(spark, d):
     return stats.cooccurrence(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
 
 
+@query("WITH x AS (SELECT o_custkey AS r, o_orderpriority AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS k FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)), y AS (SELECT a.s AS a, b.s AS b FROM x a JOIN x b ON a.r = b.r AND a.k = 1 AND b.k = 2) SELECT a, b, count(*) AS n FROM (SELECT a, b FROM y UNION ALL SELECT b, a FROM y) GROUP BY 1, 2")
+def first_two_species(spark, d):
+    return stats.first_two(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("SELECT p_partkey, coalesce(c, 'None') AS cls FROM part LEFT JOIN (SELECT p_type, min(p_brand) AS c FROM part WHERE p_size > 48 GROUP BY 1) k USING (p_type)")
+def class_lookup(spark, d):
+    p = table(spark, d, "part")
+    known = p.where("p_size > 48").select(F.col("p_type").alias("annotation"), F.col("p_brand").alias("cls"))
+    return stats.class_of(p.select("p_partkey", F.col("p_type").alias("annotation")), known).select("p_partkey", "cls")
+
+
 @query("WITH e AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS k FROM orders GROUP BY 1) SELECT count(*) FILTER (k > 1) AS n_multiple, count(*) AS n_all, 100.0 * count(*) FILTER (k > 1) / count(*) AS percent FROM e")
 def multiresistant(spark, d):
     return stats.multiple(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
@@ -426,11 +489,31 @@ def customer_links(spark, d):
     return buys.join(least, ["l_partkey", "l_suppkey"]).where("u < c").select("u", F.col("c").alias("v")).distinct()
 
 
-@query()
+LINKED = """WITH RECURSIVE b AS (SELECT DISTINCT l_partkey, l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT l_partkey, l_suppkey, min(c) AS u FROM b GROUP BY 1, 2), e AS (SELECT DISTINCT u, c AS v FROM b JOIN m USING (l_partkey, l_suppkey) WHERE u < c),
+ s AS (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e), r AS (SELECT c_custkey AS node, c_custkey AS label FROM customer UNION SELECT s.y, r.label FROM r JOIN s ON s.x = r.node WHERE r.label < s.y), co AS (SELECT node, min(label) AS component FROM r GROUP BY 1)"""
+
+
+@query(LINKED + " SELECT node, component FROM co")
 def components(spark, d):
     return graph.components(customer_links(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
 
 
+@query(LINKED + " SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM co GROUP BY component) GROUP BY 1")
+def component_sizes(spark, d):
+    return graph.component_sizes(components(spark, d))
+
+
+@query(GENES + " SELECT token, count(DISTINCT entity) AS n_entities, count(*) AS n_copies, count(*) FILTER (strand > 0) AS n_forward FROM g GROUP BY 1")
+def pangenome_nodes(spark, d):
+    return graph.union_nodes(key_circles(spark, d))
+
+
+@query(EDGES + " SELECT dg.node::BIGINT % 7 AS community, event_type AS annotation, count(*) AS n FROM dg JOIN g ON g.token = dg.node GROUP BY 1, 2")
+def annotation_counts(spark, d):
+    members = graph.degrees(token_edges(spark, d)).select("node", (F.col("node").cast("long") % 7).alias("community"))
+    return graph.annotation_counts(members, key_circles(spark, d).select(F.col("token").alias("node"), F.col("event_type").alias("annotation")))
+
+
 @query("WITH b AS (SELECT DISTINCT l_partkey, l_suppkey, o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT l_partkey, l_suppkey, min(c) AS u FROM b GROUP BY 1, 2), e AS (SELECT DISTINCT u, c AS v FROM b JOIN m USING (l_partkey, l_suppkey) WHERE u < c), g AS (SELECT a.c_nationkey AS gu, z.c_nationkey AS gv FROM e JOIN customer a ON a.c_custkey = u JOIN customer z ON z.c_custkey = v), m1 AS (SELECT count(*) AS m FROM g), d AS (SELECT n, count(*) AS d FROM (SELECT gu AS n FROM g UNION ALL SELECT gv FROM g) GROUP BY 1), l AS (SELECT gu AS n, count(*) AS l FROM g WHERE gu = gv GROUP BY 1) SELECT max(m1.m) AS m, round(sum(coalesce(l, 0) / m1.m - (d / (2 * m1.m)) ** 2), 9) AS q FROM d LEFT JOIN l USING (n), m1")
 def modularity(spark, d):
     groups = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("grp"))
@@ -462,6 +545,23 @@ def mcl_step(spark, d):
     return cluster.markov_step(cluster.flow_of(user_similarities(spark, d))).agg(F.count("*").alias("n"), F.round(F.sum("p"), 3).alias("total"), F.round(F.sum(F.col("p") * F.col("p")), 6).alias("square"))
 
 
+@query()
+def markov_clusters(spark, d):
+    return cluster.markov_clusters(user_similarities(spark, d))
+
+
+@query()
+def absorb_small(spark, d):
+    return cluster.absorb_small(user_similarities(spark, d), user_groups(spark, d), 16)
+
+
+@query()
+def core_aggregate(spark, d):
+    rows = supplier_parts(spark, d)
+    members = rows.select(F.col("entity").alias("node"), F.col("grp").alias("cluster")).distinct()
+    return cluster.core_aggregate(rows.select(F.col("entity").alias("node"), "token"), members, 4, 3)
+
+
 @query("WITH m AS (SELECT c_custkey AS node, c_custkey // 3 AS cluster FROM customer WHERE c_custkey % 7 <> 0), k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM m GROUP BY 1 HAVING count(*) > 1) SELECT node, number AS cluster FROM m JOIN k USING (cluster)")
 def drop_isolates(spark, d):
     members = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 3).alias("cluster"))

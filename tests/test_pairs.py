@@ -104,3 +104,33 @@ def test_markov_clusters_split_two_cliques(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     out = cluster.markov_clusters(spark.createDataFrame(edges, "u long, v long, similarity double"), rounds=6).collect()
     assert {(r.node < 5, r.cluster < 5) for r in out} == {(True, True), (False, False)}
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def as_dict(df):
+    return {r.node: r.cluster for r in df.collect()}
+
+
+def test_absorb_small_follows_the_most_similar(spark):
+    members = frame(spark, [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4)], "node long, cluster long")
+    close = frame(spark, [(1, 4, 0.4), (4, 5, 0.9), (5, 2, 0.3), (6, 1, 0.05)], "u long, v long, similarity double")
+    # 2 and 3 want each other: 3 moves to 2, and both then go to 1; 4 is too far from all.
+    assert as_dict(cluster.absorb_small(close, members, 3, above=0.1)) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 4}
+
+
+def test_absorb_small_breaks_rings_and_stands_empty_tables(spark):
+    members = frame(spark, [(1, 1), (2, 2), (3, 3)], "node long, cluster long")
+    ring = frame(spark, [(1, 2, 0.5), (2, 3, 0.5), (1, 3, 0.5)], "u long, v long, similarity double")
+    assert set(as_dict(cluster.absorb_small(ring, members, 5)).values()) == {1}
+    assert as_dict(cluster.absorb_small(ring.limit(0), members, 5)) == {1: 1, 2: 2, 3: 3}
+    assert as_dict(cluster.absorb_small(ring, members.limit(0), 5)) == {}
+
+
+def test_core_aggregate_joins_by_shared_core(spark):
+    members = frame(spark, [(1, 1), (2, 1), (3, 2), (4, 3)], "node long, cluster long")
+    rows = frame(spark, [(n, t) for n, ts in {1: "abcx", 2: "abcy", 3: "abcd", 4: "zw"}.items() for t in ts], "node long, token string")
+    assert as_dict(cluster.core_aggregate(rows, members, 2, 2)) == {1: 1, 2: 1, 3: 1, 4: 3}
+    assert as_dict(cluster.core_aggregate(rows, members, 2, 3)) == {1: 1, 2: 1, 3: 2, 4: 3}
