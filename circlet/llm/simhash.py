@@ -110,7 +110,8 @@ def majority(h: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
 
 
 def simhash(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp: the 64-bit fingerprint of the lower-cased text's word shingles, repeats included."""
+    """docs(doc_id, text[, key]) -> doc_id, fp[, key]: the 64-bit fingerprint of the lower-cased text's word shingles, repeats included."""
+    more = [c for c in ("key",) if c in docs.columns]
 
     def run(batches):
         for batch in batches:
@@ -120,9 +121,9 @@ def simhash(docs: DataFrame, words: int = 3) -> DataFrame:
                 own = ascii_lower(data[offsets[a] : offsets[b]])
                 text, start, length, of = word_shingles(own, offsets[a : b + 1] - offsets[a], words)
                 prints.append(majority(xxh64(text, start, length), of, b - a))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(prints).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(prints).view(np.int64)), *map(batch.column, more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def signed(x: int) -> int:
@@ -189,13 +190,17 @@ def ball_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return links
 
 
+def rooted(marks: DataFrame) -> DataFrame:
+    """marks(doc_id, fp) -> staged (fp, least_id, root): each fingerprint's smallest doc_id and its component."""
+    prints = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    roots = connected_components(ball_links(prints.select("fp")))
+    return staged(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp, component_id: the smallest doc_id that links within 3 bits lead to."""
     marks = staged(simhash(docs, words))
-    prints = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(ball_links(prints.select("fp")))
-    roots = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    roots = staged(roots)
+    roots = rooted(marks)
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return marks.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -204,9 +209,19 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs, marks(doc_id, key: hash of the text, root) of all their rows -> of each root the first row by doc_id (null last), then key.
+
+    A null doc_id is a member like any other; rows equal in doc_id and text count as one.
+    """
+    lead = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("lead"))
+    keep = staged(lead.select(F.col("lead.doc_id").alias("_id"), F.col("lead.key").alias("_key")))
+    out = docs.withColumn("_k", F.xxhash64("text")).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
+    repeated = marks.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").count() > keep.count()
+    return (out.dropDuplicates(["doc_id", "_k"]) if repeated else out).select(docs.columns)
+
+
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of every group, the document with the smallest doc_id. Rows that repeat a doc_id count as one."""
-    keep = staged(near_duplicates(docs).where("doc_id = component_id").select("doc_id"))
-    ids = keep.distinct()
-    out = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-    return out if ids.count() == keep.count() else out.dropDuplicates(["doc_id"])
+    """docs without near copies by fingerprint: one row of every group, see one_of_each."""
+    marks = staged(simhash(docs.withColumn("key", F.xxhash64("text"))))
+    return one_of_each(docs, marks.join(rooted(marks), "fp").select("doc_id", "key", "root"))
