@@ -29,10 +29,10 @@ def usable(embeddings: DataFrame, zero: bool = True) -> DataFrame:
 
 
 def candidates(rows: DataFrame, k: int) -> DataFrame:
-    """(v, ids): distinct vectors, each with its k + 1 smallest ids in order."""
+    """(v, ids): distinct vectors, each with its k + 1 smallest ids in order; rows that repeat a vector and its id count once."""
     first = W.partitionBy("v").orderBy("vec_id")
-    few = rows.select("v", "vec_id").withColumn("n", F.rank().over(first)).where(F.col("n") <= k + 1)
-    return few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    few = rows.select("v", "vec_id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def packed(rows: DataFrame, by: str, what: str, number: int, work) -> DataFrame:
