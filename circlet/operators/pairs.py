@@ -1,148 +1,308 @@
-"""Distances of pairs of circular sequences. A pair is (u, v), u < v, of entities that share a token; pairs that share
-none are not listed: their Jaccard distance is 1 and their rearrangement components are those of all-exclusive circles.
+"""Distances of pairs of circular sequences: (u, v), u < v, of all entities, those that share no token included.
+
+Every pair is wanted, so pairs are made where groups of GROUP entities meet: an entity is one row of arrays that moves once
+to every other group, no row per pair and token moves, and a block of two groups is one bounded task in numpy that takes
+each entity of one group against all of the other at once. Null tokens take no part; an entity without tokens has no pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from circlet.functions.lineage import cut
 from circlet.operators.sequence import duplicate_counts
 
 MOBILE_BELOW = 2752.0
 COMPONENTS = ("mutation", "mobile", "recombination", "reversal", "transposition", "duplicate")
-
-
-def sided(kept: DataFrame, side: str) -> DataFrame:
-    return kept.select(F.col("entity").alias(side), "token", *[F.col(c).alias(f"{c}_{side}") for c in ("ord", "strand", "start", "end") if c in kept.columns])
-
-
-def common_tokens(kept: DataFrame) -> DataFrame:
-    """(u, v, token, ...) of tokens that both entities of a pair have; kept: one row per entity and token."""
-    return sided(kept, "u").join(sided(kept, "v"), "token").where("u < v")
+GROUP = 128
+FIGURES = ("n_u", "n_v", "inter", "shared_adj", "components", "mobile", "recombination", "dup_tokens", "duplicate")
+BLOCKS = "u long, v long, side string, block long, n_tokens long, length double, from_start double, to_end double, spans boolean"
+
+
+def circle_rows(kept: DataFrame, seq: DataFrame | None = None) -> DataFrame:
+    """One row per entity: its tokens in order with their columns as arrays, and all copies of its repeated tokens (of seq)."""
+    have = {c: F.col(c) if c in kept.columns else F.lit(0) for c in ("strand", "start", "end")}
+    one = F.struct(F.col("ord").cast("long").alias("ord") if "ord" in kept.columns else F.lit(0).cast("long").alias("ord"), F.col("token").cast("string").alias("token"), have["strand"].cast("int").alias("strand"), have["start"].cast("double").alias("start"), have["end"].cast("double").alias("end"))
+    whole = kept.where("token is not null").groupBy("entity").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    rows = whole.select("entity", *[F.col(f"c.{x}").alias(x) for x in ("token", "strand", "start", "end")])
+    if seq is None:
+        return rows.withColumns({"dtoken": F.expr("cast(array() as array<string>)"), "dstart": F.expr("cast(array() as array<double>)"), "dend": F.expr("cast(array() as array<double>)")})
+    copies = seq.join(duplicate_counts(seq).where("token is not null"), ["entity", "token"], "left_semi").groupBy("entity").agg(F.collect_list(F.struct(F.col("token").cast("string").alias("token"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("d"))
+    empty = F.expr("cast(array() as array<struct<token:string,start:double,end:double>>)")
+    rows = rows.join(copies, "entity", "left").withColumn("d", F.coalesce("d", empty))
+    return rows.select("entity", "token", "strand", "start", "end", F.col("d.token").alias("dtoken"), F.col("d.start").alias("dstart"), F.col("d.end").alias("dend"))
+
+
+class Side:
+    """The circles of a group, end to end."""
+
+    def __init__(self, pdf: pd.DataFrame, codes: dict):
+        flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in pdf[c]]) if len(pdf) else np.zeros(0, t)
+        number = lambda c: np.array([codes[t] for ts in pdf[c] for t in ts], np.int64)
+        self.entity = pdf["entity"].to_numpy(np.int64)
+        self.n = np.array([len(x) for x in pdf["token"]], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        self.row = np.repeat(np.arange(len(pdf)), self.n)
+        self.token, self.strand, self.start, self.end = number("token"), flat("strand", np.int64), flat("start", float), flat("end", float)
+        self.first_start = np.array([np.min(x) for x in pdf["start"]])
+        self.last_end = np.array([np.max(x) for x in pdf["end"]])
+        self.d_row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["dtoken"]])
+        self.d_token, self.d_start, self.d_end = number("dtoken"), flat("dstart", float), flat("dend", float)
+        self.has = np.zeros((len(pdf), len(codes)), bool)
+        self.has[self.row, self.token] = True
+        self.extra = np.zeros((len(pdf), len(codes)), np.int32)
+        np.add.at(self.extra, (self.d_row, self.d_token), 1)
+        self.extra = np.maximum(self.extra - 1, 0)
+
+
+def followers(count: np.ndarray) -> np.ndarray:
+    """For circles of so many members laid end to end, the place of each member's next one."""
+    after = np.arange(1, int(count.sum()) + 1)
+    full = count > 0
+    ends = np.cumsum(count)[full]
+    after[ends - 1] = ends - count[full]
+    return after
+
+
+def matched(token: np.ndarray, strand: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Every token end's neighbour on circles of signed tokens: end 2 * token is its head, 2 * token + 1 its tail."""
+    after = followers(count)
+    leave, enter = 2 * token + (strand > 0), 2 * token[after] + (strand[after] <= 0)
+    out = np.empty(2 * len(token), np.int64)
+    out[leave], out[enter] = enter, leave
+    return out
+
+
+def breakpoints(one: Side, a: int, two: Side, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common tokens, shared adjacencies and components of the breakpoint graphs of circle a of `one` with all of `two`.
+
+    Either circle, less the tokens that aren't common, pairs all token ends; where both agree the adjacency is shared.
+    Taking the two pairings in turn runs round a component twice, once each way, so components are half the orbits.
+    """
+    own = slice(one.at[a], one.at[a] + one.n[a])
+    common = two.has[:, one.token[own]]
+    m = common.sum(1)
+    row, i = np.nonzero(common)
+    token = one.token[own][i]
+    k = np.arange(len(token))
+    place[row, token] = k
+    mine = matched(k, one.strand[own][i], m)
+    inside = np.zeros(two.has.shape[1], bool)
+    inside[one.token[own]] = True
+    at = np.flatnonzero(inside[two.token])
+    theirs = matched(place[two.row[at], two.token[at]], two.strand[at], m)
+    of = np.repeat(row, 2)
+    shared = np.bincount(of[mine == theirs], minlength=len(m)) // 2
+    turn, label = theirs[mine], np.arange(len(mine))
+    for _ in range(int(m.max(initial=1)).bit_length() + 1):
+        label = np.minimum(label, label[turn])
+        turn = turn[turn]
+    return m, shared, np.bincount(of[label == np.arange(len(label))], minlength=len(m)) // 2
+
+
+class Runs:
+    """Maximal circular runs of exclusive tokens, by row; the run that ends a circle and the one that begins it are one."""
+
+    def __init__(self, row, a, z, n, start, end, first_start, last_end):
+        """a, z: first and last place on the row's circle of n; start, end: of the tokens there; the others by row."""
+        rows = len(n)
+        count = np.bincount(row, minlength=rows)
+        ends_here = np.bincount(row, z == n[row] - 1, rows) > 0
+        wraps = (np.bincount(row, a == 0, rows) > 0) & ends_here & (count > 1)
+        tail = wraps[row] & (z == n[row] - 1)
+        head = wraps[row] & (a == 0)
+        tail_start, tail_size = np.zeros(rows), np.zeros(rows, np.int64)
+        tail_start[row[tail]], tail_size[row[tail]] = start[tail], (z - a + 1)[tail]
+        length = np.where(head, last_end[row] - tail_start[row] + end - first_start[row], end - start)
+        size = z - a + 1 + np.where(head, tail_size[row], 0)
+        start = np.where(head, tail_start[row], start)
+        self.row, self.block, self.size, self.length, self.start, self.end, self.spans = (x[~tail] for x in (row, a, size, length, start, end, head))
+        self.small = self.length < MOBILE_BELOW
+
+    def counts(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(self.row[self.small], minlength=rows), np.bincount(self.row[~self.small], minlength=rows)
+
+    def holds(self, runs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether run number `runs` strictly holds a copy from start to end."""
+        after, before = start > self.start[runs], end < self.end[runs]
+        return np.where(self.spans[runs], after | before, after & before)
+
+
+def exclusive_runs(one: Side, a: int, two: Side) -> tuple[Runs, Runs]:
+    """What circle a of `one` has alone against each of `two`, and what each of `two` has alone."""
+    own = slice(one.at[a], one.at[a] + one.n[a])
+    alone = ~two.has[:, one.token[own]]
+    edge = np.pad(alone, ((0, 0), (1, 1)))
+    row, i = np.nonzero(alone & ~edge[:, :-2])
+    z = np.nonzero(alone & ~edge[:, 2:])[1]
+    n = np.full(len(two.n), one.n[a])
+    start, end = one.start[own], one.end[own]
+    mine = Runs(row, i, z, n, start[i], end[z], np.full(len(n), one.first_start[a]), np.full(len(n), one.last_end[a]))
+    inside = np.zeros(two.has.shape[1], bool)
+    inside[one.token[own]] = True
+    alone = ~inside[two.token]
+    new = np.ones(len(alone), bool)
+    new[1:] = two.row[1:] != two.row[:-1]
+    last = np.append(new[1:], True)
+    first = np.flatnonzero(alone & (new | ~np.append(False, alone[:-1])))
+    final = np.flatnonzero(alone & (last | ~np.append(alone[1:], False)))
+    row = two.row[first]
+    return mine, Runs(row, first - two.at[row], final - two.at[row], two.n, two.start[first], two.end[final], two.first_start, two.last_end)
+
+
+def copies_differ(one: Side, a: int, two: Side, mine: Runs, theirs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that both repeat, and the sum of their differences in extra copies without those strictly inside a run."""
+    rows = len(two.n)
+    tokens = np.flatnonzero(one.extra[a])
+    x, y = one.extra[a, tokens], two.extra[:, tokens]
+    if not len(tokens):
+        return np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    code = np.full(one.extra.shape[1], -1)
+    code[tokens] = np.arange(len(tokens))
+    own = np.flatnonzero(one.d_row == a)
+    runs, copy = np.repeat(np.arange(len(mine.row)), len(own)), np.tile(own, len(mine.row))
+    hit = mine.holds(runs, one.d_start[copy], one.d_end[copy])
+    key = mine.row[runs[hit]] * len(tokens) + code[one.d_token[copy[hit]]]
+    less_x = np.bincount(key, minlength=rows * len(tokens)).reshape(rows, -1)
+    known = np.flatnonzero(code[two.d_token] >= 0)
+    count = np.bincount(two.d_row[known], minlength=rows)
+    base = np.cumsum(count) - count
+    times = count[theirs.row]
+    runs = np.repeat(np.arange(len(theirs.row)), times)
+    copy = known[np.repeat(base[theirs.row], times) + np.arange(len(runs)) - np.repeat(np.cumsum(times) - times, times)]
+    hit = theirs.holds(runs, two.d_start[copy], two.d_end[copy])
+    key = theirs.row[runs[hit]] * len(tokens) + code[two.d_token[copy[hit]]]
+    less_y = np.bincount(key, minlength=rows * len(tokens)).reshape(rows, -1)
+    both = y > 0
+    return both.sum(1), np.where(both, np.abs(np.maximum(x - less_x, 0) - np.maximum(y - less_y, 0)), 0).sum(1)
+
+
+def meetings(pdf: pd.DataFrame):
+    """The two sides of a block, and for each circle of the first the rows of the second that it is to meet."""
+    if not len(pdf):
+        return
+    codes = {t: i for i, t in enumerate(dict.fromkeys(t for c in ("token", "dtoken") for ts in pdf[c] for t in ts))}
+    groups = sorted(pdf["grp"].unique())
+    one = Side(pdf[pdf["grp"] == groups[0]].sort_values("entity"), codes)
+    two = Side(pdf[pdf["grp"] == groups[-1]].sort_values("entity"), codes) if len(groups) > 1 else one
+    for a in range(len(one.n)):
+        wanted = np.arange(len(two.n)) > a if one is two else np.ones(len(two.n), bool)
+        if wanted.any():
+            yield one, a, two, wanted
+
+
+def figures(pdf: pd.DataFrame, order: bool, runs: bool) -> pd.DataFrame:
+    out: dict[str, list[np.ndarray]] = {c: [] for c in ("u", "v", *FIGURES)}
+    place = None
+    for one, a, two, wanted in meetings(pdf):
+        place = np.zeros(two.has.shape, np.int64) if place is None else place
+        rows = len(two.n)
+        zero = np.zeros(rows, np.int64)
+        got = dict.fromkeys(FIGURES, zero)
+        got["inter"] = two.has[:, one.token[one.at[a] : one.at[a] + one.n[a]]].sum(1)
+        if order:
+            _, got["shared_adj"], got["components"] = breakpoints(one, a, two, place)
+        if runs:
+            mine, theirs = exclusive_runs(one, a, two)
+            got["mobile"], got["recombination"] = (x + y for x, y in zip(mine.counts(rows), theirs.counts(rows)))
+            got["dup_tokens"], got["duplicate"] = copies_differ(one, a, two, mine, theirs)
+        mine_first = one.entity[a] < two.entity
+        own = np.full(rows, one.n[a])
+        got |= {"u": np.minimum(one.entity[a], two.entity), "v": np.maximum(one.entity[a], two.entity), "n_u": np.where(mine_first, own, two.n), "n_v": np.where(mine_first, two.n, own)}
+        for c in out:
+            out[c].append(got[c][wanted])
+    return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in out.items()})
+
+
+def run_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Every exclusive run of every pair of a block."""
+    parts = []
+    for one, a, two, wanted in meetings(pdf):
+        own = np.full(len(two.n), one.entity[a])
+        for runs, me, other in zip(exclusive_runs(one, a, two), (own, two.entity), (two.entity, own)):
+            at = np.flatnonzero(wanted[runs.row])
+            me, other = me[runs.row[at]], other[runs.row[at]]
+            parts.append(pd.DataFrame({"u": np.minimum(me, other), "v": np.maximum(me, other), "side": np.where(me < other, "u", "v"), "block": runs.block[at], "n_tokens": runs.size[at], "length": runs.length[at], "from_start": runs.start[at], "to_end": runs.end[at], "spans": runs.spans[at]}))
+    return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in BLOCKS.split(", ")})
+
+
+def in_blocks(rows: DataFrame, work, schema: str, group: int) -> DataFrame:
+    """work on every two groups of about `group` circles that meet, a group with itself among them."""
+    rows = cut(rows)
+    groups = max(1, -(-rows.count() // group))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("entity"), F.lit(groups)))
+    met = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+    met = met.withColumns({"_i": F.least("grp", "_with"), "_j": F.greatest("grp", "_with")}).drop("_with")
+    # A block whose second group is empty is not one of the first group with itself.
+    full = met.groupBy("_i", "_j")
+    return full.applyInPandas(lambda key, pdf: work(pdf) if key[0] == key[1] or pdf["grp"].nunique() == 2 else work(pdf.iloc[:0]), schema)
+
+
+def pair_figures(kept: DataFrame, seq: DataFrame | None = None, order: bool = False, runs: bool = False, group: int = GROUP) -> DataFrame:
+    """(u, v, FIGURES) of all pairs. order: with shared adjacencies and components; runs: with indels and, given seq, duplicates."""
+    schema = "u long, v long, " + ", ".join(f"{c} long" for c in FIGURES)
+    return in_blocks(circle_rows(kept, seq), lambda pdf: figures(pdf, order, runs), schema, group)
+
+
+def jaccard_of(rows: DataFrame) -> DataFrame:
+    """Adds n_union, jaccard and distance to figures."""
+    share = F.col("inter") / F.col("n_union")
+    return rows.withColumn("n_union", F.col("n_u") + F.col("n_v") - F.col("inter")).withColumns({"jaccard": share, "distance": 1 - share})
 
 
 def jaccard_pairs(kept: DataFrame) -> DataFrame:
-    """(u, v, inter, n_union, jaccard, distance)."""
-    size = kept.groupBy("entity").agg(F.count("*").alias("n"))
-    shared = common_tokens(kept.select("entity", "token")).groupBy("u", "v").agg(F.count("*").alias("inter"))
-    both = shared.join(size.toDF("u", "n_u"), "u").join(size.toDF("v", "n_v"), "v").withColumn("n_union", F.col("n_u") + F.col("n_v") - F.col("inter"))
-    share = F.col("inter") / F.col("n_union")
-    return both.select("u", "v", "inter", "n_union", share.alias("jaccard"), (1 - share).alias("distance"))
+    """(u, v, inter, n_union, jaccard, distance) of all pairs."""
+    return jaccard_of(pair_figures(kept)).select("u", "v", "inter", "n_union", "jaccard", "distance")
 
 
-def exclusive_blocks(kept: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Maximal circular runs of tokens that only one side has: (u, v, side, block, n_tokens, length, kind, from_start, to_end, spans).
+def exclusive_blocks(kept: DataFrame, pairs: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+    """Maximal circular runs of tokens that only one side has: (u, v, side, block, n_tokens, length, from_start, to_end, spans, kind).
 
-    Runs are islands of consecutive ord; the run that ends a circle and the one that begins it are one. Its length is
-    then what is left to the end of the circle and from its beginning; one token never spans the origin.
+    A run across the origin is as long as what is left to the end of the circle and from its beginning; one token never
+    spans the origin. pairs: only those (u, v).
     """
-    whole = W.partitionBy("entity")
-    kept = kept.withColumns({"n": F.count("*").over(whole), "first_start": F.min("start").over(whole), "last_end": F.max("end").over(whole)})
-    directed = pairs.select("u", "v", F.lit("u").alias("side"), F.col("u").alias("entity"), F.col("v").alias("other")).union(pairs.select("u", "v", F.lit("v"), "v", "u"))
-    mine = directed.join(kept, "entity")
-    own = mine.join(kept.select(F.col("entity").alias("other"), "token"), ["other", "token"], "left_anti")
-    by = W.partitionBy("u", "v", "side").orderBy("ord")
-    runs = own.withColumn("g", F.col("ord") - F.row_number().over(by)).groupBy("u", "v", "side", "g", "n", "first_start", "last_end").agg(F.min("ord").alias("a"), F.max("ord").alias("z"), F.count("*").alias("size"), F.min_by("start", "ord").alias("s"), F.max_by("end", "ord").alias("e"))
-    side = W.partitionBy("u", "v", "side")
-    both_ends = (F.min("a").over(side) == 0) & (F.max("z").over(side) == F.col("n") - 1)
-    runs = runs.withColumns({"wraps": both_ends & (F.count("*").over(side) > 1)})
-    runs = runs.withColumn("block", F.when(F.col("wraps") & (F.col("z") == F.col("n") - 1), F.lit(0)).otherwise(F.col("a")))
-    at_end = F.col("wraps") & (F.col("z") == F.col("n") - 1)
-    blocks = runs.groupBy("u", "v", "side", "block", "first_start", "last_end").agg(F.sum("size").alias("n_tokens"), F.max(F.when(at_end, F.col("s"))).alias("tail_start"), F.max(F.when(~at_end, F.col("s"))).alias("s"), F.max(F.when(~at_end, F.col("e"))).alias("e"))
-    spans = F.col("tail_start").isNotNull()
-    length = F.when(spans, F.col("last_end") - F.col("tail_start") + F.col("e") - F.col("first_start")).otherwise(F.col("e") - F.col("s"))
-    rows = blocks.select("u", "v", "side", "block", "n_tokens", length.alias("length"), F.coalesce("tail_start", "s").alias("from_start"), F.col("e").alias("to_end"), spans.alias("spans"))
+    rows = in_blocks(circle_rows(kept), run_rows, BLOCKS, group)
+    rows = rows if pairs is None else rows.join(pairs.select("u", "v"), ["u", "v"], "left_semi")
     return rows.withColumn("kind", F.when(F.col("length") < MOBILE_BELOW, F.lit("mobile")).otherwise(F.lit("recombination")))
 
 
-def indels(blocks: DataFrame) -> DataFrame:
-    """(u, v, mutation, mobile, recombination): blocks by kind. Mutations are never told from mobile elements (as documented)."""
-    count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
-    return blocks.groupBy("u", "v").agg(F.lit(0).cast("long").alias("mutation"), count("mobile").alias("mobile"), count("recombination").alias("recombination"))
+def indels(rows: DataFrame) -> DataFrame:
+    """(u, v, mutation, mobile, recombination) of figures with runs. Mutations are never told from mobile elements (as documented)."""
+    return rows.select("u", "v", F.lit(0).cast("long").alias("mutation"), "mobile", "recombination")
+
 
+def duplicate_distance(seq: DataFrame, kept: DataFrame) -> DataFrame:
+    """(u, v, duplicate) of pairs that repeat a token in common: sum of the differences in extra copies, without copies strictly inside an exclusive run."""
+    return pair_figures(kept, seq, runs=True).where("dup_tokens > 0").select("u", "v", "duplicate")
 
-def duplicate_distance(seq: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v, duplicate): sum of the differences in extra copies over tokens duplicated in both, without copies strictly inside a block."""
-    extra = duplicate_counts(seq)
-    both = pairs.select("u", "v").join(extra.toDF("u", "token", "x_u"), "u").join(extra.toDF("v", "token", "x_v"), ["v", "token"])
-    entity = F.when(F.col("side") == "u", F.col("u")).otherwise(F.col("v"))
-    inside = blocks.withColumn("entity", entity).join(seq.join(extra, ["entity", "token"], "left_semi").select("entity", "token", "start", "end"), "entity")
-    within = F.when(F.col("spans"), (F.col("start") > F.col("from_start")) | (F.col("end") < F.col("to_end"))).otherwise((F.col("start") > F.col("from_start")) & (F.col("end") < F.col("to_end")))
-    less = inside.where(within).groupBy("u", "v", "token").agg(F.sum((F.col("side") == "u").cast("long")).alias("l_u"), F.sum((F.col("side") == "v").cast("long")).alias("l_v"))
-    left = both.join(less, ["u", "v", "token"], "left")
-    net = lambda s: F.greatest(F.col(f"x_{s}") - F.coalesce(f"l_{s}", F.lit(0)), F.lit(0))
-    return left.groupBy("u", "v").agg(F.sum(F.abs(net("u") - net("v"))).alias("duplicate"))
 
+def transposition() -> Column:
+    return F.when(F.col("inter") <= 1, F.lit(0)).otherwise(F.ceil((F.col("inter") - F.col("shared_adj")) / 2)).cast("long")
 
-def restricted_adjacencies(kept: DataFrame) -> DataFrame:
-    """(u, v, side, a, b): neighbouring token ends on each circle of a pair, after tokens that aren't common are gone."""
-    both = common_tokens(kept)
-    long = both.select("u", "v", "token", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"ord_{s}").alias("ord"), F.col(f"strand_{s}").alias("strand")) for s in "uv"])).alias("x")).select("u", "v", "token", "x.*")
-    by = W.partitionBy("u", "v", "side").orderBy("ord")
-    around = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(by), F.first(c).over(around))
-    rows = long.withColumns({"t2": nxt("token"), "s2": nxt("strand"), "m": F.count("*").over(W.partitionBy("u", "v", "side"))})
-    leave = F.concat("token", F.when(F.col("strand") > 0, F.lit(" T")).otherwise(F.lit(" H")))
-    enter = F.concat("t2", F.when(F.col("s2") > 0, F.lit(" H")).otherwise(F.lit(" T")))
-    return rows.select("u", "v", "side", "m", F.least(leave, enter).alias("a"), F.greatest(leave, enter).alias("b"))
 
+def reversal() -> Column:
+    return F.when(F.col("inter") <= 1, F.lit(0)).otherwise(F.col("inter") - F.col("components")).cast("long")
 
-def three_break(edges: DataFrame) -> DataFrame:
+
+def three_break(kept: DataFrame) -> DataFrame:
     """(u, v, m, shared_adj, transposition): ceil((m - a) / 2) with m common tokens and a shared adjacencies; 0 for m <= 1."""
-    seen = edges.groupBy("u", "v", "m", "a", "b").agg(F.count_distinct("side").alias("sides"))
-    rows = seen.groupBy("u", "v", "m").agg(F.sum((F.col("sides") == 2).cast("long")).alias("shared_adj"))
-    return rows.withColumn("transposition", F.when(F.col("m") <= 1, F.lit(0)).otherwise(F.ceil((F.col("m") - F.col("shared_adj")) / 2)).cast("long"))
-
-
-def component_counts(pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Components of each pair's edge list (pair numbers from 0), by minimum labels with pointer jumping over all pairs at once."""
-    ends = pd.factorize(pd.MultiIndex.from_arrays([np.concatenate([pair, pair]), np.concatenate([a, b])]))[0]
-    x, y = ends[: len(pair)], ends[len(pair) :]
-    label = np.arange(int(ends.max()) + 1)
-    while True:
-        low = np.minimum(label[x], label[y])
-        after = label.copy()
-        np.minimum.at(after, label[x], low)
-        np.minimum.at(after, label[y], low)
-        while (deeper := after[after]).tolist() != after.tolist():
-            after = deeper
-        if (after == label).all():
-            break
-        label = after
-    of = np.zeros(len(label), np.int64)
-    of[x] = pair
-    return np.bincount(of[label == np.arange(len(label))], minlength=int(pair.max()) + 1)
-
-
-def two_break(edges: DataFrame, together: int = 256) -> DataFrame:
-    """(u, v, m, components, reversal): m less the components of both circles' adjacencies taken together; 0 for m <= 1.
-
-    A group is an entity with at most `together` consecutive others.
-    """
+    return pair_figures(kept, order=True).select("u", "v", F.col("inter").alias("m"), "shared_adj", transposition().alias("transposition"))
 
-    def count(key, pdf):
-        v, pair = np.unique(pdf["v"].to_numpy(), return_inverse=True)
-        n = component_counts(pair, pdf["a"].to_numpy(), pdf["b"].to_numpy())
-        m = np.zeros(len(v), np.int64)
-        m[pair] = pdf["m"].to_numpy()
-        return pd.DataFrame({"u": pdf["u"].iloc[0], "v": v, "m": m, "components": n, "reversal": np.where(m > 1, m - n, 0)})
 
-    blocks = edges.withColumn("block", F.floor(F.col("v") / together))
-    return blocks.groupBy("u", "block").applyInPandas(count, "u long, v long, m long, components long, reversal long")
+def two_break(kept: DataFrame) -> DataFrame:
+    """(u, v, m, components, reversal): m less the components of both circles' adjacencies taken together; 0 for m <= 1."""
+    return pair_figures(kept, order=True).select("u", "v", F.col("inter").alias("m"), "components", reversal().alias("reversal"))
 
 
-def pair_components(seq: DataFrame, kept: DataFrame) -> DataFrame:
+def pair_components(seq: DataFrame, kept: DataFrame, group: int = GROUP) -> DataFrame:
     """All six components and the Jaccard distance of every pair."""
-    jaccard = jaccard_pairs(kept)
-    blocks = exclusive_blocks(kept, jaccard.select("u", "v"))
-    edges = restricted_adjacencies(kept)
-    rows = jaccard.join(indels(blocks), ["u", "v"], "left").join(duplicate_distance(seq, blocks, jaccard), ["u", "v"], "left")
-    rows = rows.join(three_break(edges).select("u", "v", "transposition"), ["u", "v"], "left").join(two_break(edges).select("u", "v", "reversal"), ["u", "v"], "left")
-    return rows.select("u", "v", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COMPONENTS], F.col("distance").alias("jaccard_distance"))
+    rows = jaccard_of(pair_figures(kept, seq, order=True, runs=True, group=group))
+    own = {"mutation": F.lit(0).cast("long"), "reversal": reversal(), "transposition": transposition()}
+    return rows.select("u", "v", *[own.get(c, F.col(c)).alias(c) for c in COMPONENTS], F.col("distance").alias("jaccard_distance"))
 
 
 def totals(pairs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ GENES = """WITH g AS (SELECT user_id AS entity, json_extract_string(props, '$.k'
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord FROM events),
  f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord) - 1 AS o, count(*) OVER (PARTITION BY entity) AS n FROM (SELECT *, row_number() OVER (PARTITION BY entity, token ORDER BY ord) AS c FROM g) WHERE c = 1)"""
 COMMON = GENES + """, cm AS (SELECT a.entity AS u, b.entity AS v, a.token, a.o AS ou, b.o AS ov, a.strand AS su, b.strand AS sv FROM f a JOIN f b ON a.token = b.token AND a.entity < b.entity),
- pr AS (SELECT u, v, count(*) AS m FROM cm GROUP BY 1, 2)"""
+ en AS (SELECT DISTINCT entity FROM f WHERE token IS NOT NULL), pr AS (SELECT a.entity AS u, b.entity AS v, coalesce(k.m, 0) AS m FROM en a JOIN en b ON a.entity < b.entity LEFT JOIN (SELECT u, v, count(*) AS m FROM cm GROUP BY 1, 2) k ON k.u = a.entity AND k.v = b.entity)"""
 BLOCKS = COMMON + """, lim AS (SELECT entity, min(s) AS fs, max(z) AS le FROM f GROUP BY 1),
  dir AS (SELECT u, v, 'u' AS side, u AS me, v AS other FROM pr UNION ALL SELECT u, v, 'v', v, u FROM pr),
  ex AS (SELECT d.u, d.v, d.side, d.me, f.o, f.n, f.s, f.z, f.o - row_number() OVER (PARTITION BY d.u, d.v, d.side ORDER BY f.o) AS g FROM dir d JOIN f ON f.entity = d.me WHERE NOT EXISTS (SELECT 1 FROM f h WHERE h.entity = d.other AND h.token = f.token)),
@@ -34,8 +34,8 @@ BLOCKS = COMMON + """, lim AS (SELECT entity, min(s) AS fs, max(z) AS le FROM f
  bl AS (SELECT bk.*, CASE WHEN ts IS NOT NULL THEN le - ts + z - fs ELSE z - s END AS length, coalesce(ts, s) AS fr, ts IS NOT NULL AS spans FROM bk JOIN lim ON lim.entity = bk.me)"""
 ADJ = COMMON + """, sd AS (SELECT u, v, 'u' AS side, token, ou AS o, su AS st FROM cm UNION ALL SELECT u, v, 'v', token, ov, sv FROM cm),
  nx AS (SELECT *, coalesce(lead(token) OVER p, first_value(token) OVER p) AS t2, coalesce(lead(st) OVER p, first_value(st) OVER p) AS s2, count(*) OVER (PARTITION BY u, v, side) AS m FROM sd WINDOW p AS (PARTITION BY u, v, side ORDER BY o)),
- en AS (SELECT u, v, side, m, token || CASE WHEN st > 0 THEN ' T' ELSE ' H' END AS x, t2 || CASE WHEN s2 > 0 THEN ' H' ELSE ' T' END AS y FROM nx),
- ad AS (SELECT u, v, side, m, least(x, y) AS a, greatest(x, y) AS b FROM en)"""
+ ee AS (SELECT u, v, side, m, token || CASE WHEN st > 0 THEN ' T' ELSE ' H' END AS x, t2 || CASE WHEN s2 > 0 THEN ' H' ELSE ' T' END AS y FROM nx),
+ ad AS (SELECT u, v, side, m, least(x, y) AS a, greatest(x, y) AS b FROM ee)"""
 PARTS = """WITH sp AS (SELECT l_suppkey AS entity, l_partkey AS part, s_nationkey::BIGINT AS grp, p_brand || '/' || p_size AS token, p_type AS cls, p_brand AS brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
@@ -120,14 +120,9 @@ def jaccard_pairs(spark, d):
     return pairs.jaccard_pairs(key_sets(spark, d)).withColumns({c: F.round(c, 9) for c in ("jaccard", "distance")})
 
 
-def blocks_of(spark, d):
-    kept = key_sets(spark, d)
-    return pairs.exclusive_blocks(kept, pairs.jaccard_pairs(kept).select("u", "v"))
-
-
 @query(BLOCKS + " SELECT u, v, side, block, n_tokens::BIGINT AS n_tokens, round(length, 3) AS length, spans, CASE WHEN length < 2752 THEN 'mobile' ELSE 'recombination' END AS kind FROM bl")
 def exclusive_blocks(spark, d):
-    return blocks_of(spark, d).select("u", "v", "side", F.col("block").cast("long").alias("block"), "n_tokens", F.round("length", 3).alias("length"), "spans", "kind")
+    return pairs.exclusive_blocks(key_sets(spark, d)).select("u", "v", "side", "block", "n_tokens", F.round("length", 3).alias("length"), "spans", "kind")
 
 
 DUPLICATES = BLOCKS + """, xt AS (SELECT entity, token, count(*) - 1 AS x FROM g GROUP BY 1, 2 HAVING count(*) > 1),
@@ -137,24 +132,22 @@ DUPLICATES = BLOCKS + """, xt AS (SELECT entity, token, count(*) - 1 AS x FROM g
 
 @query(DUPLICATES + " SELECT u, v, duplicate FROM dd")
 def duplicate_distance(spark, d):
-    kept = key_sets(spark, d)
-    both = pairs.jaccard_pairs(kept)
-    return pairs.duplicate_distance(key_circles(spark, d), pairs.exclusive_blocks(kept, both.select("u", "v")), both)
+    return pairs.duplicate_distance(key_circles(spark, d), key_sets(spark, d))
 
 
 THREE = ", sa AS (SELECT u, v, m, a, b, count(DISTINCT side) AS k FROM ad GROUP BY ALL), tb AS (SELECT u, v, m, sum((k = 2)::INT)::BIGINT AS shared_adj FROM sa GROUP BY 1, 2, 3)"
 
 
-@query(ADJ + THREE + " SELECT u, v, m, shared_adj, CASE WHEN m <= 1 THEN 0 ELSE ceil((m - shared_adj) / 2)::BIGINT END AS transposition FROM tb")
+@query(ADJ + THREE + " SELECT pr.u, pr.v, pr.m, coalesce(shared_adj, 0) AS shared_adj, CASE WHEN pr.m <= 1 THEN 0 ELSE ceil((pr.m - shared_adj) / 2)::BIGINT END AS transposition FROM pr LEFT JOIN tb ON tb.u = pr.u AND tb.v = pr.v")
 def three_break(spark, d):
-    return pairs.three_break(pairs.restricted_adjacencies(key_sets(spark, d)))
+    return pairs.three_break(key_sets(spark, d))
 
 
 #: Components of both circles' adjacencies: labels walk along edges, but not past a smaller end.
 TWO = """, tw AS (SELECT DISTINCT u, v, x, y FROM (SELECT u, v, a AS x, b AS y FROM ad UNION ALL SELECT u, v, b, a FROM ad)),
  wk AS (SELECT DISTINCT u, v, x AS node, x AS label FROM tw UNION SELECT tw.u, tw.v, tw.y, wk.label FROM wk JOIN tw ON tw.u = wk.u AND tw.v = wk.v AND tw.x = wk.node WHERE wk.label < tw.y),
  cc AS (SELECT u, v, count(*) FILTER (low = node) AS components FROM (SELECT u, v, node, min(label) AS low FROM wk GROUP BY 1, 2, 3) GROUP BY 1, 2),
- rb AS (SELECT u, v, m, components, CASE WHEN m > 1 THEN m - components ELSE 0 END AS reversal FROM cc JOIN pr USING (u, v))"""
+ rb AS (SELECT pr.u, pr.v, m, coalesce(components, 0) AS components, CASE WHEN m > 1 THEN m - components ELSE 0 END AS reversal FROM pr LEFT JOIN cc ON cc.u = pr.u AND cc.v = pr.v)"""
 
 
 def recursive(sql: str) -> str:
@@ -163,7 +156,7 @@ def recursive(sql: str) -> str:
 
 @query(recursive(ADJ + TWO) + " SELECT * FROM rb")
 def two_break(spark, d):
-    return pairs.two_break(pairs.restricted_adjacencies(key_sets(spark, d)))
+    return pairs.two_break(key_sets(spark, d))
 
 
 def components_table(spark, d):
@@ -172,8 +165,8 @@ def components_table(spark, d):
 
 TABLE = recursive(DUPLICATES + ADJ.removeprefix(COMMON) + THREE + TWO) + """, z AS (SELECT entity, count(*) AS n FROM f GROUP BY 1),
  ki AS (SELECT u, v, count(*) FILTER (length < 2752) AS mobile, count(*) FILTER (length >= 2752) AS recombination FROM bl GROUP BY 1, 2),
- pc AS MATERIALIZED (SELECT pr.u, pr.v, 0::BIGINT AS mutation, coalesce(mobile, 0) AS mobile, coalesce(recombination, 0) AS recombination, rb.reversal, CASE WHEN tb.m <= 1 THEN 0 ELSE ceil((tb.m - shared_adj) / 2)::BIGINT END AS transposition, coalesce(duplicate, 0) AS duplicate, 1 - pr.m / (a.n + b.n - pr.m) AS jaccard_distance
- FROM pr JOIN z a ON a.entity = pr.u JOIN z b ON b.entity = pr.v JOIN rb ON rb.u = pr.u AND rb.v = pr.v JOIN tb ON tb.u = pr.u AND tb.v = pr.v LEFT JOIN ki ON ki.u = pr.u AND ki.v = pr.v LEFT JOIN dd ON dd.u = pr.u AND dd.v = pr.v)"""
+ pc AS MATERIALIZED (SELECT pr.u, pr.v, 0::BIGINT AS mutation, coalesce(mobile, 0) AS mobile, coalesce(recombination, 0) AS recombination, rb.reversal, CASE WHEN pr.m <= 1 THEN 0 ELSE ceil((pr.m - shared_adj) / 2)::BIGINT END AS transposition, coalesce(duplicate, 0) AS duplicate, 1 - pr.m / (a.n + b.n - pr.m) AS jaccard_distance
+ FROM pr JOIN z a ON a.entity = pr.u JOIN z b ON b.entity = pr.v JOIN rb ON rb.u = pr.u AND rb.v = pr.v LEFT JOIN tb ON tb.u = pr.u AND tb.v = pr.v LEFT JOIN ki ON ki.u = pr.u AND ki.v = pr.v LEFT JOIN dd ON dd.u = pr.u AND dd.v = pr.v)"""
 
 
 @query(TABLE + " SELECT * REPLACE (round(jaccard_distance, 9) AS jaccard_distance) FROM pc")
@@ -183,7 +176,7 @@ def pair_components(spark, d):
 
 @query(BLOCKS + " SELECT CASE WHEN length < 2752 THEN 'mobile' ELSE 'recombination' END AS component, count(*)::DOUBLE AS total, round(100.0 * count(*) / (SELECT count(*) FROM bl), 6) AS frequency FROM bl GROUP BY 1")
 def indel_weights(spark, d):
-    kinds = pairs.indels(blocks_of(spark, d))
+    kinds = pairs.indels(pairs.pair_figures(key_sets(spark, d), runs=True))
     rest = kinds.withColumns({c: F.lit(0) for c in ("reversal", "transposition", "duplicate")})
     return pairs.totals(rest).where("total > 0").select("component", "total", F.round("frequency", 6).alias("frequency"))
 

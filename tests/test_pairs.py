@@ -85,6 +85,72 @@ def test_random_circles(spark):
         assert (row["reversal"], row["transposition"]) == plain(circles[u], circles[v])
 
 
+def breakpoint_graph(one, two):
+    """Head and tail nodes of the common tokens, an edge for every two ends that are neighbours on either circle."""
+    common = {t for t, _ in one} & {t for t, _ in two}
+    near = {(t, end): set() for t in common for end in "HT"}
+    for circle in (one, two):
+        kept = [(t, s) for t, s in circle if t in common]
+        for (t, s), (t2, s2) in zip(kept, kept[1:] + kept[:1]):
+            x, y = (t, "T" if s > 0 else "H"), (t2, "H" if s2 > 0 else "T")
+            near[x].add(y)
+            near[y].add(x)
+    sizes, seen = [], set()
+    for node in near:
+        if node not in seen:
+            part, todo = set(), [node]
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part.add(x)
+                    todo += near[x]
+            seen |= part
+            sizes.append(sum(len(near[x]) for x in part) // 2)
+    return len(near), sizes
+
+
+def random_circles(rng, n):
+    out = {}
+    for e in range(n):
+        tokens = rng.sample("abcdefghijklmnop", rng.randint(1, 12))
+        out[e] = [(t, rng.choice((1, -1))) for t in tokens]
+    return out
+
+
+def test_distances_by_breakpoint_graph(spark):
+    circles = random_circles(random.Random(8), 30)
+    seq = genes(spark, circles)
+    kept = sequence.keep_first(seq)
+    three = {(r.u, r.v): r for r in pairs.three_break(kept).collect()}
+    two = {(r.u, r.v): r for r in pairs.two_break(kept).collect()}
+    assert len(three) == len(two) == 30 * 29 // 2
+    for (u, v), row in three.items():
+        nodes, sizes = breakpoint_graph(circles[u], circles[v])
+        odd = sum(n % 2 for n in sizes)
+        want = (math.ceil((nodes / 2 - odd) / 2), nodes // 2 - len(sizes)) if nodes > 2 else (0, 0)
+        assert (row.m, row.transposition, two[u, v].reversal) == (nodes // 2, *want)
+
+
+def test_disjoint_pairs_and_group_sizes(spark):
+    rng = random.Random(4)
+    circles = random_circles(rng, 11) | {20: signed("q r s"), 21: signed("t -u"), 22: signed("v")}
+    circles = {e: c + [rng.choice(c) for _ in range(rng.randint(0, 4))] for e, c in circles.items()}
+    seq = genes(spark, circles)
+    kept = sequence.keep_first(seq)
+    whole = sorted(map(tuple, pairs.pair_components(seq, kept).collect()))
+    assert len(whole) == 14 * 13 // 2 and sorted(map(tuple, pairs.pair_components(seq, kept, group=3).collect())) == whole
+    # Circles without a common token: one run each, nothing to rearrange.
+    assert [r for r in whole if r[:2] == (20, 21)] == [(20, 21, 0, 2, 0, 0, 0, 0, 1.0)]
+    assert sorted(map(tuple, pairs.exclusive_blocks(kept, group=4).collect())) == sorted(map(tuple, pairs.exclusive_blocks(kept).collect()))
+    assert pairs.pair_components(seq.limit(0), kept.limit(0)).count() == 0
+
+
+def test_null_tokens_take_no_part(spark):
+    rows = [(1, 0, "a"), (1, 1, None), (2, 0, "a"), (2, 1, "b"), (3, 0, None)]
+    kept = spark.createDataFrame(rows, "entity long, ord long, token string")
+    assert [(r.u, r.v, r.inter, r.n_union) for r in pairs.jaccard_pairs(kept).collect()] == [(1, 2, 1, 2)]
+
+
 def test_linkage_and_newick():
     d = np.array([[0, 1, 4.0], [1, 0, 5], [4, 5, 0]])
     merges = cluster.linkage(d)
