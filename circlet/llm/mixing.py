@@ -3,16 +3,15 @@
 Every document of a source gets the source's certain whole copies (the integer part of target / size). What is
 left of the target is met by one order sample without replacement: each document has a random number U and an
 inclusion probability p, documents are ranked by (U / (1 - U)) / (p / (1 - p)), and the sample is the prefix of
-that ranking whose words come nearest to the remainder. U depends on the seed, doc_id and text alone.
+that ranking whose words come nearest to the remainder: taken words miss a source's target by at most half the words of
+the document that the prefix ends at. U is drawn from the md5 of the seed, doc_id and text alone.
 
 The prefix is found without sorting a source: words are summed in 4096 bins of the ranking variable, then in 4096
 bins of the bin where the prefix ends, and only that last bin (about one document in 16 million) is ranked.
-Documents of over 1/200 of their source (so fewer than 200) come first: in ranking order, each is taken if that
-brings the words nearer to their share of the remainder; the prefix of the others then meets what is left.
 
 Edge cases: null or blank texts have size 0 and are never taken; a null source is a source of its own, the last in
-order; an empty table gives an empty mix; rows that repeat a doc_id with the same text share their U and are
-ordered by size; columns of other names are carried along untouched by `mix_documents`.
+order; an empty table gives an empty mix; rows that repeat a doc_id with the same text share their U, and so the place
+where the prefix ends may fall between them; columns of any other name are carried along untouched.
 """
 
 from __future__ import annotations
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 from circlet.llm.common import WORD, small, staged
 
 BINS = 4096
-#: A document is large if its source has fewer than so many times its words.
-LARGE = 200
 
 
 @dataclass(frozen=True)
@@ -47,9 +44,10 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Adds _mx_size and _mx_u, uniform in (0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), "doc_id", "text"), 11)
-    return docs.withColumns({"_mx_size": word_count(F.col("text")), "_mx_u": (bits + 0.5) / float(1 << 53)})
+    """Adds _mx_size and _mx_u, uniform in (0, 1): 52 bits of md5 of seed:doc_id:text, null being empty."""
+    drawn = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    bits = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long")
+    return docs.withColumns({"_mx_size": word_count(F.col("text")), "_mx_u": (bits + 0.5) / float(1 << 52)})
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -81,26 +79,13 @@ def ranked(docs: DataFrame, per_source: DataFrame, mix: Mix) -> DataFrame:
     odds = part / (1 - part) * tilted
     q = F.col("_mx_u") / (1 - F.col("_mx_u")) / odds
     rest = F.greatest(F.col("target") - certain * F.col("source_size"), F.lit(0.0))
-    return docs.withColumns({"_mx_certain": certain.cast("long"), "_mx_part": part, "_mx_rest": rest, "_mx_q": F.when((F.col("_mx_size") > 0) & (part > 0), q), "_mx_large": F.col("_mx_size") * LARGE > F.col("source_size")})
+    return docs.withColumns({"_mx_certain": certain.cast("long"), "_mx_part": part, "_mx_rest": rest, "_mx_q": F.when((F.col("_mx_size") > 0) & (part > 0), q)})
 
 
-def large_picks(docs: DataFrame) -> DataFrame:
-    """Per source with large documents: which of them the sample takes, and their words. A source has fewer than LARGE."""
-    units = docs.where("_mx_large and _mx_q is not null").groupBy("source", "_mx_part", F.struct("_mx_q", "doc_id").alias("unit")).agg(F.sum("_mx_size").alias("n"))
-    lists = units.groupBy("source", "_mx_part").agg(F.array_sort(F.collect_list(F.struct("unit", "n"))).alias("units"), F.sum("n").alias("all"))
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.slice(F.transform("units", lambda x: x["unit"]), 1, 0).alias("picks"))
-    goal = F.col("_mx_part") * F.col("all")
-    took = F.aggregate("units", none, lambda acc, x: F.when(acc["n"] + x["n"] / 2 <= goal, F.struct((acc["n"] + x["n"]).alias("n"), F.concat(acc["picks"], F.array(x["unit"])).alias("picks"))).otherwise(acc))
-    return lists.select(F.col("source").alias("_mx_of"), took.alias("took")).select("_mx_of", F.col("took.n").alias("_mx_done"), F.col("took.picks").alias("_mx_picks"))
-
-
-def settled(docs: DataFrame, picks: DataFrame) -> DataFrame:
-    """Marks the large documents that are taken, leaves the rest of the remainder to the others, and gives those their bins."""
-    docs = with_cut(docs, picks)
-    small_q = F.when(~F.col("_mx_large"), F.col("_mx_q"))
-    at = small_q / (1 + small_q) * BINS
-    docs = docs.withColumns({"_mx_pick": F.coalesce(F.col("_mx_large") & F.array_contains("_mx_picks", F.struct("_mx_q", "doc_id")), F.lit(False)), "_mx_rest": F.greatest(F.col("_mx_rest") - F.coalesce("_mx_done", F.lit(0)), F.lit(0.0))})
-    return docs.withColumns({"_mx_q": small_q, "_mx_b1": F.least(F.floor(at), F.when(small_q.isNotNull(), F.lit(BINS - 1))), "_mx_b2": F.floor((at - F.floor(at)) * BINS)})
+def binned(docs: DataFrame) -> DataFrame:
+    """Adds the bins of the ranking variable on both levels."""
+    at = F.col("_mx_q") / (1 + F.col("_mx_q")) * BINS
+    return docs.withColumns({"_mx_b1": F.least(F.floor(at), F.when(F.col("_mx_q").isNotNull(), F.lit(BINS - 1))), "_mx_b2": F.floor((at - F.floor(at)) * BINS)})
 
 
 def cut(docs: DataFrame, level: str, before: str | None) -> DataFrame:
@@ -121,35 +106,37 @@ def with_cut(docs: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), wide: bool = True) -> DataFrame:
     """docs(doc_id, text, source, ...) with _mx_size, source_size, target and _mx_copies, how often each is taken.
 
-    wide: all columns of docs come back, sized anew; else doc_id and source only, from the staged sizes.
+    wide: all columns of docs come back, sized anew, whatever their names (but for the four above, which replace any of
+    the same name); else doc_id and source only, from the staged sizes.
     """
+    added = ("_mx_size", "source_size", "target", "_mx_copies")
+    own = {c: f"_in{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    inner = docs.withColumnsRenamed(own)
     narrow = staged(sized(docs.select("doc_id", "source", "text"), mix).drop("text"))
     per_source = small(targets(narrow, mix))
-    known = ranked(narrow, per_source, mix)
-    picks = small(large_picks(known), 500)
-    known = settled(known, picks)
+    known = binned(ranked(narrow, per_source, mix))
     first = small(cut(known, "_mx_b1", None))
     in_bin = with_cut(known, first).where("_mx_b1 = _mx_b1_cut")
     second = small(cut(in_bin, "_mx_b2", "_mx_b1_done"))
-    out = sized(docs.drop("_mx_size"), mix) if wide else narrow
-    out = with_cut(with_cut(settled(ranked(out, per_source, mix), picks), first), second)
+    out = sized(inner, mix) if wide else narrow
+    out = with_cut(with_cut(binned(ranked(out, per_source, mix)), first), second)
     at_end = F.coalesce((F.col("_mx_b1") == F.col("_mx_b1_cut")) & (F.col("_mx_b2") == F.col("_mx_b2_cut")), F.lit(False))
     # With no cut the whole ranking is taken (the remainder exceeds it only by rounding).
     below = F.col("_mx_q").isNotNull() & (F.col("_mx_b1_cut").isNull() | (F.col("_mx_b1") < F.col("_mx_b1_cut")) | ((F.col("_mx_b1") == F.col("_mx_b1_cut")) & (F.col("_mx_b2") < F.coalesce(F.col("_mx_b2_cut"), F.lit(BINS)))))
     order = W.partitionBy("source").orderBy("_mx_q", "doc_id", "_mx_size").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("_mx_b2_done") + F.sum("_mx_size").over(order) - F.col("_mx_size") / 2
-    taken = out.where(~at_end).withColumn("_mx_in", below | F.col("_mx_pick")).unionByName(out.where(at_end).withColumn("_mx_in", middle <= F.col("_mx_rest")))
+    taken = out.where(~at_end).withColumn("_mx_in", below).unionByName(out.where(at_end).withColumn("_mx_in", middle <= F.col("_mx_rest")))
     taken = taken.withColumn("_mx_copies", F.when(F.col("_mx_size") > 0, F.col("_mx_certain") + F.col("_mx_in").cast("long")).otherwise(F.lit(0)).cast("long"))
-    kept = docs.columns if wide else ["doc_id", "source"]
-    return taken.select(*[F.col(f"`{c}`") for c in kept], "_mx_size", "source_size", "target", "_mx_copies")
+    kept = [c for c in docs.columns if c not in added] if wide else ["doc_id", "source"]
+    return taken.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in kept], *added)
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    inner = docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "text", "source")})
-    out = mix_documents(inner, mix)
-    out = out.where("_mx_copies > 0").withColumn("_mx_n", F.explode(F.array_repeat(F.lit(1), F.col("_mx_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`" if c in ("doc_id", "text", "source") else f"`_in_{c}`").alias(c) for c in docs.columns])
+    own = {c: f"_own{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    out = mix_documents(docs.withColumnsRenamed(own), mix).where("_mx_copies > 0")
+    out = out.withColumn("_mx_n", F.explode(F.array_repeat(F.lit(1), F.col("_mx_copies").cast("int"))))
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -73,6 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe_digests,
     )
 }
+#: op1: sizes and draws, targets as the level that shares the excess over caps, and the prefix of the ranking by odds ratio.
+OP1_SQL = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, (('0x' || left(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS k, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY 1),
+ l AS (SELECT *, 3.0::DOUBLE * source_size AS c, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, k, coalesce(least(c, w * (SELECT arg_min(level, c / w) FROM l WHERE c / w > level)), c) AS target FROM l),
+ r AS (SELECT d.*, source_size, k, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+ p AS (SELECT *, floor(ratio + 1e-12) AS whole, least(greatest(ratio - floor(ratio + 1e-12), 0), 1 - 1e-12) AS part FROM r),
+ q AS (SELECT *, greatest(target - whole * source_size, 0) AS rest, CASE WHEN size > 0 AND part > 0 THEN u / (1 - u) / (part / (1 - part) * pow(source_size::DOUBLE / k / size, 0.25)) END AS q FROM p),
+ o AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle FROM q)
+ SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (whole::BIGINT + (q IS NOT NULL AND middle <= rest)::BIGINT) ELSE 0 END AS taken FROM o"""
 #: op2: every byte's 50-byte string as hex (cut by way of 512-byte blocks), its first document, and what later ones lose.
 OP2_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
  k AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 1122) AS x FROM (SELECT *, unnest(range(0, n, 512)) AS o FROM d)),
@@ -85,4 +95,4 @@ OP2_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, str
 OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
  SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL}
