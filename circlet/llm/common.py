@@ -19,28 +19,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where the setting is unset (tests)."""
+    """The folder that the cluster names for checkpoints. Where it is unset, a temporary one serves a local master; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-staged-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, read_in: SparkSession | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs one stage at most.
 
-    The shuffle files behind df are dropped once the table is written.
+    The shuffle files behind df are dropped once the table is written, unless the session says otherwise. read_in: the
+    session that reads, by default that of df.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(CLEANUP, None) is None:
+        spark.conf.set(CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
+    return (read_in or spark).read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circlet.llm.common import staged
+from circlet.llm.common import discard, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,16 +15,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and its join side can be split; nothing is collected. The number of rounds grows with the logarithm of the size.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first()
-        if mark[0] == 0 or mark == before:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        before = mark
+    while now.limit(1).count():
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = staged(large.where("hi <> lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = staged(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct())
+        after = staged(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct())
+        # Stars stay as they are: no edge is new and as many are left.
+        done = after.count() == now.count() and not after.join(now, ["hi", "lo"], "left_anti").limit(1).count()
+        discard(large)
+        discard(now)
+        now = after
+        if done:
+            break
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

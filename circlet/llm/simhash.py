@@ -4,8 +4,8 @@ Two fingerprints within 3 bits meet at a variant: one flips at most one bit, the
 joins an even with an odd number of set bits, so only odd fingerprints need pairs of flips; and since two of any
 three bits lie in the same half, pairs within a half are enough. An even fingerprint thus emits 65 variants, an
 odd one 65 + 2 * C(32, 2) = 1057, whatever the data. Flips of two bits leave one half alone, so the shuffle deals
-fingerprints out by halves (each half as it is and with one flip, 66 rows) and the variants are made where they
-meet; halves that very many fingerprints share have their variants dealt out one by one. Where variants collide, every
+fingerprints out by a half of their variants and four bits more (74 rows of an even, 86 of an odd fingerprint), and the
+variants are made where they meet; both sides of the join are hashed and spill. Where variants collide, every
 fingerprint is linked with the smallest one that reached the variant with at most one flip (members of such a
 group are within 3 bits of it, by parity), each link is verified, and components follow from the links. A variant
 collects at most 2081 fingerprints and groups are linked as stars, so there are no hot keys and no pairs of a group.
@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from circlet.llm.common import ascii_lower, pieces, small, staged, utf8
+from circlet.llm.common import ascii_lower, discard, pieces, staged, utf8
 from circlet.llm.components import connected_components
 
 #: XXH64, fixed values of the published algorithm.
@@ -131,69 +131,75 @@ def signed(x: int) -> int:
 
 
 LOW = (1 << 32) - 1
+#: A half's further split: so many bits of the other half, those on top.
+SPLIT = 4
+REST = 32 - SPLIT
 ONE = [1 << i for i in range(32)]
-TWO = [1 << i | 1 << j for i in range(32) for j in range(i + 1, 32)]
-#: Halves that more distinct fingerprints than this share have their variants dealt out one by one.
-HOT = 50_000
+#: Flips of at most two bits of the top of a half, and of what is left of it.
+TOP_ONE, TOP_TWO = [1 << i for i in range(SPLIT)], [1 << i | 1 << j for i in range(SPLIT) for j in range(i + 1, SPLIT)]
+REST_ONE, REST_TWO = [1 << i for i in range(REST)], [1 << i | 1 << j for i in range(REST) for j in range(i + 1, REST)]
 
 
-def turned(x, side):
-    """A half's flips as flips of a fingerprint: side 1 keeps the low half and flips the high one."""
-    return F.when(side == 1, F.shiftleft(x, 32)).otherwise(x)
+def longs(values: list[int]) -> Column:
+    return F.lit(values).cast("array<bigint>")
+
+
+def halves(side: Column, fp: Column) -> tuple[Column, Column]:
+    """The half that side deals by (1: the low one) and the other."""
+    low, high = fp.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(fp, 32)
+    return F.when(side == 1, low).otherwise(high), F.when(side == 1, high).otherwise(low)
 
 
 def seeds(prints: DataFrame) -> DataFrame:
-    """(side, half, fp): each fingerprint under either half, as it is and with one bit of that half flipped."""
+    """(side, half, top, fp): where a fingerprint's variants lie, by a half of theirs and the top of their other half.
+
+    With a bit of the half flipped, the other half is as it is; with the half as it is, at most two bits of the top are
+    flipped, and at most one if the fingerprint is even.
+    """
     sides = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    own = F.when(F.col("side") == 1, F.col("fp").bitwiseAND(F.lit(LOW))).otherwise(F.shiftrightunsigned("fp", 32))
-    return sides.select("side", "fp", own.alias("own")).select("side", F.explode(F.transform(F.lit([0, *ONE]).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("own")))).alias("half"), "fp")
+    half, other = halves(F.col("side"), F.col("fp"))
+    top = F.shiftright(other, REST)
+    flips = F.when(F.bit_count("fp") % 2 == 0, longs([0, *TOP_ONE])).otherwise(longs([0, *TOP_ONE, *TOP_TWO]))
+    away = F.transform(longs(ONE), lambda m: F.struct(m.bitwiseXOR(half).alias("half"), top.alias("top")))
+    here = F.transform(flips, lambda m: F.struct(half.alias("half"), m.bitwiseXOR(top).alias("top")))
+    return sides.select("side", "fp", F.explode(F.concat(here, away)).alias("at")).select("side", "at.half", "at.top", "fp")
 
 
 def variants(rows: DataFrame, near: bool) -> DataFrame:
-    """seeds -> (side, half, variant, fp). near: variants of one flip at most; else those of any number of flips.
+    """seeds -> (side, half, top, variant, fp), variant being the other half. near: of one flip at most; else of any number."""
+    own, other = halves(F.col("side"), F.col("fp"))
+    turned = F.shiftright(other, REST).bitwiseXOR(F.col("top"))
+    left = F.when(own != F.col("half"), 0).otherwise(F.when(F.lit(near) | (F.bit_count("fp") % 2 == 0), 1).otherwise(2) - F.bit_count(turned))
+    masks = F.when(left == 0, longs([0])).when(left == 1, longs([0, *REST_ONE])).when(left == 2, longs([0, *REST_ONE, *REST_TWO]))
+    start = other.bitwiseXOR(F.shiftleft(turned, REST))
+    return rows.select("side", "half", "top", "fp", start.alias("start"), F.explode(masks).alias("m")).select("side", "half", "top", F.col("start").bitwiseXOR(F.col("m")).alias("variant"), "fp")
 
-    Under its own half a fingerprint is itself or has one bit of the other half flipped, and if it is odd, two; under
-    a half with a flip it has no other.
-    """
-    side, half, fp = F.col("side"), F.col("half"), F.col("fp")
-    own = F.when(side == 1, fp.bitwiseAND(F.lit(LOW))).otherwise(F.shiftrightunsigned(fp, 32)) == half
-    here = F.when(side == 1, fp.bitwiseAND(F.lit(~LOW)).bitwiseOR(half)).otherwise(fp.bitwiseAND(F.lit(LOW)).bitwiseOR(F.shiftleft(half, 32)))
-    one, two, none = (F.lit(x).cast("array<bigint>") for x in ([0, *ONE], [0, *ONE, *TWO], [0]))
-    masks = F.when(~own, none).when(F.lit(near) | (F.bit_count(fp) % 2 == 0), one).otherwise(two)
-    return rows.select("side", "half", "fp", here.alias("here"), F.explode(masks).alias("m")).select("side", "half", F.col("here").bitwiseXOR(turned(F.col("m"), side)).alias("variant"), "fp")
 
+def ball_links(prints: DataFrame) -> DataFrame:
+    """prints(fp: long, distinct) -> staged links (a, b) within 3 bits; not all pairs, but the same components.
 
-def met(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of seeds whose variants collide; if the seeds are dealt out by half, no more rows move."""
-    keys = ["side", "half", "variant"]
+    The seeds are dealt out by half and top, and no row moves after that: the session of its own says that a join may
+    keep a partitioning by some of its keys.
+    """
+    spark = prints.sparkSession
+    alone = spark.newSession()
+    alone.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own = staged(prints.select("fp"), alone)
+    rows = seeds(own).repartition("side", "half", "top")
+    keys = ["side", "half", "top", "variant"]
     centre = variants(rows, near=True).groupBy(*keys).agg(F.min("fp").alias("a"))
     pairs = variants(rows, near=False).join(centre.hint("shuffle_hash"), keys)
-    return pairs.where("fp <> a and bit_count(fp ^ a) <= 3").select("a", F.col("fp").alias("b"))
-
-
-def ball_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """prints(fp: long, distinct) -> staged links (a, b) within 3 bits; not all pairs, but the same components."""
-    spark = prints.sparkSession
-    rows = seeds(prints)
-    own = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(F.lit(LOW)).alias("half")))).alias("s")).select("s.*")
-    crowded = own.groupBy("side", "half").count().where(F.col("count") > hot)
-    crowded = small(crowded.select("side", F.explode(F.transform(F.lit([0, *ONE]).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("half")))).alias("half")).distinct())
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        links = staged(met(rows.join(crowded, ["side", "half"], "left_anti").repartition("side", "half")).distinct())
-    finally:
-        spark.conf.set(key, before)
-    if crowded.count():
-        links = staged(links.union(met(rows.join(crowded, ["side", "half"], "left_semi"))).distinct())
+    links = staged(pairs.where("fp <> a and bit_count(fp ^ a) <= 3").select("a", F.col("fp").alias("b")).distinct(), spark)
+    discard(own)
     return links
 
 
 def rooted(marks: DataFrame) -> DataFrame:
     """marks(doc_id, fp) -> staged (fp, least_id, root): each fingerprint's smallest doc_id and its component."""
     prints = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(ball_links(prints.select("fp")))
+    links = ball_links(prints.select("fp"))
+    roots = connected_components(links)
+    discard(links)
     return staged(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
 
 
