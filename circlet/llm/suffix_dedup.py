@@ -3,17 +3,22 @@
 1. Anchors. In every 50-byte window one 20-byte gram is chosen by its hash alone, so equal windows choose equal grams at
    equal places; about one position in 16 is an anchor of a run of windows. Grams are counted by document with partial
    aggregation; only those of two or more documents go on.
-2. Contexts. The documents that have such grams cut out, per anchor, the text that its windows cover (at most 80 bytes).
-   Equal contexts of one gram are one class, with its smallest document, however many documents share it.
-3. Common-prefix interval trees. A gram's classes meet in one task and form a suffix array of window starts with the
-   lengths of common prefixes; a stack scan yields its intervals of 50 bytes or more, and those whose occurrences
+2. Contexts. The documents that have such grams cut out, per anchor, the text that its windows cover (at most 80 bytes)
+   and the symbols on either side of it. Occurrences of one context are one leaf of the tree, however many they are.
+3. Common-prefix interval trees. The contexts of a gram meet in one task and form a suffix array of window starts with
+   the lengths of common prefixes; a stack scan yields its intervals of 50 bytes or more, and those whose occurrences
    differ to the left are maximal repeats. Each repeat gives all its occurrences, not neighbours only, the smallest
-   document of the group. Grams of over HOT classes are settled by exact aggregation over their windows instead.
-4. Members of a class take over its windows' smallest documents; what is larger than one is cut from the text.
+   document of the group. A gram of over SPLIT contexts is cut into contexts of one window each, which tasks can share.
+4. `spans`: documents take over their windows' smallest documents; what is larger than one is cut from the text.
+5. `repeat_groups`: a repeat that goes on beyond a context is put together again. Its first window has occurrences that
+   differ to the left and its last one to the right, so all runs of repeated text between two such places are candidates,
+   and those of equal content meet by hash of 128 bits: the maximal repeats of the whole corpus, at full length, with all
+   occurrences. They cover the bytes that the intervals around anchors cover, hence `spans` doesn't need them.
 
 Edge cases: null is the empty text; a text under 50 bytes stays whole; rows with a null doc_id come after all others and
-don't remove from each other, as rows that repeat a doc_id don't; equal rows give equal results; an empty table gives
-none; extra columns are carried along by `without_repeats` and not read otherwise.
+don't remove from each other, as rows that repeat a doc_id don't; equal rows give equal results and are one document of
+`repeat_groups`, where repeats within a document count; an empty table gives none; extra columns are carried along by
+`without_repeats` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circlet.llm.common import discard, pieces, small, staged, utf8
 
 LENGTH, GRAM = 50, 20
-HOT = 4000
-BUCKET = 40_000
+#: Contexts of a gram that go to one task together, and of all grams of a group.
+SPLIT = 2000
+BUCKET = 4000
 LAST = (1 << 63) - 1
 
 
@@ -85,7 +92,10 @@ def grams(rows: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """rows(d, t, text, gs) -> (g, d, t, a, off, c): per anchor whose gram is in gs, the text c from byte a that its windows cover."""
+    """rows(d, t, text, gs) -> (g, d, t, a, off, l, r, c): per anchor whose gram is in gs, the text c from byte a that its windows cover.
+
+    off: the anchor's place in c; l and r: the bytes before and after c, -1 at the text's ends.
+    """
     spread = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches):
@@ -102,27 +112,69 @@ def contexts(rows: DataFrame) -> DataFrame:
                 keep = np.isin(g ^ (row.astype(np.uint64) * spread), wanted.flatten().to_numpy().view(np.uint64) ^ (of.astype(np.uint64) * spread))
                 row, first, last, place, g = (x[keep] for x in (row, first, last, place, g))
                 whole = own.tobytes()
+                begin, end = offsets[a + row] - offsets[a], offsets[a + row + 1] - offsets[a]
+                l = np.where(first > begin, own[np.maximum(first - 1, 0)].astype(np.int16), -1)
+                r = np.where(last + LENGTH < end, own[np.minimum(last + LENGTH, len(own) - 1)].astype(np.int16), -1) if len(own) else np.zeros(0, np.int16)
                 text = pa.array([whole[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d[a + row]), pa.array(t[a + row]), pa.array(first - (offsets[a + row] - offsets[a])), pa.array((place - first).astype(np.int32)), text], ["g", "d", "t", "a", "off", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d[a + row]), pa.array(t[a + row]), pa.array(first - begin), pa.array((place - first).astype(np.int32)), pa.array(l.astype(np.int16)), pa.array(r.astype(np.int16)), text], ["g", "d", "t", "a", "off", "l", "r", "c"])
+
+    return rows.mapInArrow(run, "g long, d long, t long, a long, off int, l short, r short, c binary")
 
-    return rows.mapInArrow(run, "g long, d long, t long, a long, off int, c binary")
 
+def words(text: np.ndarray, at: np.ndarray, rest: np.ndarray, first: int, last: int) -> list[np.ndarray]:
+    """Bytes first to last of suffixes as numbers of 8 bytes; bytes from the suffix's end on are zero. text is padded."""
+    out = []
+    eight = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+    for b in range(first, last, 8):
+        word = eight[at + b].astype(np.uint64)
+        have = np.clip(np.minimum(rest, last) - b, 0, 8)
+        if len(have) and have.min() < 8:
+            word = np.where(have > 0, word >> (np.uint64(8) * np.minimum(8 - have, 7).astype(np.uint64)) << (np.uint64(8) * np.minimum(8 - have, 7).astype(np.uint64)), np.uint64(0))
+        out.append(word)
+    return out
 
-def suffix_ranks(text: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Ranks of the prefixes of 1, 2, 4, ... bytes at every place, up to the last power of 2 within `longest` (8 at least).
 
-    Up to 8 bytes a prefix is its own rank, as a number; beyond, ranks are doubled. Past the end stand zeros.
+def common_bytes(x: np.ndarray) -> np.ndarray:
+    """Leading zero bytes of numbers of 8 bytes."""
+    n = np.zeros(len(x), np.int64)
+    for shift in range(0, 64, 8):
+        n += (x >> np.uint64(shift)) == 0
+    return n
+
+
+def suffix_array(text: np.ndarray, at: np.ndarray, rest: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of the suffixes of `rest` bytes at places of a padded text, within groups.
+
+    Suffixes whose first `least` bytes no other one has are in no interval; those are told by a hash and left out before
+    the sort, which is by the bytes themselves. lcp[i] is of suffixes i - 1 and i, 0 where it is below `least`.
     """
-    n, padded = len(text), np.concatenate([text, np.zeros(8, np.uint8)])
-    ranks = [np.ndarray((n,), f">u{size}", padded, strides=(1,)) for size in (1, 2, 4)]
-    ranks.append(np.unique(np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64), return_inverse=True)[1])
-    half = 8
-    while 2 * half <= longest:
-        right = np.zeros(n, np.int64)
-        right[: max(0, n - half)] = ranks[-1][half:]
-        ranks.append(np.unique(ranks[-1] * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1])
-        half *= 2
-    return ranks
+    head = words(text, at, rest, 0, least)
+    h = group.astype(np.uint64)
+    for word in head:
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    by = np.argsort(h)
+    same = h[by][1:] == h[by][:-1]
+    again = np.sort(by[np.append(same, False) | np.append(False, same)]) if len(by) else by
+    keys = [group[again], *(w[again] for w in head)]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(again), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(again) else False
+    again, run = again[order], np.cumsum(new)
+    longest = int(rest[again].max(initial=least))
+    tail = words(text, at[again], rest[again], least, longest)
+    order = np.lexsort([rest[again], *tail[::-1], run])
+    again, run, tail = again[order], run[order], [w[order] for w in tail]
+    lcp = np.zeros(len(again), np.int64)
+    alike = run[1:] == run[:-1]
+    lcp[1:][alike] = least
+    for word in tail:
+        both = common_bytes(word[1:] ^ word[:-1])
+        lcp[1:] += np.where(alike, both, 0)
+        alike = alike & (both == 8)
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(rest[again][1:], rest[again][:-1]))
+    return again, lcp
 
 
 def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -155,132 +207,193 @@ def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: in
     return out
 
 
-def tree(pdf: pd.DataFrame, least: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Maximal repeats among the contexts c of each g: occurrences as (repeat, context, window start, length)."""
-    c = pdf["c"].tolist()
-    size = np.array([len(x) for x in c], np.int64)
-    base = np.cumsum(size + 1) - (size + 1)
-    text = np.zeros(int((size + 1).sum()), np.uint8)
-    mark = np.ones(len(text), bool)
-    mark[base + size] = False
-    text[mark] = np.frombuffer(b"".join(c), np.uint8)
-    longest = int(size.max(initial=1))
-    ranks = suffix_ranks(text, longest)
-    windows = np.maximum(size - least + 1, 0)
-    of = np.repeat(np.arange(len(c)), windows)
-    start = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = base[of] + start
-    g = np.unique(pdf["g"].to_numpy(), return_inverse=True)[1][of]
-    top = 1 << (len(ranks) - 1)
-    further = np.minimum(at + max(0, longest - top), len(text) - 1)
-    order = np.lexsort((ranks[-1][further], ranks[-1][at], g))
-    sa, of, start, g = at[order], of[order], start[order], g[order]
-    lcp = np.zeros(len(sa), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        one, two = np.minimum(sa[:-1] + lcp[1:], len(text) - 1), np.minimum(sa[1:] + lcp[1:], len(text) - 1)
-        lcp[1:] += np.where(ranks[level][one] == ranks[level][two], 1 << level, 0)
-    rest = size[of] - start
-    if len(sa):
-        lcp[1:] = np.where(g[1:] == g[:-1], np.minimum(lcp[1:], np.minimum(rest[1:], rest[:-1])), 0)
-    before = np.where(start > 0, text[np.maximum(sa - 1, 0)].astype(np.int64), -1)
-    found = np.array(maximal_repeats(sa, lcp, before, least), np.int64).reshape(-1, 3)
-    count = found[:, 1] - found[:, 0]
-    number = np.repeat(np.arange(len(found)), count + 1)
-    entry = np.repeat(found[:, 0], count + 1) + (np.arange(len(number)) - np.repeat(np.cumsum(count + 1) - (count + 1), count + 1))
-    return number, of[entry], start[entry], found[number, 2]
+class Contexts:
+    """Contexts end to end, and the suffixes that begin at their windows."""
+
+    def __init__(self, pdf: pd.DataFrame, least: int = LENGTH):
+        c = pdf["c"].tolist()
+        size = np.fromiter(map(len, c), np.int64, len(c))
+        self.text = np.frombuffer(b"".join(c) + bytes(96), np.uint8)
+        self.windows = size - least + 1
+        self.base = np.cumsum(self.windows) - self.windows
+        self.of = np.repeat(np.arange(len(c)), self.windows)
+        self.start = np.arange(len(self.of)) - self.base[self.of]
+        self.at = (np.cumsum(size) - size)[self.of] + self.start
+        self.rest = size[self.of] - self.start
+        self.group = np.unique(pdf["g"].to_numpy(), return_inverse=True)[1][self.of]
+        self.order, self.lcp = suffix_array(self.text, self.at, self.rest, self.group, least)
+
+    def repeats(self, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal repeats as occurrences (repeat, suffix, length). What begins with its context may go on before it and counts."""
+        before = np.where(self.start > 0, self.text[np.maximum(self.at - 1, 0)].astype(np.int64), -1)[self.order]
+        found = np.array(maximal_repeats(self.order, self.lcp, before, least), np.int64).reshape(-1, 3)
+        count = found[:, 1] - found[:, 0] + 1
+        number = np.repeat(np.arange(len(found)), count)
+        entry = np.repeat(found[:, 0], count) + (np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count))
+        return number, self.order[entry], found[number, 2]
 
 
 def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Classes (g, k, c, m, most) of whole grams -> runs of windows (lo, hi) with the smallest document m that has them.
+    """Contexts (g, k, c, m, most) of whole grams -> runs of windows (lo, hi) with the smallest document m that has them.
 
-    A gram's only class keeps its own smallest document throughout. Runs that no document of the class can lose are left out.
+    Runs that no document of the context can lose are left out.
     """
-    many = pdf["g"].duplicated(keep=False)
-    single = pdf[~many & (pdf["m"] < pdf["most"])]
-    single = pd.DataFrame({"g": single["g"], "k": single["k"], "lo": 0, "hi": single["c"].str.len() - LENGTH, "m": single["m"]})
-    pdf = pdf[many]
-    if not len(pdf):
-        return single
-    number, of, start, length = tree(pdf)
-    m = pdf["m"].to_numpy()
-    size = pdf["c"].str.len().to_numpy(np.int64) - LENGTH + 1
-    base = np.cumsum(size) - size
-    smallest = np.repeat(m, size)
+    here = Contexts(pdf)
+    m, most = pdf["m"].to_numpy(), pdf["most"].to_numpy()
+    smallest = np.repeat(m, here.windows)
+    number, suffix, length = here.repeats()
     if len(number):
         group = np.full(int(number.max()) + 1, LAST)
-        np.minimum.at(group, number, m[of])
+        np.minimum.at(group, number, m[here.of[suffix]])
         wide = length - LENGTH + 1
-        cell = np.repeat(base[of] + start, wide) + (np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide))
+        cell = np.repeat(suffix, wide) + (np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide))
         np.minimum.at(smallest, cell, np.repeat(group[number], wide))
-    own = np.repeat(np.arange(len(m)), size)
-    change = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(smallest, prepend=-1) != 0))
-    last = np.append(change[1:], len(own)) - 1
-    change, last = (x[smallest[change] < pdf["most"].to_numpy()[own[change]]] for x in (change, last))
-    at = own[change]
-    runs = pd.DataFrame({"g": pdf["g"].to_numpy()[at], "k": pdf["k"].to_numpy()[at], "lo": change - base[at], "hi": last - base[at], "m": smallest[change]})
-    return pd.concat([single, runs])
-
-
-def found_contexts(rows: DataFrame) -> DataFrame:
-    """Steps 1 and 2: the staged contexts (g, k, d, t, a, c) of grams that two or more documents have; k: hash of the context."""
-    shared = grams(rows).groupBy("g").agg(F.min("d").alias("one"), F.max("d").alias("two")).where("one < two").select("g")
-    shared = staged(shared)
+    change = np.flatnonzero((np.diff(here.of, prepend=-1) != 0) | (np.diff(smallest, prepend=-1) != 0))
+    last = np.append(change[1:], len(here.of)) - 1
+    change, last = (x[smallest[change] < most[here.of[change]]] for x in (change, last))
+    at = here.of[change]
+    return pd.DataFrame({"g": pdf["g"].to_numpy()[at], "k": pdf["k"].to_numpy()[at], "lo": here.start[change], "hi": here.start[last], "m": smallest[change]})
+
+
+def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Contexts -> windows (lo, hi = lo) of two occurrences or more, and whether these differ to the left and to the right."""
+    here = Contexts(pdf)
+    column = {c: pdf[c].to_numpy(np.int64) for c in ("n", "l_lo", "l_hi", "r_lo", "r_hi")}
+    left = np.where(here.start > 0, here.text[np.maximum(here.at - 1, 0)].astype(np.int64), 0)
+    right = here.text[here.at + LENGTH].astype(np.int64)
+    first, final = here.start == 0, here.rest == LENGTH
+    sides = [np.where(first, column["l_lo"][here.of], left), np.where(first, column["l_hi"][here.of], left), np.where(final, column["r_lo"][here.of], right), np.where(final, column["r_hi"][here.of], right)]
+    node = np.arange(len(here.of))
+    head = np.maximum.accumulate(np.where(here.lcp < LENGTH, np.arange(len(here.order)), 0))
+    node[here.order] = here.order[head]
+    total = np.bincount(node, column["n"][here.of], len(node))
+    low, high = [], []
+    for lo, hi in (sides[:2], sides[2:]):
+        least, most = np.full(len(node), 1 << 20), np.full(len(node), -2)
+        np.minimum.at(least, node, lo)
+        np.maximum.at(most, node, hi)
+        low.append(least[node])
+        high.append(most[node])
+    keep = np.flatnonzero(total[node] > 1)
+    differ = [((low[i] < high[i]) | (low[i] < 0))[keep] for i in (0, 1)]
+    of = here.of[keep]
+    return pd.DataFrame({"g": pdf["g"].to_numpy()[of], "k": pdf["k"].to_numpy()[of], "lo": here.start[keep], "hi": here.start[keep], "left": differ[0], "right": differ[1]})
+
+
+def found_contexts(rows: DataFrame, within: bool = False) -> DataFrame:
+    """Steps 1 and 2: the staged contexts (g, k, d, t, a, l, r, c) of grams that two or more documents have; k: hash of the context.
+
+    within: of grams that occur twice or more, in one document or several.
+    """
+    counted = grams(rows).groupBy("g").agg(F.min("d").alias("one"), F.max("d").alias("two"), F.count("*").alias("n"))
+    shared = staged(counted.where("n > 1" if within else "one < two").select("g"))
     hits = staged(grams(rows).join(shared.hint("shuffle_hash"), "g", "left_semi").groupBy("d", "t").agg(F.collect_list("g").alias("gs")))
     discard(shared)
-    found = staged(contexts(rows.join(hits, ["d", "t"])).select("g", F.xxhash64("c", "off").alias("k"), "d", "t", "a", "off", "c"))
+    found = staged(contexts(rows.join(hits, ["d", "t"])).select("g", F.xxhash64("c", "off").alias("k"), "d", "t", "a", "off", "l", "r", "c"))
     discard(hits)
     return found
 
 
-def classes(found: DataFrame) -> DataFrame:
-    """Equal contexts of a gram: (g, k, c, m, most) with their smallest and largest document."""
-    return staged(found.groupBy("g", "off", "c").agg(F.min("d").alias("m"), F.max("d").alias("most")).select("g", F.xxhash64("c", "off").alias("k"), "c", "m", "most"))
+def folded() -> list[Column]:
+    """What occurrences of one context, or of one window, come to: smallest and largest document, number, symbols around."""
+    return [f(c).alias(c) for c, f in (("m", F.min), ("most", F.max), ("n", F.sum), ("l_lo", F.min), ("l_hi", F.max), ("r_lo", F.min), ("r_hi", F.max))]
 
 
-def in_buckets(each: DataFrame) -> DataFrame:
-    """Adds `bucket`: whole grams, about BUCKET classes each."""
-    return each.withColumn("bucket", F.pmod(F.xxhash64("g", F.lit(7)), F.lit(max(1, -(-each.count() // BUCKET)))))
+def in_buckets(each: DataFrame, *by: str) -> DataFrame:
+    """Adds `bucket`: all rows of equal `by`, about BUCKET rows each."""
+    return each.withColumn("bucket", F.pmod(F.xxhash64(*by, F.lit(7)), F.lit(max(1, -(-each.count() // BUCKET)))))
 
 
-def removable(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """Step 3: (g, k, lo, hi, m): windows lo to hi of a class, whose smallest document m isn't the class's only one."""
-    each = classes(found)
-    crowded = small(each.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("g"))
-    cold = each.join(crowded, "g", "left_anti")
-    runs = in_buckets(cold).groupBy("bucket").applyInPandas(lambda key, pdf: settle(pdf), "g long, k long, lo long, hi long, m long")
-    if crowded.count():
-        wide = each.join(crowded, "g", "left_semi").select("g", "k", "m", "most", "c", F.explode(F.sequence(F.lit(0), F.length("c") - LENGTH)).alias("w")).withColumn("string", F.substring("c", F.col("w") + 1, F.lit(LENGTH))).drop("c")
-        best = wide.groupBy("g", "string").agg(F.min("m").alias("best"))
-        windows = wide.join(best, ["g", "string"]).where("best < most")
-        runs = runs.union(windows.select("g", "k", F.col("w").cast("long").alias("lo"), F.col("w").cast("long").alias("hi"), F.col("best").alias("m")))
-    runs = staged(runs)
+def trees(found: DataFrame, work, columns: str, split: int = SPLIT) -> DataFrame:
+    """Step 3, staged: work(contexts) -> (g, k, lo, hi, columns) about their windows, over all contexts of whole grams.
+
+    Grams of over `split` contexts have them cut into single windows, each with the symbols on either side, so that equal
+    windows fold before they move and their tree is dealt out by window.
+    """
+    single = {"m": F.col("d"), "most": F.col("d"), "n": F.lit(1), "l_lo": F.col("l"), "l_hi": F.col("l"), "r_lo": F.col("r"), "r_hi": F.col("r")}
+    each = staged(found.withColumns(single).groupBy("g", "off", "c").agg(*folded()).withColumn("k", F.xxhash64("c", "off")).drop("off"))
+    crowded = small(each.groupBy("g").agg(F.count("*").alias("contexts")).where(F.col("contexts") > split).select("g"))
+    schema = f"g long, k long, lo long, hi long, {columns}"
+    run = lambda key, pdf: work(pdf)
+    out = in_buckets(each.join(crowded, "g", "left_anti"), "g").groupBy("bucket").applyInPandas(run, schema)
+    if crowded.limit(1).count():
+        byte = lambda at: F.conv(F.hex(F.substring("c", at, F.lit(1))), 16, 10).cast("int")
+        w, final = F.col("w"), F.length("c") - LENGTH
+        wide = each.join(crowded, "g", "left_semi").withColumn("w", F.explode(F.sequence(F.lit(0), final)))
+        wide = wide.withColumns({x: F.when(w == 0, F.col(x)).otherwise(byte(w)) for x in ("l_lo", "l_hi")} | {x: F.when(w == final, F.col(x)).otherwise(byte(w + LENGTH + 1)) for x in ("r_lo", "r_hi")})
+        wide = wide.withColumns({"k1": F.col("k"), "c": F.substring("c", w + 1, F.lit(LENGTH))}).withColumn("k", F.xxhash64("c"))
+        ones = staged(wide.groupBy("g", "k", "c").agg(*folded()))
+        done = in_buckets(ones, "g", "k").groupBy("bucket").applyInPandas(run, schema)
+        back = done.join(wide.select("g", "k", "k1", "w"), ["g", "k"]).select("g", F.col("k1").alias("k"), w.cast("long").alias("lo"), w.cast("long").alias("hi"), *done.columns[4:])
+        out = out.union(back)
+    out = staged(out)
     discard(each)
-    return runs
+    return out
 
 
-def spans(docs_keyed: DataFrame, hot: int = HOT) -> DataFrame:
+def spans(docs_keyed: DataFrame, split: int = SPLIT) -> DataFrame:
     """(d, t, spans): per document with removed bytes, its removed ranges (a, z), which may overlap."""
     found = found_contexts(docs_keyed)
     members = found.select("g", "k", "d", "t", "a")
-    cut = members.join(removable(found, hot), ["g", "k"]).where("m < d")
-    ranges = cut.select("d", "t", F.struct((F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi") + LENGTH).alias("z")).alias("s"))
+    runs = trees(found, settle, "m long", split)
+    ranges = members.join(runs, ["g", "k"]).where("m < d").select("d", "t", F.struct((F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi") + LENGTH).alias("z")).alias("s"))
     out = staged(ranges.groupBy("d", "t").agg(F.collect_list("s").alias("spans")))
     discard(found)
+    discard(runs)
     return out
 
 
-def repeat_groups(docs: DataFrame) -> DataFrame:
-    """Maximal repeats around shared anchors: (repeat, length, doc_id, start) with all occurrences."""
+def stretches(rows: DataFrame) -> DataFrame:
+    """rows(d, t, text, turns: list of (at, left, right)) -> (d, length, id, start, l, r): candidates for maximal repeats.
 
-    def run(key, pdf):
-        number, of, start, length = tree(pdf)
-        return pd.DataFrame({"g": pdf["g"].to_numpy()[of], "k": pdf["k"].to_numpy()[of], "number": number, "start": start, "length": length, "bucket": key[0]})
+    A document's windows in `turns` are its repeated ones; a candidate begins at one that turns to the left, ends with one
+    that turns to the right, and has repeated windows all the way. As many come out as there are such pairs.
+    """
 
-    found = found_contexts(keyed(docs))
-    groups = in_buckets(classes(found)).groupBy("bucket").applyInPandas(run, "g long, k long, number long, start long, length long, bucket long")
-    members = found.select("g", "k", "d", "a")
-    out = groups.join(members, ["g", "k"])
-    return out.select(F.xxhash64("bucket", "number").alias("repeat"), "length", F.when(F.col("d") < LAST, F.col("d")).alias("doc_id"), (F.col("a") + F.col("start")).alias("start"))
+    def run(batches):
+        for batch in batches:
+            for d, text, places in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist(), batch.column("turns").to_pylist()):
+                text = text.encode()
+                places = sorted({(p["at"], p["left"], p["right"]) for p in places})
+                at = np.array([p[0] for p in places])
+                island = np.cumsum(np.diff(at, prepend=at[0]) > 1)
+                left, right = (np.array([p[i] for p in places]) for i in (1, 2))
+                out = []
+                for x in np.flatnonzero(left).tolist():
+                    ends = np.flatnonzero(right & (island == island[x]) & (at >= at[x]))
+                    for y in ends.tolist():
+                        a, z = int(at[x]), int(at[y]) + LENGTH
+                        out.append((d, z - a, xxhash.xxh3_128_digest(text[a:z]), a, text[a - 1] if a else -1, text[z] if z < len(text) else -1))
+                    if len(out) > 50_000:
+                        yield candidates(out)
+                        out = []
+                yield candidates(out)
+
+    return rows.mapInArrow(run, "d long, length long, id binary, start long, l int, r int")
+
+
+def candidates(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["d", "length", "id", "start", "l", "r"])
+
+
+def repeat_groups(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The maximal repeats of 50 bytes or more of all texts: (repeat, length, doc_id, start) of every occurrence.
+
+    The work grows with the places where repeats begin and end in a stretch of repeated text, begins times ends: as the
+    number of maximal repeats does, which in a large group of near copies may be the square of its edits.
+    """
+    rows = keyed(docs).distinct()
+    found = found_contexts(rows, within=True)
+    windows = trees(found, turns, "left boolean, right boolean", split)
+    places = found.select("g", "k", "d", "t", "a").join(windows, ["g", "k"]).groupBy("d", "t").agg(F.collect_list(F.struct((F.col("a") + F.col("lo")).alias("at"), "left", "right")).alias("turns"))
+    some = staged(stretches(rows.join(places, ["d", "t"])))
+    discard(found)
+    discard(windows)
+    groups = some.groupBy("length", "id").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in "lr" for n, f in (("lo", F.min), ("hi", F.max))])
+    whole = groups.where("n > 1 and (l_lo < l_hi or l_lo < 0) and (r_lo < r_hi or r_lo < 0)").select("length", "id")
+    out = some.join(whole, ["length", "id"])
+    return out.select(F.hex("id").alias("repeat"), "length", F.when(F.col("d") < LAST, F.col("d")).alias("doc_id"), "start")
 
 
 def removed(offsets: np.ndarray, ranges: pa.ListArray) -> np.ndarray:
@@ -293,15 +406,15 @@ def removed(offsets: np.ndarray, ranges: pa.ListArray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def with_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def with_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """docs with _sx_spans."""
-    ranges = spans(keyed(docs), hot)
+    ranges = spans(keyed(docs), split)
     d, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     out = docs.withColumns({"_sx_d": d, "_sx_t": t}).join(ranges.select(F.col("d").alias("_sx_d"), F.col("t").alias("_sx_t"), F.col("spans").alias("_sx_spans")), ["_sx_d", "_sx_t"], "left")
     return out.drop("_sx_d", "_sx_t")
 
 
-def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def report(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
 
     def run(batches):
@@ -319,7 +432,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(narrow, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(narrow, split).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -108,9 +108,57 @@ def cut(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup(docs, rows, hot):
-    assert sorted(map(tuple, suffix_dedup.report(docs, hot).collect()), key=str) == cut(rows)
+@pytest.mark.parametrize("split", [suffix_dedup.SPLIT, 2, 0])
+def test_suffix_dedup(docs, rows, split):
+    """0: every gram is cut into single windows."""
+    assert sorted(map(tuple, suffix_dedup.report(docs, split).collect()), key=str) == cut(rows)
+
+
+def maximal(texts, least=50):
+    """Maximal repeats by definition: {string: occurrences (text, start)} of strings that can't be made longer for all."""
+    places = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - least + 1):
+            places.setdefault(t[p : p + least], []).append((i, p))
+    todo, out = [(s, at) for s, at in places.items() if len(at) > 1], {}
+    while todo:
+        s, at = todo.pop()
+        before = [texts[i][p - 1] if p else ("start", i) for i, p in at]
+        after = {}
+        for i, p in at:
+            end = p + len(s)
+            after.setdefault(texts[i][end] if end < len(texts[i]) else ("end", i, p), []).append((i, p))
+        if len(set(before)) > 1 and len(after) > 1:
+            out[s] = sorted(at)
+        todo += [(s + bytes([c]), more) for c, more in after.items() if isinstance(c, int) and len(more) > 1]
+    return out
+
+
+@pytest.mark.parametrize("split", [suffix_dedup.SPLIT, 1])
+def test_repeat_groups_are_the_maximal_repeats(spark, split):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    planted, copy, part = say(400), say(500), say(90)
+    texts = [say(80) + planted + say(60), say(30) + planted, copy, copy, part + say(20) + part[:70], say(9) + part[5:] + planted[100:220], part + planted[300:], "ab" * 60, "x" + "ab" * 40, None, "", say(49), say(60) + "\0" * 3 + part, part + "\0" * 70, None]
+    ids = [*range(len(texts) - 1), None]
+    frame = spark.createDataFrame([*zip(ids, texts), (2, copy), (None, part)], "doc_id long, text string").repartition(3)
+    distinct = [*zip(ids, texts), (None, part)]
+    want = maximal([(t or "").encode() for _, t in distinct])
+    got = {}
+    for r in suffix_dedup.repeat_groups(frame, split).collect():
+        got.setdefault((r["repeat"], r.length), []).append((r.doc_id, r.start))
+    named = sorted((len(s), sorted(((distinct[i][0], p) for i, p in at), key=str)) for s, at in want.items())
+    assert sorted((k[1], sorted(at, key=str)) for k, at in got.items()) == named
+    assert any(n == len(copy.encode()) and [d for d, _ in at] == [2, 3] for n, at in named)
+
+
+def test_repeat_groups_of_plain_cases(spark):
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    passage, copy = "." + say(398) + ".", say(500)
+    frame = spark.createDataFrame([(1, "x" + say(99) + passage + "x" + say(9)), (2, "y" + passage + "y"), (3, copy), (4, copy)], "doc_id long, text string")
+    got = {(r.length, r.doc_id, r.start) for r in suffix_dedup.repeat_groups(frame).collect()}
+    assert got == {(400, 1, 100), (400, 2, 1), (500, 3, 0), (500, 4, 0)}
 
 
 def test_suffix_dedup_edges(docs, none):
