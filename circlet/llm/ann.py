@@ -5,8 +5,7 @@ The graph is grown in batches: a greedy search from the entry proposes neighbour
 no kept one is nearer to it than the node by the factor alpha, and kept edges are offered back to their targets.
 Scores returned are exact inner products of the original vectors in double precision.
 
-Edge cases: see `vectors`; vectors of zeros take no part; missing components count as zero; rows that repeat a vec_id
-and vector count once; a null vec_id takes no part; a shard no larger than the degree is searched whole.
+Edge cases: see `vectors`; vectors of zeros take no part; an empty table gives none; fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -93,15 +92,13 @@ def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, alpha: float) -> np.
 
 
 def build(v: np.ndarray) -> tuple:
-    """(vectors, augmented vectors, squared norms, graph or None, entry nodes)"""
+    """(vectors, augmented vectors, squared norms, graph, entry nodes)"""
     square = (v * v).sum(1)
     x = np.hstack([v, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
     n, norms = len(x), (x * x).sum(1)
     rng = np.random.default_rng(11)
     entry = np.concatenate([[int(((x - x.mean(0)) ** 2).sum(1).argmin())], rng.choice(n, min(n, 15), replace=False)])
     entry = np.unique(entry)
-    if n <= 2 * DEGREE:
-        return v, x, norms, None, entry
     graph = rng.integers(0, n, (n, DEGREE), dtype=np.int32)
     graph[:, DEGREE // 2 :] = -1
     for alpha in (1.0, ALPHA):
@@ -132,10 +129,7 @@ def answer(index: tuple, queries: np.ndarray, k: int) -> list[tuple[np.ndarray,
     out = []
     for a in range(0, len(q), BATCH):
         part = q[a : a + BATCH]
-        if graph is None:
-            node = np.broadcast_to(np.arange(len(v)), (len(part), len(v)))
-        else:
-            node, _ = beam(x, norms, graph, entry, np.pad(part[:, : v.shape[1]], ((0, 0), (0, 1))).astype(np.float32), max(SEARCH_BEAM, 2 * k))
+        node, _ = beam(x, norms, graph, entry, np.pad(part[:, : v.shape[1]], ((0, 0), (0, 1))).astype(np.float32), max(SEARCH_BEAM, 2 * k))
         for own, near in zip(part, node):
             near = near[near >= 0]
             score = full[near] @ own
@@ -144,7 +138,7 @@ def answer(index: tuple, queries: np.ndarray, k: int) -> list[tuple[np.ndarray,
     return out
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products that the graphs find."""
     rows = vectors.usable(embeddings, zero=False)
     return vectors.search(rows, every, k, build, lambda index, q: answer(index, q, k + 1), shard_rows, block_rows, "double")

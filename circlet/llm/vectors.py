@@ -2,8 +2,11 @@
 
 Equal vectors are one candidate that carries its smallest ids (k + 1 are enough for any top k), so groups of copies
 of any size cost no more than one vector; the smallest ids are found with a group limit on the map side. A shard is
-a bounded number of distinct vectors and one row, a query block likewise; shards and blocks meet on the shard's
-number, each meeting is one row, and a query's answers from all shards are merged by a window that keeps k.
+a bounded number of distinct vectors in a task of its own, which builds the index; the index moves once, to where its
+queries come by, block after block, and a query's answers from all shards are merged by a window that keeps k.
+
+A vec_id that several different vectors bear counts with the smallest of them, component by component; null vec_ids
+take no part, and vectors of fewer components count as padded with zeros.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from circlet.llm.common import staged
+from circlet.llm.common import discard, staged
 
+LONG = (1 << 63) - 1
 #: Usable: not null or empty, no null or non-finite component.
 USABLE = "vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))"
 
 
 def usable(embeddings: DataFrame, zero: bool = True) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part; without zero, vectors of zeros don't."""
+    """(vec_id, v array<double>), one row per vec_id, of the vectors that take part; without zero, vectors of zeros don't."""
     rows = embeddings.where(USABLE if zero else f"{USABLE} and exists(embedding, x -> x <> 0)")
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def candidates(rows: DataFrame, k: int) -> DataFrame:
@@ -36,13 +41,15 @@ def candidates(rows: DataFrame, k: int) -> DataFrame:
 
 
 def packed(rows: DataFrame, by: str, what: str, number: int, work) -> DataFrame:
-    """Rows in `number` groups by hash of `by`; work(pdf) -> one picklable object per group, as a row (`what`, blob)."""
+    """Rows in `number` tasks by hash of `by`; work(pdf) -> one picklable object per task, as a row (`what`, blob)."""
 
-    def pack(key, pdf):
-        return pd.DataFrame({what: [key[0]], "blob": [pickle.dumps(work(pdf), 5)]})
+    def pack(batches):
+        parts = [pdf for pdf in batches if len(pdf)]
+        for name, pdf in pd.concat(parts).groupby(what) if parts else ():
+            yield pd.DataFrame({what: [name], "blob": [pickle.dumps(work(pdf), 5)]})
 
     at = rows.withColumn(what, F.pmod(F.xxhash64(by), F.lit(number)))
-    return at.groupBy(what).applyInPandas(pack, f"{what} long, blob binary")
+    return at.repartitionById(number, F.col(what).cast("int")).mapInPandas(pack, f"{what} long, blob binary")
 
 
 def matrix(vectors: pd.Series, width: int | None = None) -> np.ndarray:
@@ -68,21 +75,31 @@ def search(rows: DataFrame, every: int, k: int, build, answer, shard_rows: int,
         return build(matrix(pdf["v"])), [np.array(x) for x in pdf["ids"]]
 
     indexed = staged(packed(pool, "v", "shard", shards, index))
-    asked = staged(rows.where(F.col("vec_id") % every == 0).distinct())
+    asked = staged(rows.where(F.col("vec_id") % every == 0))
     blocks = max(1, -(-asked.count() // block_rows))
-    block = packed(asked, "vec_id", "block", blocks, lambda pdf: (pdf["vec_id"].to_numpy(), matrix(pdf["v"])))
-    meet = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).withColumnRenamed("blob", "asked")
+    block = staged(packed(asked, "vec_id", "block", blocks, lambda pdf: (pdf["vec_id"].to_numpy(), matrix(pdf["v"]))))
+    discard(asked)
+    visits = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).select("shard", "block", "blob")
+    both = indexed.select("shard", F.lit(-1).cast("long").alias("block"), "blob").union(visits)
 
     def run(batches):
+        built = ids = None
         for pdf in batches:
-            for mine, theirs in zip(pdf["blob"], pdf["asked"]):
-                (built, ids), (query, vectors) = pickle.loads(mine), pickle.loads(theirs)
+            for number, blob in zip(pdf["block"], pdf["blob"]):
+                if number < 0:
+                    built, ids = pickle.loads(blob)
+                    continue
+                if built is None:
+                    continue
+                query, vectors = pickle.loads(blob)
                 out: list[tuple] = []
                 for q, (at, scores) in zip(query.tolist(), answer(built, vectors)):
                     own = [(-s, i, q) for p, s in zip(at, scores) for i in ids[p].tolist() if i != q]
                     out += sorted(own)[:k]
                 yield pd.DataFrame({"query_id": [x[2] for x in out], "vec_id": [x[1] for x in out], "score": [-x[0] for x in out]}).astype({"query_id": "int64", "vec_id": "int64", "score": "int64" if score == "long" else "float64"})
 
-    found = meet.join(indexed, "shard").repartition("block", "shard").mapInPandas(run, f"query_id long, vec_id long, score {score}")
+    # One partition per shard, its index first.
+    met = both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "block")
+    found = met.mapInPandas(run, f"query_id long, vec_id long, score {score}")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -16,6 +17,7 @@ if not __spark_entry__.corpus:
     pytest.skip("no corpus subpackage", allow_module_level=True)
 
 import corpus_pipeline
+from circlet.llm import vectors as vectors_module
 from circlet.llm import ann, bpe, licenses, maxscore, mixing, quality, queries, simhash, suffix_dedup, url_filter, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string"
@@ -304,6 +306,31 @@ def test_exact_topk(spark):
     assert sorted(few.groupby("query_id").size()) == [3, 3] and maxscore.exact_top(table.where("vec_id < 0")).count() == 0
 
 
+def test_large_components_and_doubled_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 0.5]), (3, [1e307, 1.0]), (4, [float(1 << 52) / 1024, -0.25]), (100, [3.0, 1.0]), (100, [2.0, 9.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.exact_top(spark.createDataFrame(rows, schema)).orderBy("query_id", "rank").collect()]
+    whole = lambda v: [math.floor(1024 * x) for x in v]
+    kept = {i: whole(v) for i, v in rows if i != 3} | {100: whole([2.0, 9.0])}
+    want = []
+    for q in (0, 100):
+        score = lambda v: max(-vectors_module.LONG, min(vectors_module.LONG, sum(a * b for a, b in zip(kept[q], v))))  # noqa: B023, E731
+        scores = sorted((-score(v), i) for i, v in kept.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == want
+    near = ann.nearest(spark.createDataFrame([(100, [3.0, 1.0]), (100, [2.0, 9.0]), (1, [1.0, 0.0])], schema), every=100).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in near] == [(100, 1, 2.0)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 64, 65, 140])
+def test_small_shards_have_graphs_too(n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    index = ann.build(x)
+    for q, (at, score) in zip(x, ann.answer(index, x, 5)):
+        s = x @ q
+        assert np.allclose(score, np.sort(s)[::-1][:5]) and np.allclose(s[at], score)
+
+
 def test_graph_neighbours(spark):
     x, table = vectors(spark, 900, 24, 2)
     got = ann.nearest(table, every=30, shard_rows=400).toPandas()
