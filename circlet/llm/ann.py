@@ -113,7 +113,7 @@ def build(v: np.ndarray) -> tuple:
             to, by = to[sort], by[sort]
             target, count = np.unique(to, return_counts=True)
             place = np.arange(len(to)) - np.repeat(np.cumsum(count) - count, count)
-            offer = np.full((len(target), int(count.max())), -1)
+            offer = np.full((len(target), int(count.max(initial=1))), -1)
             offer[np.repeat(np.arange(len(target)), count), place] = by
             for s in range(0, len(target), 2 * BATCH):
                 part = target[s : s + 2 * BATCH]

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Texts are reduced to lower-case words. Documents without any of the gate's keywords stop there. For the others, a rule's
-regex runs only if its own keyword occurs; matches become intervals, and a match that lies within one of a rule
-of the same or higher priority is dropped. Everything happens within a row: no shuffle, no join.
+Texts are reduced to lower-case words. Documents without any of the stems stop there. For the others, a signature of
+`license_rules` runs only if one of its own keywords occurs; matches become intervals, and a match that lies within one
+of a rule of the same or higher priority is dropped. Everything happens within a row: no shuffle, no join.
 
 Edge cases: null is the empty text; n_words is 0 and labels are empty without words; first_word and last_word are null
 without a base phrase; repeated rows give repeated results; extra columns are not read; an empty table gives none.
@@ -13,121 +13,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from circlet.llm.license_rules import FAMILIES, STEMS, rules
+
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Labels, and regexes over single-spaced lower-case words for the names that licenses go by.
-NAMES = {
-    "mit": "mit|x11 mit|expat",
-    "apache-1-1": "apache (?:software )?(?:license )?(?:version )?1 1",
-    "apache-2": "apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?",
-    "gpl-1": "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?1(?: 0)?",
-    "gpl-2": "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?2(?: 0)?",
-    "gpl-3": "(?:gnu )?(?:general public license|gpl) ?(?:version |v)?3(?: 0)?",
-    "lgpl-2": "(?:gnu )?(?:library general public license|lgpl) ?(?:version |v)?2(?: 0)?",
-    "lgpl-2-1": "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?2 1",
-    "lgpl-3": "(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v)?3(?: 0)?",
-    "agpl-3": "(?:gnu )?(?:affero general public license|agpl) ?(?:version |v)?3(?: 0)?",
-    "fdl-1-2": "(?:gnu )?(?:free documentation license|fdl) ?(?:version |v)?1 2",
-    "fdl-1-3": "(?:gnu )?(?:free documentation license|fdl) ?(?:version |v)?1 3",
-    "bsd-2": "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd",
-    "bsd-3": "bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd",
-    "bsd-4": "bsd 4 clause|4 clause bsd|four clause bsd|original bsd",
-    "0bsd": "0bsd|zero clause bsd",
-    "isc": "isc|internet systems consortium",
-    "mpl-1-1": "(?:mozilla public license|mpl) ?(?:version |v)?1 1",
-    "mpl-2": "(?:mozilla public license|mpl) ?(?:version |v)?2(?: 0)?",
-    "epl-1": "(?:eclipse public license|epl) ?(?:version |v)?1(?: 0)?",
-    "epl-2": "(?:eclipse public license|epl) ?(?:version |v)?2(?: 0)?",
-    "cddl-1": "(?:common development and distribution license|cddl) ?(?:version |v)?1(?: [01])?",
-    "eupl-1-2": "(?:european union public licen[cs]e|eupl) ?(?:version |v)?1 2",
-    "artistic-1": "artistic (?:license )?(?:version |v)?1(?: 0)?",
-    "artistic-2": "artistic (?:license )?(?:version |v)?2(?: 0)?",
-    "boost-1": "boost software(?: license)?(?: version| v)?(?: 1 0)?|bsl 1 0",
-    "zlib": "zlib(?: libpng)?",
-    "unlicense": "unlicense",
-    "wtfpl": "wtfpl|do what the fuck you want to public",
-    "cc0": "cc0(?: 1 0)?(?: universal)?|cc zero|creative commons zero",
-    "cc-by": "(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|non|no|share))(?: [1-4] [05])?",
-    "cc-by-sa": "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?",
-    "cc-by-nd": "(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))(?: [1-4] [05])?",
-    "cc-by-nc": "(?:cc by nc|creative commons attribution non ?commercial)(?! (?:sa|nd|share|no))(?: [1-4] [05])?",
-    "cc-by-nc-sa": "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?",
-    "cc-by-nc-nd": "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))(?: [1-4] [05])?",
-    "python-2": "python software foundation|psf 2(?: 0)?",
-    "ruby": "ruby",
-    "php-3": "php (?:license )?(?:version |v)?3(?: 0| 01)?",
-    "postgresql": "postgresql",
-    "openssl": "openssl",
-    "ofl-1-1": "sil open font|ofl 1 1",
-    "ncsa": "university of illinois ncsa|ncsa",
-    "ms-pl": "microsoft public|ms pl",
-    "ms-rl": "microsoft reciprocal|ms rl",
-    "afl-3": "academic free(?: license)?(?: version| v)? 3(?: 0)?|afl 3(?: 0)?",
-    "odbl-1": "open database|odbl(?: 1 0)?",
-    "json": "json",
-}
-#: For each name, words of which one occurs in whatever its regex matches.
-KEYS = {
-    "mit": "mit|expat", "apache-1-1": "apache", "apache-2": "apache", "gpl-1": "general public|gpl", "gpl-2": "general public|gpl", "gpl-3": "general public|gpl",
-    "lgpl-2": "library general public|lgpl", "lgpl-2-1": "lesser general public|lgpl", "lgpl-3": "lesser general public|lgpl", "agpl-3": "affero|agpl",
-    "fdl-1-2": "free documentation|fdl", "fdl-1-3": "free documentation|fdl", "bsd-2": "bsd", "bsd-3": "bsd", "bsd-4": "bsd", "0bsd": "bsd", "isc": "isc|internet systems",
-    "mpl-1-1": "mozilla|mpl", "mpl-2": "mozilla|mpl", "epl-1": "eclipse|epl", "epl-2": "eclipse|epl", "cddl-1": "common development|cddl", "eupl-1-2": "european union|eupl",
-    "artistic-1": "artistic", "artistic-2": "artistic", "boost-1": "boost|bsl", "zlib": "zlib", "unlicense": "unlicense", "wtfpl": "wtfpl|do what the", "cc0": "cc0|cc zero|creative commons",
-    "cc-by": "cc by|creative commons", "cc-by-sa": "cc by|creative commons", "cc-by-nd": "cc by|creative commons", "cc-by-nc": "cc by|creative commons",
-    "cc-by-nc-sa": "cc by|creative commons", "cc-by-nc-nd": "cc by|creative commons", "python-2": "python|psf", "ruby": "ruby", "php-3": "php", "postgresql": "postgresql",
-    "openssl": "openssl", "ofl-1-1": "sil open|ofl", "ncsa": "ncsa", "ms-pl": "microsoft|ms pl", "ms-rl": "microsoft|ms rl", "afl-3": "academic free|afl", "odbl-1": "open database|odbl", "json": "json",
-}
-#: Ways to put a name, most certain first: priority, score, regex; {} is the name.
-WAYS = (
-    (1, 1.0, "spdx license identifier (?:{})"),
-    (2, 0.95, "(?:licensed|released|distributed|available|published|provided|redistributed) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})(?: international| unported)?(?: public)?(?: licen[cs]e)?"),
-    (3, 0.9, "(?:subject to|governed by|covered by|under|see|accept) (?:the )?(?:terms of )?(?:the )?(?:{})(?: public)? licen[cs]e"),
-    (4, 0.8, "licen[cs]e (?:is |type )?(?:{})"),
-    (5, 0.7, "(?:{})(?: style| like| compatible)? licen[cs]e"),
-)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What every phrase and every rule has in it.
-GATE = r"(?i)licen[cs]|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|(?:licensed|released|distributed|available|published|provided|redistributed)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:to[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+you[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)?under"
-
-
-def rules() -> list[tuple[int, str, list[str], str, int, float]]:
-    """(order, label, keywords, regex, priority, score) of every name in every way of putting it."""
-    out = []
-    for priority, score, way in WAYS:
-        for label, name in NAMES.items():
-            out.append((len(out), label, KEYS[label].split("|"), f"(?<= ){way.format(name)}(?= )", priority, score))
-    return out
+#: One of these is in every text that a phrase or a rule can match; words of a stem may stand any separators apart.
+GATE = "(?i)" + "|".join(stem.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for stem in STEMS)
+#: Matches go into lists of so many at a time, so that the work grows with their number, not its square.
+CHUNK = 256
 
 
 def rule_array() -> Column:
     return F.array(*[F.struct(F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(words).alias("words"), F.lit(rx).alias("rx"), F.lit(p).alias("p"), F.lit(s).alias("s")) for n, label, words, rx, p, s in rules()])
 
 
-#: Matches of the rules whose keyword occurs, as intervals (a, b) of the text `line`: pieces and matches alternate.
-FOUND = """
-flatten(transform(filter(rules, r -> exists(r.words, w -> contains(line, w)) and regexp_like(line, r.rx)), r -> aggregate(
-  arrays_zip(split(line, r.rx, -1), regexp_extract_all(line, r.rx, 0)),
-  named_struct('at', 0, 'out', cast(array() as array<struct<a:int,z:int,p:int,n:int,label:string,s:double>>)),
-  (acc, x) -> named_struct('at', acc.at + length(x['0']) + coalesce(length(x['1']), 0), 'out', if(x['1'] is null, acc.out,
-    concat(acc.out, array(named_struct('a', acc.at + length(x['0']), 'z', -(acc.at + length(x['0']) + length(x['1'])), 'p', r.p, 'n', r.n, 'label', r.label, 's', r.s))))),
-  acc -> acc.out)))
-"""
+def folded(array: str, element: str, state: str, start: str, out: str, after: str) -> str:
+    """SQL that goes through `array` (variable x) with a state (fields of acc, at first `start`, then `after`), and appends
+    the list `out` of type array<element> at each step; chunk by chunk."""
+    names = state.split(", ")
+    kept = ", ".join(f"'{n}', i.{n}" for n in names)
+    carried = ", ".join(f"'{n}', big.{n}" for n in names)
+    none = f"cast(array() as array<{element}>)"
+    inner = f"aggregate(slice({array}, c * {CHUNK} + 1, {CHUNK}), named_struct({carried}, 'out', {none}), (acc, x) -> named_struct({after}, 'out', concat(acc.out, {out})))"
+    step = f"transform(array({inner}), i -> named_struct({kept}, 'parts', concat(big.parts, array(i.out))))[0]"
+    return f"aggregate(sequence(0, cast(greatest(ceil(size({array}) / {CHUNK}), 1) as int) - 1), named_struct({start}, 'parts', cast(array() as array<array<{element}>>)), (big, c) -> {step}, big -> flatten(big.parts))"
+
+
+#: Characters a to -z of `line`, words w to e.
+MATCH = "struct<a:int,z:int,p:int,n:int,label:string,s:double,w:int,e:int>"
+SPACES = "(length({0}) - length(replace({0}, ' ', '')))"
+INSIDE, BEFORE = SPACES.format("x['1']"), SPACES.format("x['0']")
+#: Matches of the rules whose keyword occurs, as intervals (a, -z) of the text `line`: pieces and matches alternate.
+FOUND = "flatten(transform(filter(rules, r -> exists(r.words, w -> contains(line, w)) and regexp_like(line, r.rx)), r -> transform(array(arrays_zip(split(line, r.rx, -1), regexp_extract_all(line, r.rx, 0))), zipped -> " + folded(
+    "zipped", MATCH, "at, sp", "'at', 0, 'sp', 0",
+    "if(x['1'] is null, cast(array() as array<" + MATCH + ">), array(named_struct('a', acc.at + length(x['0']), 'z', -(acc.at + length(x['0']) + length(x['1'])), 'p', r.p, 'n', r.n, 'label', r.label, 's', r.s, 'w', acc.sp + " + BEFORE + " - 1, 'e', acc.sp + " + BEFORE + " - 1 + " + INSIDE + ")))",
+    "'at', acc.at + length(x['0']) + coalesce(length(x['1']), 0), 'sp', acc.sp + " + BEFORE + " + coalesce(" + INSIDE + ", 0)",
+) + ")[0]))"
 #: In order of start, longer first, a match is dropped if one of at least its priority reaches as far.
-KEPT = """
-aggregate(array_sort(found),
-  named_struct('ends', array_repeat(0, 5), 'out', cast(array() as array<struct<label:string,s:double>>)),
-  (acc, x) -> named_struct('ends', transform(acc.ends, (e, i) -> if(i + 1 = x.p, greatest(e, -x.z), e)),
-    'out', if(array_max(slice(acc.ends, 1, x.p)) >= -x.z, acc.out, concat(acc.out, array(named_struct('label', x.label, 's', x.s))))),
-  acc -> acc.out)
-"""
+KEPT = folded(
+    "sorted", MATCH, "ends", f"'ends', array_repeat(0, {len(FAMILIES)})",
+    "if(array_max(slice(acc.ends, 1, x.p)) >= -x.z, cast(array() as array<" + MATCH + ">), array(x))",
+    "'ends', transform(acc.ends, (e, i) -> if(i + 1 = x.p, greatest(e, -x.z), e))",
+)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def detected(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, spaced and line (the text's words two and one spaces apart, null without a
+    stem), kept: matches left over, as intervals of line."""
     text = F.coalesce("text", F.lit(""))
     lowered = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, "  "))
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(F.rlike(text, F.lit(GATE)), F.concat(F.lit("  "), lowered, F.lit("  "))).alias("spaced"))
+    rows = rows.select("*", F.replace("spaced", F.lit("  "), F.lit(" ")).alias("line"), rule_array().alias("rules"))
+    rows = rows.select("*", F.when(F.col("line").isNotNull(), F.array_sort(F.expr(FOUND))).alias("sorted"))
+    return rows.select("doc_id", "n_words", "spaced", "line", F.when(F.size("sorted") > 0, F.expr(KEPT)).alias("kept"))
+
+
+def detections(docs: DataFrame) -> DataFrame:
+    """doc_id, label, rule (its number), score, first_word and last_word (words from 0) of every match left over."""
+    # Outer, since the filter that an inner one implies would work the matches out again.
+    rows = detected(docs).select("doc_id", F.explode_outer("kept").alias("m")).where("m is not null")
+    return rows.select("doc_id", F.col("m.label").alias("label"), F.col("m.n").alias("rule"), F.col("m.s").alias("score"), F.col("m.w").cast("long").alias("first_word"), F.col("m.e").cast("long").alias("last_word"))
+
+
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    rows = detected(docs)
     counts, firsts, lasts, names = [], [], [], []
     for phrase, label in PHRASES.items():
         mark, n = F.lit(" " + phrase.replace(" ", "  ") + " "), len(phrase.split())
@@ -136,9 +88,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(has, F.regexp_count(F.substring_index("spaced", " " + phrase.replace(" ", "  ") + " ", 1), F.lit("[^ ]+"))))
         lasts.append(F.when(has, F.col("n_words") - n - F.regexp_count(F.substring_index("spaced", " " + phrase.replace(" ", "  ") + " ", -1), F.lit("[^ ]+"))))
         names.append(F.when(has, F.lit(label)))
-    rows = rows.select("*", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*names)).alias("base"), F.replace("spaced", F.lit("  "), F.lit(" ")).alias("line"), rule_array().alias("rules"))
-    rows = rows.select("*", F.when(F.col("line").isNotNull(), F.expr(FOUND)).alias("found"))
-    rows = rows.select("*", F.when(F.size("found") > 0, F.expr(KEPT)).alias("kept"))
+    rows = rows.select("*", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*names)).alias("base"))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.transform("kept", lambda x: x["label"]), F.expr("cast(array() as array<string>)")))))
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("kept", lambda x: x["s"])), F.lit(0.0)))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

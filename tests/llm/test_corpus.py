@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -18,7 +19,7 @@ if not __spark_entry__.corpus:
 
 import corpus_pipeline
 from circlet.llm import vectors as vectors_module
-from circlet.llm import ann, bpe, licenses, maxscore, mixing, quality, queries, simhash, suffix_dedup, url_filter, wordpiece
+from circlet.llm import ann, bpe, license_rules, licenses, maxscore, mixing, quality, queries, simhash, suffix_dedup, url_filter, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -281,7 +282,43 @@ def test_license_rules(spark):
     cases = {"Released under the GNU General Public License, version 3.": "gpl-3", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc,cc-by-nc-sa", "the MIT license": "mit", "licence to kill": "", "mitten under the table": "", "under the mit license " * 3: "mit"}
     table = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
     got = [r.labels for r in licenses.scan_licenses(table).orderBy("doc_id").collect()]
-    assert got == list(cases.values()) and len(licenses.rules()) > 200
+    assert got == list(cases.values()) and len(license_rules.rules()) > 200
+
+
+def matched(text):
+    """Labels and score by the same signatures, match by match."""
+    line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))) + " "
+    found = [(m.start(), -m.end(), p, n, label, s) for n, label, words, rx, p, s in license_rules.rules() if any(w in line for w in words) for m in re.finditer(rx, line)]
+    found.sort()
+    kept = [x for i, x in enumerate(found) if not any(y[0] <= x[0] and y[1] <= x[1] and y[2] <= x[2] for y in found[max(0, i - 400) : i])]
+    base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in line}
+    return ",".join(sorted(base | {x[4] for x in kept})), max([float(bool(base)), *(x[5] for x in kept)]), len(kept)
+
+
+def test_license_signatures(spark):
+    """Labels, scores and spans against a plain matcher: texts made of the signatures themselves, and one of thousands of matches."""
+    rng = random.Random(9)
+    sample = [re.sub(r"\(\?!.*?\)\)?|\?|[()\[\]]", "", re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", rx[5:-5].replace("[cs]", "s").replace("[1-4] [05]", "4 0").replace("(?:19|20)[0-9]{2}", "2019"))).replace("{1,12}", "") for *_, rx, _, _ in license_rules.rules()]
+    texts = [x.upper() if i % 7 == 0 else x for i, x in enumerate(sample)]
+    texts += [" filler. ".join(rng.sample(sample, 5)) for _ in range(60)]
+    texts += ["Copyright (c) 2019 Some One. All rights reserved. Licensed under the MIT License; see the Apache License, Version 2.0 / CC-BY-NC. " * 1500, None, "", "licence", "This is released under the MIT, or licensed under the Apache License, version 2."]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.scan_licenses(table).collect()}
+    each = licenses.detections(table).cache()
+    spans = {r.doc_id: r.n for r in each.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    one = sorted((r.first_word, r.last_word, r.label) for r in each.where(each.doc_id == len(texts) - 1).collect())
+    assert one == [(2, 5, "mit"), (7, 13, "apache-2")]
+    for i, text in enumerate(texts):
+        labels, score, n = matched(text)
+        assert (got[i].labels, got[i].score, spans.get(i, 0)) == (labels, score, n), text and text[:200]
+    assert sum(bool(got[i].labels) for i in range(len(sample))) > 0.6 * len(sample)
+
+
+def test_license_rules_are_gated():
+    made = license_rules.rules()
+    assert len({rx for *_, rx, _, _ in made}) == len(made) >= 200
+    assert all(any(stem in word for stem in license_rules.STEMS) for _, _, words, *_ in made for word in words)
+    assert all(any(re.search(licenses.GATE, phrase) for _ in "x") for phrase in licenses.PHRASES)
 
 
 def vectors(spark, n, d, seed):
