@@ -6,8 +6,9 @@ fixed table of 2 ** bits floats, so it is one gather and one sum over every feat
 
 Edge cases: null is the empty text, whose score is the output for a zero vector (the learnt prior); with no usable
 labels, or one class only, the score is the smoothed share of label 1; null labels are left out and several labels
-of one doc_id are averaged; rows that repeat a doc_id are scored alike and trained on once; a null doc_id is never
-held out and never labelled; labels, lang, source and doc_id never reach a score.
+of one doc_id are averaged; of rows that repeat a doc_id the smallest text is trained on, and each is scored by its own
+text; a null doc_id is never held out and never labelled; very long texts are taken apart a million characters at a time
+(one text at least), whole; labels, lang, source, doc_id and other columns never reach a score.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> np.nd
     ids = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("_y"))
     ids = staged(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample))
     # The limit above bounds what is broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y"))
 
     def run(batches):
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "_y": []}), *batches]).sort_values("doc_id")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from circlet.llm import ann, bpe, licenses, maxscore, mixing, quality, simhash, suffix_dedup, url_filter, wordpiece
 
-#: Where the public vocabulary files are, on every executor.
-TOKENIZERS = os.environ.get("CIRCLET_TOKENIZERS", "/opt/tokenizers")
-BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+BPE_FILE = vocabulary("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 The trees are trained, in one task, on a bounded and documented sample of the urls that the rules decide (the smallest
 hashes, `Boost.sample` of them). Suffix statistics, the block rates of a host's last two and last one labels, are
-counted over all decided urls. Features are column functions; the trees run on batches of them.
+counted over all decided urls, for these themselves without the hosts of their fold. Features are column functions; the trees run on batches of them.
 
 Edge cases: a null url or one without `://` has an empty host and path and no rule; with no decided urls the method
-allows, with one verdict among them it gives that one; repeated rows are judged alike; only page_id and url are read.
+allows, with one verdict among them it gives that one; repeated rows are judged alike, rows with a null page_id like any
+other; urls may be of any length; only page_id and url are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Decided urls are dealt out by host to so many folds.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digits", "hyphens", "params", "fragment", "secure", "rate2", "rate1", "entropy")
 
 
@@ -65,12 +68,20 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def with_rates(rows: DataFrame) -> DataFrame:
-    """Adds rate2 and rate1: how often the decided urls of a suffix are blocked, smoothed; 0.5 for unseen suffixes."""
-    counts = rows.where("verdict is not null").groupBy("s2", "s1").agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("long")).alias("b"))
-    counts = staged(counts)
+    """Adds rate2 and rate1: how often the decided urls of a suffix are blocked, smoothed; 0.5 for unseen suffixes.
+
+    A decided url doesn't see its own verdict: for it, the hosts that share its fold are left out of the counts.
+    """
+    fold = F.when(F.col("verdict").isNotNull(), F.pmod(F.xxhash64("host"), F.lit(FOLDS))).otherwise(F.lit(-1).cast("long"))
+    rows = rows.withColumn("fold", fold)
+    block = F.sum((F.col("verdict") == "block").cast("long"))
+    counts = staged(rows.where("verdict is not null").groupBy("s2", "s1", "fold").agg(F.count("*").alias("n"), block.alias("b")))
     for key, name in (("s2", "rate2"), ("s1", "rate1")):
-        rate = small(counts.groupBy(key).agg(((F.sum("b") + 1) / (F.sum("n") + 2)).alias(name)))
-        rows = rows.join(rate, key, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
+        each = counts.groupBy(key, "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        whole = each.groupBy(key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        others = each.select(key, "fold", F.col("n").alias("n_f"), F.col("b").alias("b_f")).join(whole, key).select(key, "fold", (F.col("n") - F.col("n_f")).alias("n"), (F.col("b") - F.col("b_f")).alias("b"))
+        rate = others.unionByName(whole.withColumn("fold", F.lit(-1).cast("long"))).select(key, "fold", ((F.col("b") + 1) / (F.col("n") + 2)).alias(name))
+        rows = rows.join(small(rate), [key, "fold"], "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
     return rows
 
 

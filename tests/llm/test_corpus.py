@@ -395,6 +395,35 @@ def test_urls(spark):
     assert url_filter.judge(table.where("page_id < 0")).count() == 0
 
 
+def test_trees_score_as_stated(spark):
+    """Scores of undecided urls against trees walked one by one; decided urls don't see their own verdict."""
+    rng = random.Random(6)
+    host = lambda: f"{rng.choice('abcdefgh')}{rng.randint(0, 9)}.{rng.choice(['com', 'net', 'org', 'co.net'])}"
+    urls = [f"http{rng.choice(['', 's'])}://{host()}/{rng.choice(['en', 'es', 'fr'])}/{'x' * rng.randint(0, 30)}?a={rng.randint(0, 99)}" for _ in range(400)] + ["http://a.net/" + "long/" * 20000, None]
+    table = spark.createDataFrame([(i if i % 50 else None, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, fold string")
+    rows = url_filter.lexical(url_filter.with_rates(url_filter.ruled(table))).toPandas()
+    decided = rows[rows.verdict.notna()]
+    for name, key in (("rate2", "s2"), ("rate1", "s1")):
+        for r in rows.sample(60, random_state=1).itertuples():
+            near = decided[(decided[key] == getattr(r, key)) & ((decided.fold != r.fold) if r.fold >= 0 else True)]
+            assert getattr(r, name) == pytest.approx((int((near.verdict == "block").sum()) + 1) / (len(near) + 2) if len(decided[decided[key] == getattr(r, key)]) else 0.5)
+    model = url_filter.fit(url_filter.inputs(decided), (decided.verdict == "block").to_numpy(float), url_filter.Boost())
+
+    def walk(x):
+        raw = model["bias"]
+        for tree in model["trees"]:
+            at = 0
+            while tree[at][2] >= 0:
+                at = tree[at][2] if x[tree[at][0]] <= tree[at][1] else tree[at][3]
+            raw += tree[at][4]
+        return 1 / (1 + math.exp(-raw))
+
+    want = {(u, None): walk(x) for u, x in zip(rows.url, url_filter.inputs(rows))}
+    got = url_filter.judge(table).where("rule is null").collect()
+    by_place = sorted((r.host, r.path, round(r.score, 6), r.verdict) for r in got)
+    assert by_place == sorted((r.host, r.path, round(want[r.url, None], 6), "block" if want[r.url, None] >= 0.5 else "allow") for r in rows[rows.rule.isna()].itertuples())
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, len(url_filter.FEATURES)))
