@@ -281,22 +281,24 @@ def turns(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def found_contexts(rows: DataFrame, within: bool = False) -> DataFrame:
-    """Steps 1 and 2: the staged contexts (g, k, d, t, a, l, r, c) of grams that two or more documents have; k: hash of the context.
+    """Steps 1 and 2: the staged contexts (g, k, d, t, a, off, c) of grams that two or more documents have; k: hash of the context.
 
-    within: of grams that occur twice or more, in one document or several.
+    within: of grams that occur twice or more, in one document or several, and with the symbols l and r on either side.
     """
     counted = grams(rows).groupBy("g").agg(F.min("d").alias("one"), F.max("d").alias("two"), F.count("*").alias("n"))
     shared = staged(counted.where("n > 1" if within else "one < two").select("g"))
     hits = staged(grams(rows).join(shared.hint("shuffle_hash"), "g", "left_semi").groupBy("d", "t").agg(F.collect_list("g").alias("gs")))
     discard(shared)
-    found = staged(contexts(rows.join(hits, ["d", "t"])).select("g", F.xxhash64("c", "off").alias("k"), "d", "t", "a", "off", "l", "r", "c"))
+    sides = ["l", "r"] if within else []
+    found = staged(contexts(rows.join(hits, ["d", "t"])).select("g", F.xxhash64("c", "off").alias("k"), "d", "t", "a", "off", *sides, "c"))
     discard(hits)
     return found
 
 
-def folded() -> list[Column]:
-    """What occurrences of one context, or of one window, come to: smallest and largest document, number, symbols around."""
-    return [f(c).alias(c) for c, f in (("m", F.min), ("most", F.max), ("n", F.sum), ("l_lo", F.min), ("l_hi", F.max), ("r_lo", F.min), ("r_hi", F.max))]
+def folded(sides: bool) -> list[Column]:
+    """What occurrences of one context, or of one window, come to: smallest and largest document; number and symbols around."""
+    all_of = (("m", F.min), ("most", F.max), ("n", F.sum), ("l_lo", F.min), ("l_hi", F.max), ("r_lo", F.min), ("r_hi", F.max))
+    return [f(c).alias(c) for c, f in (all_of if sides else all_of[:2])]
 
 
 def in_buckets(each: DataFrame, *by: str) -> DataFrame:
@@ -310,8 +312,9 @@ def trees(found: DataFrame, work, columns: str, split: int = SPLIT) -> DataFrame
     Grams of over `split` contexts have them cut into single windows, each with the symbols on either side, so that equal
     windows fold before they move and their tree is dealt out by window.
     """
-    single = {"m": F.col("d"), "most": F.col("d"), "n": F.lit(1), "l_lo": F.col("l"), "l_hi": F.col("l"), "r_lo": F.col("r"), "r_hi": F.col("r")}
-    each = staged(found.withColumns(single).groupBy("g", "off", "c").agg(*folded()).withColumn("k", F.xxhash64("c", "off")).drop("off"))
+    sides = "l" in found.columns
+    single = {"m": F.col("d"), "most": F.col("d")} | ({"n": F.lit(1), "l_lo": F.col("l"), "l_hi": F.col("l"), "r_lo": F.col("r"), "r_hi": F.col("r")} if sides else {})
+    each = staged(found.withColumns(single).groupBy("g", "off", "c").agg(*folded(sides)).withColumn("k", F.xxhash64("c", "off")).drop("off"))
     crowded = small(each.groupBy("g").agg(F.count("*").alias("contexts")).where(F.col("contexts") > split).select("g"))
     schema = f"g long, k long, lo long, hi long, {columns}"
     run = lambda key, pdf: work(pdf)
@@ -320,9 +323,10 @@ def trees(found: DataFrame, work, columns: str, split: int = SPLIT) -> DataFrame
         byte = lambda at: F.conv(F.hex(F.substring("c", at, F.lit(1))), 16, 10).cast("int")
         w, final = F.col("w"), F.length("c") - LENGTH
         wide = each.join(crowded, "g", "left_semi").withColumn("w", F.explode(F.sequence(F.lit(0), final)))
-        wide = wide.withColumns({x: F.when(w == 0, F.col(x)).otherwise(byte(w)) for x in ("l_lo", "l_hi")} | {x: F.when(w == final, F.col(x)).otherwise(byte(w + LENGTH + 1)) for x in ("r_lo", "r_hi")})
+        if sides:
+            wide = wide.withColumns({x: F.when(w == 0, F.col(x)).otherwise(byte(w)) for x in ("l_lo", "l_hi")} | {x: F.when(w == final, F.col(x)).otherwise(byte(w + LENGTH + 1)) for x in ("r_lo", "r_hi")})
         wide = wide.withColumns({"k1": F.col("k"), "c": F.substring("c", w + 1, F.lit(LENGTH))}).withColumn("k", F.xxhash64("c"))
-        ones = staged(wide.groupBy("g", "k", "c").agg(*folded()))
+        ones = staged(wide.groupBy("g", "k", "c").agg(*folded(sides)))
         done = in_buckets(ones, "g", "k").groupBy("bucket").applyInPandas(run, schema)
         back = done.join(wide.select("g", "k", "k1", "w"), ["g", "k"]).select("g", F.col("k1").alias("k"), w.cast("long").alias("lo"), w.cast("long").alias("hi"), *done.columns[4:])
         out = out.union(back)
