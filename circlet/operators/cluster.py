@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from circlet.functions.lineage import cut
-from circlet.operators import stats
+from circlet.functions.order import with_running
+from circlet.operators import graph, stats
 
 
 def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
@@ -53,38 +54,64 @@ def cut_tree(n: int, merges: list[tuple[int, int, float, int]], at: float) -> np
 def square(pdf: pd.DataFrame, nodes: np.ndarray, missing: float) -> np.ndarray:
     m = np.full((len(nodes), len(nodes)), missing)
     np.fill_diagonal(m, 0.0)
-    i, j = np.searchsorted(nodes, pdf["u"]), np.searchsorted(nodes, pdf["v"])
-    m[i, j] = m[j, i] = pdf["d"]
+    if len(pdf):
+        i, j = np.searchsorted(nodes, pdf["u"]), np.searchsorted(nodes, pdf["v"])
+        m[i, j] = m[j, i] = pdf["d"]
     return m
 
 
-def average_clusters(pairs: DataFrame, ratio: float = 0.4, missing: float = 1.0) -> DataFrame:
-    """pairs(grp, u, v, d) -> (grp, node, cluster): average linkage per group, cut at ratio * the group's largest distance.
+#: A dense matrix of more nodes than this is refused.
+MOST_DENSE = 5000
 
-    A group is one dense matrix in one task: meant for groups of up to a few thousand entities.
+
+def per_group(pairs: DataFrame, members: DataFrame, work, schema: str) -> DataFrame:
+    """work(grp, nodes, dense distances) on each group of members(grp, node); pairs(grp, u, v, d), unlisted ones at 1.
+
+    Linkage needs a group's whole matrix: one group is one task, and one of over MOST_DENSE nodes is an error, not a guess.
     """
 
-    def run(key, pdf):
-        nodes = np.unique(np.concatenate([pdf["u"], pdf["v"]]))
-        m = square(pdf, nodes, missing)
-        return pd.DataFrame({"grp": key[0], "node": nodes, "cluster": cut_tree(len(nodes), linkage(m), ratio * m.max())})
+    def run(key, own, pdf):
+        nodes = np.unique(own["node"].to_numpy())
+        if len(nodes) > MOST_DENSE:
+            raise ValueError(f"group {key[0]} has {len(nodes)} nodes, more than {MOST_DENSE}")
+        return work(key[0], nodes, square(pdf, nodes, 1.0))
+
+    return members.select("grp", "node").groupBy("grp").cogroup(pairs.select("grp", "u", "v", "d").groupBy("grp")).applyInPandas(run, schema)
+
+
+def average_clusters(pairs: DataFrame, members: DataFrame, ratio: float = 0.4) -> DataFrame:
+    """(grp, node, cluster): average linkage per group, cut at ratio * the group's largest distance."""
+
+    def work(grp, nodes, m):
+        return pd.DataFrame({"grp": grp, "node": nodes, "cluster": cut_tree(len(nodes), linkage(m), ratio * m.max())})
+
+    return per_group(pairs, members, work, "grp long, node long, cluster long")
+
+
+def tree_merges(pairs: DataFrame, members: DataFrame, method: str = "single") -> DataFrame:
+    """(grp, step, left, right, height, size): each group's merges; clusters are numbered on from its nodes, which are in order."""
 
-    return pairs.groupBy("grp").applyInPandas(run, "grp long, node long, cluster long")
+    def work(grp, nodes, m):
+        rows = [(grp, i, a, b, h, n) for i, (a, b, h, n) in enumerate(linkage(m, method))]
+        return pd.DataFrame(rows, columns=["grp", "step", "left", "right", "height", "size"])
 
+    return per_group(pairs, members, work, "grp long, step long, left long, right long, height double, size long")
 
-def split_large(pairs: DataFrame, most: int) -> DataFrame:
-    """Splits groups of more than `most` nodes into that many fewer per cluster: (name, node), names `grp` or `grp.i`."""
 
-    def run(key, pdf):
-        nodes = np.unique(np.concatenate([pdf["u"], pdf["v"]]))
-        if len(nodes) <= most:
-            return pd.DataFrame({"name": str(key[0]), "node": nodes})
-        merges = linkage(square(pdf, nodes, 1.0))
-        wanted = -(-len(nodes) // most)
-        labels = cut_tree(len(nodes), merges[: len(nodes) - wanted], np.inf)
-        return pd.DataFrame({"name": [f"{key[0]}.{i}" for i in labels], "node": nodes})
+def split_large(pairs: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Splits groups of more than `most` nodes by average linkage into as many clusters as they are times larger: (name, node), names `grp` or `grp.i`."""
+    size = members.groupBy("grp").agg(F.count("*").alias("size"))
+    sized = members.join(size, "grp")
+    large = sized.where(F.col("size") > most)
 
-    return pairs.groupBy("grp").applyInPandas(run, "name string, node long")
+    def work(grp, nodes, m):
+        merges = linkage(m)
+        labels = cut_tree(len(nodes), merges[: len(nodes) - -(-len(nodes) // most)], np.inf)
+        return pd.DataFrame({"name": [f"{grp}.{i}" for i in labels], "node": nodes})
+
+    inside = pairs.join(large.select("grp").distinct(), "grp", "left_semi")
+    whole = sized.where(F.col("size") <= most).select(F.col("grp").cast("string").alias("name"), "node")
+    return whole.union(per_group(inside, large, work, "name string, node long"))
 
 
 def markov_step(flow: DataFrame, inflation: float = 2.0, least: float = 1e-3) -> DataFrame:
@@ -103,15 +130,15 @@ def flow_of(similarities: DataFrame) -> DataFrame:
 
 
 def markov_clusters(similarities: DataFrame, inflation: float = 2.0, rounds: int = 100) -> DataFrame:
-    """(node, cluster): the smallest attractor that a node's flow ends in."""
+    """(node, cluster): the smallest attractor that a node's flow ends in; an error if it hasn't settled after so many rounds."""
     flow, mark = cut(flow_of(similarities)), None
     for _ in range(rounds):
         flow = cut(markov_step(flow, inflation))
         now = flow.agg(F.count("*"), F.round(F.sum(F.col("p") * F.col("p")), 9)).first()
         if now == mark:
-            break
+            return flow.groupBy(F.col("c").alias("node")).agg(F.min("r").alias("cluster"))
         mark = now
-    return flow.groupBy(F.col("c").alias("node")).agg(F.min("r").alias("cluster"))
+    raise RuntimeError(f"flow not settled after {rounds} rounds")
 
 
 def nearest_cluster(pairs: DataFrame, members: DataFrame, fewer_than: int) -> DataFrame:
@@ -140,16 +167,14 @@ def moved(members: DataFrame, best: DataFrame) -> DataFrame | None:
     return cut(members.join(now, "cluster", "left").select("node", F.coalesce("target", "cluster").alias("cluster")))
 
 
-def absorb_small(pairs: DataFrame, members: DataFrame, fewer_than: int, above: float = 0.0, rounds: int = 20) -> DataFrame:
+def absorb_small(pairs: DataFrame, members: DataFrame, fewer_than: int, above: float = 0.0) -> DataFrame:
     """(node, cluster): clusters of fewer members join that of their most similar outside node, if above the similarity; repeated.
 
     Those that find none stay as they are.
     """
     close = pairs.where(F.col("similarity") > above)
-    for _ in range(rounds):
-        after = moved(members, nearest_cluster(close, members, fewer_than))
-        if after is None:
-            break
+    # Every round takes one cluster away at least, so this ends.
+    while (after := moved(members, nearest_cluster(close, members, fewer_than))) is not None:
         members = after
     return members.select("node", "cluster")
 
@@ -170,12 +195,54 @@ def core_aggregate(rows: DataFrame, members: DataFrame, fewer_than: int, more_th
 
 
 def drop_isolates(members: DataFrame) -> DataFrame:
-    """(node, cluster) of clusters of more than one, numbered anew from 0 in the order of their old numbers."""
-    kept = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
-    number = kept.select("cluster", (F.row_number().over(W.orderBy("cluster")) - 1).alias("number"))
+    """(node, cluster) of clusters of more than one, numbered anew from 0 in the order of their old names or numbers."""
+    kept = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1").select("cluster", F.lit(1).alias("one"))
+    number = with_running(kept, "cluster", "one", "number").select("cluster", (F.col("number") - 1).alias("number"))
     return members.join(number, "cluster").select("node", F.col("number").cast("long").alias("cluster"))
 
 
+def content_clusters(similarities: DataFrame, rows: DataFrame, inflation: float = 2.0, fewer_than: int = 3, more_than: int = 2, fraction: float = 1.0, most: int = 80) -> DataFrame:
+    """The whole job by gene content: Markov clusters, small ones merged by shared core, large ones split, lone nodes left out.
+
+    similarities(u, v, similarity) of all pairs above 0, rows(node, token) -> (node, cluster), numbered in the order of names.
+    """
+    nodes = rows.select("node").distinct()
+    found = markov_clusters(similarities, inflation)
+    members = cut(nodes.join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster")))
+    merged = cut(core_aggregate(rows, members, fewer_than, more_than, fraction))
+    groups = merged.select(F.col("cluster").alias("grp"), "node")
+    inside = similarities.join(groups.toDF("grp", "u"), "u").join(groups.toDF("grp_v", "v"), "v").where("grp = grp_v").select("grp", "u", "v", (1 - F.col("similarity")).alias("d"))
+    return drop_isolates(split_large(inside, groups, most).select("node", F.col("name").alias("cluster")))
+
+
+def core_score(rows: DataFrame, members: DataFrame, fraction: float = 0.7, resolution: float = 0.5) -> DataFrame:
+    """(n_clusters, n_zero_core, score): score = -(resolution * clusters + clusters without a core token)."""
+    each = members.select("cluster").distinct()
+    core = stats.core_tokens(rows.join(members, "node").select(F.col("cluster").alias("grp"), F.col("node").alias("entity"), "token"), fraction)
+    marked = each.join(core.select(F.col("grp").alias("cluster")).distinct().withColumn("has", F.lit(1)), "cluster", "left")
+    out = marked.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum(F.col("has").isNull().cast("long")), F.lit(0)).alias("n_zero_core"))
+    return out.withColumn("score", -(resolution * F.col("n_clusters") + F.col("n_zero_core")))
+
+
+def grid_search(similarities: DataFrame, rows: DataFrame, inflations: list[float], **limits) -> DataFrame:
+    """(inflation, n_clusters, n_zero_core, score, best): one row per setting; the first of the best scores is the best."""
+    parts = [core_score(rows, cut(content_clusters(similarities, rows, x, **limits))).withColumn("inflation", F.lit(float(x))) for x in inflations]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    # As many rows as settings.
+    first = F.row_number().over(W.orderBy(F.desc("score"), "inflation")) == 1
+    return out.select("inflation", "n_clusters", "n_zero_core", "score", first.alias("best"))
+
+
+def modularity_score(edges: DataFrame, members: DataFrame, per_cluster: float = 0.0, of_nodes: bool = False) -> DataFrame:
+    """(q, score): modularity less per_cluster * clusters, or, of_nodes, less that over the number of nodes."""
+    q = graph.modularity(edges, members.select("node", F.col("cluster").alias("grp")))
+    n = members.agg(F.count_distinct("cluster").alias("k"), F.count("*").alias("nodes"))
+    less = per_cluster * F.col("k") / (F.col("nodes") if of_nodes else F.lit(1))
+    return q.crossJoin(n).select("q", (F.col("q") - less).alias("score"))  # one row each
+
+
 def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs(u, v, d) of every pair, labels(node, label) -> (label, score): mean silhouette; 0 for a node alone in its label."""
     both = pairs.select("u", "v", "d").union(pairs.select("v", "u", "d"))

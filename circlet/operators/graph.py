@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circlet.functions.lineage import cut
+from circlet.operators.sequence import circular_next
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -58,6 +59,40 @@ def union_nodes(seq: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("n_entities"), F.sum("c").alias("n_copies"), F.sum("f").alias("n_forward"))
 
 
+def union_edges(seq: DataFrame) -> DataFrame:
+    """(tok_a, tok_b, n_entities, n_copies, first_entity): the edges of the union of all circles, for how many and for which first."""
+    pairs = seq.withColumn("next_token", circular_next("token"))
+    each = pairs.groupBy(F.least("token", "next_token").alias("tok_a"), F.greatest("token", "next_token").alias("tok_b"), "entity").agg(F.count("*").alias("c"))
+    return each.groupBy("tok_a", "tok_b").agg(F.count("*").alias("n_entities"), F.sum("c").alias("n_copies"), F.min("entity").alias("first_entity"))
+
+
+def titled(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """nodes(token, ...) with a title: its name and in how many entities it is."""
+    named = nodes.join(names, "token", "left")
+    return named.withColumn("title", F.concat(F.coalesce("name", "token"), F.lit(" ("), F.col("n_entities").cast("string"), F.lit(")"))).drop("name")
+
+
+def path_edges(regions: DataFrame, region: str, chunk: str) -> DataFrame:
+    """(a, b, n): how many regions have the two tokens one after the other, in this direction."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(chunk) - 1), lambda i: F.struct(F.element_at(chunk, i).alias("a"), F.element_at(chunk, i + 1).alias("b")))
+    edges = regions.where(F.size(chunk) > 1).select(region, F.explode(steps).alias("e")).select(region, "e.*").distinct()
+    return edges.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def linked_nodes(pairs: DataFrame, nodes: DataFrame, similarity: str, at: float, least: int = 2) -> DataFrame:
+    """(node, entries): nodes with `least` or more entries above the threshold, the one with itself (1) among them."""
+    above = pairs.where(F.col(similarity) > at)
+    ends = above.select(F.col("u").alias("node")).union(above.select("v")).groupBy("node").agg(F.count("*").alias("near"))
+    own = 1 if at < 1 else 0
+    return nodes.select("node").join(ends, "node", "left").select("node", (F.coalesce("near", F.lit(0)) + own).alias("entries")).where(F.col("entries") >= least)
+
+
+def labelled_network(pairs: DataFrame, labels: DataFrame, similarity: str, at: float) -> DataFrame:
+    """(u, v, similarity, label_u, label_v, same) of edges above the threshold; labels(node, label)."""
+    edges = threshold_edges(pairs, similarity, at)
+    return edges.join(labels.toDF("u", "label_u"), "u", "left").join(labels.toDF("v", "label_v"), "v", "left").withColumn("same", F.col("label_u").eqNullSafe(F.col("label_v")))
+
+
 def annotation_counts(members: DataFrame, annotations: DataFrame) -> DataFrame:
     """members(node, community), annotations(node, annotation) -> (community, annotation, n)."""
     each = annotations.groupBy("node", "annotation").agg(F.count("*").alias("c"))

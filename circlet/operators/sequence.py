@@ -38,10 +38,11 @@ def circular_adjacency(seq: DataFrame) -> DataFrame:
     return rows.select("entity", "ord", "token", "next_token", leave.alias("leave"), enter.alias("enter"))
 
 
-def edge_counts(seq: DataFrame) -> DataFrame:
-    """(tok_a, tok_b, n): how often two tokens are neighbours on a circle, whichever comes first."""
+def edge_counts(seq: DataFrame, least: int = 1) -> DataFrame:
+    """(tok_a, tok_b, n): how often two tokens are neighbours on a circle, whichever comes first; `least` times at least."""
     pairs = seq.withColumn("next_token", circular_next("token"))
-    return pairs.groupBy(F.least("token", "next_token").alias("tok_a"), F.greatest("token", "next_token").alias("tok_b")).agg(F.count("*").alias("n"))
+    counts = pairs.groupBy(F.least("token", "next_token").alias("tok_a"), F.greatest("token", "next_token").alias("tok_b")).agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least) if least > 1 else counts
 
 
 def threemers(seq: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from circlet.functions.order import with_running
+
 
 def core_tokens(rows: DataFrame, fraction: float = 1.0) -> DataFrame:
     """rows(grp, entity, token) -> (grp, token, n) of tokens that at least `fraction` of the group's entities have."""
@@ -66,6 +68,22 @@ def in_out_prevalence(rows: DataFrame, inside: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(sizes)).select("token", (F.col("a") / F.col("n_in")).alias("in_share"), (F.col("b") / F.col("n_out")).alias("out_share"))
 
 
+def label_counts(rows: DataFrame, entity: str, label: str, labels: list) -> DataFrame:
+    """How often an entity has each label, one column per label, and their sum."""
+    counts = [F.count(F.when(F.col(label) == x, 1)).alias(f"n_{x}") for x in labels]
+    out = rows.groupBy(entity).agg(*counts)
+    return out.withColumn("total", sum((F.col(f"n_{x}") for x in labels), F.lit(0)).cast("long"))
+
+
+def without_zeros(counts: DataFrame, entity: str) -> DataFrame:
+    """A count table without columns and rows that are zero throughout, largest row sums first."""
+    names = [c for c in counts.columns if c not in (entity, "total")]
+    sums = counts.agg(*[F.sum(c).alias(c) for c in names]).first()
+    kept = [c for c in names if sums[c]]
+    total = sum((F.col(c) for c in kept), F.lit(0))
+    return counts.where(total > 0).select(entity, *kept, total.cast("long").alias("total")).orderBy(F.desc("total"), entity)
+
+
 def one_hot(rows: DataFrame, entity: str, label: str, labels: list) -> DataFrame:
     """One 0/1 column per label."""
     return rows.groupBy(entity).agg(*[F.max((F.col(label) == x).cast("int")).alias(f"is_{x}") for x in labels])
@@ -82,15 +100,14 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, grp: str, value: str) -> DataFrame:
-    """(value, ties, rank, counts per group): ranks over distinct values, so the running sum is over few rows."""
-    each = rows.groupBy(value).agg(F.count("*").alias("ties"))
-    before = F.sum("ties").over(W.orderBy(value)) - F.col("ties")
-    ranks = each.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    """(value, ties, rank, counts per group): ranks over distinct values, by ranges of them."""
+    each = with_running(rows.groupBy(value).agg(F.count("*").alias("ties")), value, "ties", "upto")
+    ranks = each.withColumn("rank", F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2).drop("upto")
     return rows.groupBy(grp, value).agg(F.count("*").alias("c")).join(ranks, value)
 
 
 def kruskal(rows: DataFrame, grp: str, value: str) -> DataFrame:
-    """(h, n, groups): the Kruskal-Wallis statistic, corrected for ties."""
+    """(h, n, groups): the Kruskal-Wallis statistic, corrected for ties. Its tail: tails.chi_square(h, groups - 1)."""
     ranked = average_ranks(rows, grp, value)
     groups = ranked.groupBy(grp).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("k"))
     h = groups.agg(F.sum("k").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("k")).alias("s"), F.count("*").alias("groups"))

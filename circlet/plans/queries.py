@@ -214,22 +214,22 @@ REPORT = COMMON + NORMED + """, al AS (SELECT user_id AS e, list(event_type ORDE
  wk AS (SELECT e, k, c, CASE WHEN c <= list_reverse(c) THEN c ELSE list_reverse(c) END AS key FROM w),
  h AS (SELECT DISTINCT k, key, e FROM wk), hn AS (SELECT k, key, count(*) AS n, string_agg(e::VARCHAR, ',' ORDER BY e) AS users FROM h GROUP BY 1, 2 HAVING count(*) > 1),
  av AS (SELECT a.k, a.key, 2 * sum(coalesce(d_norm, 1)) AS s FROM h a JOIN h b ON a.k = b.k AND a.key = b.key AND a.e < b.e LEFT JOIN dn ON dn.u = a.e AND dn.v = b.e GROUP BY 1, 2),
- q AS (SELECT DISTINCT k, key, c FROM wk WHERE list_contains(c, 'error')),
- rg AS (SELECT q.c, q.k, hn.n, s / (hn.n * hn.n) AS avg_distance, users, row_number() OVER (ORDER BY q.c) - 1 AS index FROM q JOIN hn USING (k, key) JOIN av USING (k, key) WHERE s / (hn.n * hn.n) >= 0.1)"""
+ q AS (SELECT k, key, c, unnest(list_distinct(c)) AS query FROM (SELECT DISTINCT k, key, c FROM wk)),
+ rg AS (SELECT q.query, q.c, q.k, hn.n, s / (hn.n * hn.n) AS avg_distance, users, row_number() OVER (PARTITION BY q.query ORDER BY q.c) - 1 AS index FROM q JOIN hn USING (k, key) JOIN av USING (k, key) WHERE s / (hn.n * hn.n) >= 0.1)"""
 
 
-@query(REPORT + " SELECT 'error' AS query, index, array_to_string(c, ',') AS chunk, k AS length, n, round(avg_distance, 9) AS avg_distance, users FROM rg WHERE n >= 3")
+@query(REPORT + " SELECT query, index, array_to_string(c, ',') AS chunk, k AS length, n, round(avg_distance, 9) AS avg_distance, users FROM rg WHERE n >= 3")
 def region_report(spark, d):
-    asked = table(spark, d, "events").select(F.col("event_type").alias("query")).where("query = 'error'").distinct()
+    asked = table(spark, d, "events").select(F.col("event_type").alias("query")).distinct()
     out = regions.flagged_regions(type_circles(spark, d), asked, jaccard_distances(spark, d))
     return out.select("query", F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), F.col("length").cast("long").alias("length"), "n", F.round("avg_distance", 9).alias("avg_distance"), text("entities").alias("users"))
 
 
-@query(REPORT + ", ks AS (SELECT *, row_number() OVER (PARTITION BY n, round(avg_distance, 9) ORDER BY index) AS place FROM rg WHERE n >= 3) SELECT index, array_to_string(c, ',') AS chunk, n, round(avg_distance, 9) AS avg_distance FROM ks WHERE place = 1")
+@query(REPORT + ", ks AS (SELECT *, row_number() OVER (PARTITION BY query, n, round(avg_distance, 9) ORDER BY index) AS place FROM rg WHERE n >= 3) SELECT query, index, array_to_string(c, ',') AS chunk, n, round(avg_distance, 9) AS avg_distance FROM ks WHERE place = 1")
 def distinct_reports(spark, d):
-    asked = table(spark, d, "events").select(F.col("event_type").alias("query")).where("query = 'error'").distinct()
+    asked = table(spark, d, "events").select(F.col("event_type").alias("query")).distinct()
     out = regions.first_of_each(regions.flagged_regions(type_circles(spark, d), asked, jaccard_distances(spark, d)))
-    return out.select(F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), "n", F.round("avg_distance", 9).alias("avg_distance"))
+    return out.select("query", F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), "n", F.round("avg_distance", 9).alias("avg_distance"))
 
 
 @query("WITH a AS (SELECT l_orderkey AS r, list(DISTINCT l_partkey) AS g, list(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1), x AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS p FROM lineitem), c AS (SELECT DISTINCT i.r AS i, h.r AS h FROM x i JOIN x h ON i.p = h.p AND i.r <> h.r), n AS (SELECT DISTINCT c.i FROM c JOIN a s ON s.r = c.i JOIN a b ON b.r = c.h WHERE list_has_all(b.g, s.g) AND list_has_all(b.e, s.e) AND (NOT list_has_all(s.g, b.g) OR NOT list_has_all(s.e, b.e) OR b.r < s.r)) SELECT r AS region, r IN (SELECT i FROM n) AS nested FROM a")
@@ -555,10 +555,10 @@ def core_aggregate(spark, d):
     return cluster.core_aggregate(rows.select(F.col("entity").alias("node"), "token"), members, 4, 3)
 
 
-@query("WITH m AS (SELECT c_custkey AS node, c_custkey // 3 AS cluster FROM customer WHERE c_custkey % 7 <> 0), k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM m GROUP BY 1 HAVING count(*) > 1) SELECT node, number AS cluster FROM m JOIN k USING (cluster)")
+@query("WITH m AS (SELECT c_custkey AS node, floor(c_acctbal / 5)::BIGINT AS cluster FROM customer), k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM m GROUP BY 1 HAVING count(*) > 1) SELECT node, number AS cluster FROM m JOIN k USING (cluster)")
 def drop_isolates(spark, d):
-    members = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 3).alias("cluster"))
-    return cluster.drop_isolates(members)
+    """Customers of like balance are a cluster."""
+    return cluster.drop_isolates(table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_acctbal") / 5).alias("cluster")))
 
 
 @query(COMMON + NORMED + ", lb AS (SELECT user_id AS node, min(event_id) % 3 AS label FROM events GROUP BY 1), bo AS (SELECT u, v, d FROM dn UNION ALL SELECT v, u, d FROM dn), ms AS (SELECT u, a.label AS lu, b.label AS lv, avg(d) AS mean FROM bo JOIN lb a ON a.node = u JOIN lb b ON b.node = v GROUP BY 1, 2, 3), nd AS (SELECT u, lu, max(mean) FILTER (lu = lv) AS a, min(mean) FILTER (lu <> lv) AS b FROM ms GROUP BY 1, 2) SELECT lu AS label, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS score FROM nd GROUP BY 1")
@@ -567,22 +567,115 @@ def silhouette(spark, d):
     return cluster.silhouette(jaccard_distances(spark, d), labels).withColumn("score", F.round("score", 6))
 
 
+def hundreds(spark, d):
+    """Users by hundreds of numbers, groups that stay as large when users become more, and the distances within."""
+    members = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct().withColumn("grp", F.floor(F.col("node") / 100))
+    rows = jaccard_distances(spark, d)
+    return rows.withColumn("grp", F.floor(F.col("u") / 100)).where(F.col("grp") == F.floor(F.col("v") / 100)).select("grp", "u", "v", "d"), members
+
+
 @query()
 def upgma(spark, d):
-    rows = jaccard_distances(spark, d)
-    groups = user_groups(spark, d)
-    inside = rows.join(groups.toDF("u", "grp"), "u").join(groups.toDF("v", "grp_v"), "v").where("grp = grp_v").select("grp", "u", "v", "d")
-    return cluster.average_clusters(inside, 0.9)
+    return cluster.average_clusters(*hundreds(spark, d), 0.9)
 
 
 @query()
 def splitter(spark, d):
-    rows = jaccard_distances(spark, d)
-    groups = user_groups(spark, d)
-    inside = rows.join(groups.toDF("u", "grp"), "u").join(groups.toDF("v", "grp_v"), "v").where("grp = grp_v").select("grp", "u", "v", "d")
-    return cluster.split_large(inside, 5)
+    return cluster.split_large(*hundreds(spark, d), 5)
+
+
+@query()
+def single_linkage(spark, d):
+    return cluster.tree_merges(*hundreds(spark, d))
+
+
+def shares(spark, d):
+    """Similarities of users by gene content, above 0, and their tokens."""
+    kept = key_sets(spark, d)
+    rows = pairs.jaccard_pairs(kept).where("inter > 0").select("u", "v", F.col("jaccard").alias("similarity"))
+    return rows, kept.select(F.col("entity").alias("node"), "token")
+
+
+LIMITS = {"fewer_than": 4, "more_than": 2, "most": 20}
+
+
+@query()
+def content_clusters(spark, d):
+    return cluster.content_clusters(*shares(spark, d), 2.0, **LIMITS)
+
+
+@query()
+def grid_search(spark, d):
+    return cluster.grid_search(*shares(spark, d), [1.5, 2.0, 3.0], **LIMITS)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def windowed_events(spark, d):
     return windowed_counts(table(spark, d, "events")).select(F.col("window_start").cast("date").cast("string").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+# Smaller graph, count and search operators
+
+@query(LISTS + ", x AS (SELECT e, list_slice(t, i + 1, i + 3) AS w FROM (SELECT e, t, unnest(range(0, len(t) - 2)) AS i FROM a)), h AS (SELECT DISTINCT e FROM x WHERE w IN (['click', 'view', 'error'], ['error', 'view', 'click'])) SELECT e AS entity, e IN (SELECT e FROM h) AS found FROM a")
+def linear_search(spark, d):
+    return sequence.holds_region(type_circles(spark, d), ["click", "view", "error"])
+
+
+@query("SELECT o_custkey, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{x}') AS \"n_{x}\"" for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")) + ", count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS total FROM orders GROUP BY 1")
+def label_counts(spark, d):
+    return stats.label_counts(table(spark, d, "orders"), "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS \"n_P\", count(*) FILTER (o_orderstatus = 'P') AS total FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') > 0")
+def nonzero_counts(spark, d):
+    return stats.without_zeros(stats.label_counts(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["P", "X"]), "o_custkey")
+
+
+@query(GENES + ", x AS (SELECT token, coalesce(lead(token) OVER p, first_value(token) OVER p) AS t2 FROM g WINDOW p AS (PARTITION BY entity ORDER BY ord)) SELECT least(token, t2) AS tok_a, greatest(token, t2) AS tok_b, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 2")
+def motif_graph(spark, d):
+    return sequence.edge_counts(key_circles(spark, d), 2)
+
+
+@query(GENES + ", x AS (SELECT entity, token, coalesce(lead(token) OVER p, first_value(token) OVER p) AS t2 FROM g WINDOW p AS (PARTITION BY entity ORDER BY ord)) SELECT least(token, t2) AS tok_a, greatest(token, t2) AS tok_b, count(DISTINCT entity) AS n_entities, count(*) AS n_copies, min(entity) AS first_entity FROM x GROUP BY 1, 2")
+def pangenome_edges(spark, d):
+    return graph.union_edges(key_circles(spark, d))
+
+
+@query(GENES + ", t AS (SELECT token, count(DISTINCT entity) AS n_entities FROM g GROUP BY 1) SELECT token, n_entities, CASE WHEN p_size > 25 THEN p_name ELSE token END || ' (' || n_entities || ')' AS title FROM t LEFT JOIN part ON p_partkey = token::BIGINT")
+def pangenome_titles(spark, d):
+    names = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("token"), F.col("p_name").alias("name"))
+    return graph.titled(graph.union_nodes(key_circles(spark, d)), names).select("token", "n_entities", "title")
+
+
+@query("WITH s AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) SELECT a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY 1, 2")
+def path_graph(spark, d):
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    regions_ = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("region")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["l_partkey"]).alias("genes"))
+    return graph.path_edges(regions_, "region", "genes")
+
+
+@query(COMMON + NORMED + ", ab AS (SELECT u, v FROM dn WHERE 1 - d_norm > 0.3), ne AS (SELECT node, count(*) AS k FROM (SELECT u AS node FROM ab UNION ALL SELECT v FROM ab) GROUP BY 1) SELECT entity AS node, coalesce(k, 0) + 1 AS entries FROM en LEFT JOIN ne ON ne.node = en.entity WHERE coalesce(k, 0) + 1 >= 2")
+def linked_nodes(spark, d):
+    rows = jaccard_distances(spark, d).withColumn("similarity", 1 - F.col("d_norm"))
+    nodes = key_sets(spark, d).where("token is not null").select(F.col("entity").alias("node")).distinct()
+    return graph.linked_nodes(rows, nodes, "similarity", 0.3)
+
+
+@query(COMMON + NORMED + ", lb AS (SELECT user_id AS node, min(event_type) AS label FROM events GROUP BY 1) SELECT u, v, round(1 - d_norm, 9) AS similarity, a.label AS label_u, b.label AS label_v, a.label = b.label AS same FROM dn JOIN lb a ON a.node = u JOIN lb b ON b.node = v WHERE 1 - d_norm > 0.2")
+def labelled_network(spark, d):
+    labels = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.min("event_type").alias("label"))
+    rows = jaccard_distances(spark, d).withColumn("similarity", 1 - F.col("d_norm"))
+    return graph.labelled_network(rows, labels, "similarity", 0.2).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(CORE + ", s AS (SELECT DISTINCT entity, grp FROM sp), k AS (SELECT DISTINCT grp FROM s) SELECT count(*) AS n_clusters, count(*) FILTER (grp NOT IN (SELECT grp FROM co)) AS n_zero_core, -(0.5 * count(*) + count(*) FILTER (grp NOT IN (SELECT grp FROM co)))::DOUBLE AS score FROM k")
+def cluster_score(spark, d):
+    rows = supplier_parts(spark, d)
+    members = rows.select(F.col("entity").alias("node"), F.col("grp").alias("cluster")).distinct()
+    return cluster.core_score(rows.select(F.col("entity").alias("node"), "token"), members)
+
+
+@query("WITH q AS (" + ORACLE_SQL["modularity"] + "), n AS (SELECT count(*) AS nodes, count(DISTINCT c_nationkey) AS k FROM customer) SELECT q, round(q - 0.01 * k / nodes, 9) AS score FROM q, n")
+def modularity_score(spark, d):
+    members = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("cluster"))
+    return cluster.modularity_score(customer_links(spark, d), members, 0.01, of_nodes=True).select(F.round("q", 9).alias("q"), F.round("score", 9).alias("score"))

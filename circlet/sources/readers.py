@@ -67,7 +67,7 @@ def fasta(rows: DataFrame) -> DataFrame:
     """(file, n, id, description, sequence) of every record."""
     by = W.partitionBy("file").orderBy("n")
     numbered = rows.withColumn("_r", F.sum(F.startswith("line", F.lit(">")).cast("int")).over(by)).where("_r > 0")
-    header = F.max(F.when(F.startswith("line", F.lit(">")), F.struct("n", F.substring("line", 2, 1_000_000).alias("h"))))
+    header = F.max(F.when(F.startswith("line", F.lit(">")), F.struct("n", F.substr("line", F.lit(2)).alias("h"))))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.startswith("line", F.lit(">")), F.struct("n", "line")))), lambda x: x["line"]), "")
     out = numbered.groupBy("file", "_r").agg(header.alias("h"), body.alias("sequence"))
     return out.select("file", "h.n", F.regexp_extract("h.h", r"^(\S*)", 1).alias("id"), F.regexp_extract("h.h", r"^\S*\s+(.*)$", 1).alias("description"), "sequence")
@@ -102,3 +102,13 @@ def topology(rows: DataFrame) -> DataFrame:
     locus = rows.where("line like 'LOCUS%'")
     kind = F.when(F.rlike("line", F.lit(r"\bcircular\b")), "circular").when(F.rlike("line", F.lit(r"\blinear\b")), "linear").otherwise(F.raise_error(F.concat(F.lit("no topology in "), "line")))
     return locus.select("file", F.regexp_extract("line", r"^LOCUS\s+(\S+)", 1).alias("accession"), kind.alias("topology"))
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """Entity information, tab-separated with a header; all columns as text."""
+    return spark.read.option("sep", "\t").option("header", "true").csv(path)
+
+
+def with_info(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of the information table that they don't have yet; nulls where there is none."""
+    return rows.join(table.select(key, *[c for c in table.columns if c not in rows.columns]), key, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,8 @@ def with_header_tags(records: DataFrame, tags: DataFrame, key: str = "id") -> Da
     joined = records.join(tags, key, "left")
     tag = F.concat_ws(" ", "description", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"[{c}="), F.col(c), F.lit("]"))) for c in names])
     return joined.withColumn("description", F.trim(tag)).select(*records.columns)
+
+
+def concatenate(spark: SparkSession, paths: list[str], path: str) -> None:
+    """The lines of all files, as one text table; each file's lines stay in order within its part."""
+    spark.read.text(paths).write.mode("overwrite").text(path)
