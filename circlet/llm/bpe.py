@@ -1,29 +1,31 @@
 """Byte-level BPE with reuse of content-defined chunks.
 
 A rolling hash over 16 bytes cuts texts where their content says so, hence equal passages give equal chunks wherever
-they stand. A task encodes each distinct chunk once, whichever document brings it, and keeps the ids within a bound.
-At every joint the text is encoded anew from the last boundary between pre-tokens that the joint cannot have moved, over
-a window that grows until one of its own boundaries is also a boundary of the next chunk; from there the chunk's ids
-hold. What is put together this way equals an encoding of the whole text, byte for byte of it.
-
-Chunks are shared within a task, not between tasks: an exchange of chunks and ids would move the corpus twice.
+they stand. Chunks are counted over all documents by a digest of 128 bits; one that occurs twice or more is encoded once,
+by the text with the smallest hash that has it, and its ids go to all texts that share it. Other chunks are encoded where
+they stand. At every joint the text is encoded anew from the last boundary between pre-tokens that the joint cannot have
+moved, over a window that grows until one of its own boundaries is also a boundary of the next chunk; from there the
+chunk's ids hold. What is put together this way equals an encoding of the whole text, byte for byte of it.
 
 Edge cases: null is the empty text (0 ids, the digest of the empty string); a special token's text is that token, as
-in the library, and no cut falls inside it; a text without a cut is one chunk; repeated rows give repeated results.
+in the library, and no cut falls inside it; a text without a cut is one chunk; repeated rows give repeated results;
+an empty table gives none; columns but doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from circlet.llm.common import pieces, utf8
+from circlet.llm.common import binary, discard, pieces, staged, utf8
 from circlet.llm.wordpiece import byte_letters
 
 #: Chunks are about 2 ** CHUNK_BITS bytes.
@@ -31,7 +33,6 @@ CHUNK_BITS = 11
 SPAN = 16
 #: A boundary this many bytes before an end does not depend on what follows (white space looks 1 ahead, contractions 2).
 MARGIN = 8
-KEPT_BYTES = 24_000_000
 #: Fixed value: the pattern that byte-level vocabularies of this kind split texts by.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on which no two regex engines differ, in words and gaps of fewer than 400.
@@ -73,14 +74,12 @@ class Encoder:
         digits = [str(i).encode() + b"," for i in range(len(self.bytes))]
         self.digits = np.frombuffer(b"".join(d.ljust(8, b"\0") for d in digits), np.uint8).reshape(-1, 8)
         self.kept: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.kept_bytes = 0
+        self.narrow = np.uint16 if len(self.bytes) <= 1 << 16 else np.uint32
         self.starts = np.array([len(b) > 1 and b[:1] == b" " and 32 < b[1] < 127 for b in self.bytes])
         self.plain = self._ranks()
 
     def _ranks(self):
         """The same merges in a faster encoder, if the vocabulary's ids are the merges' ranks; else nothing."""
-        import json
-
         import tiktoken
 
         model = json.loads(self.tokenizer.to_str())["model"]
@@ -103,30 +102,23 @@ class Encoder:
                 ids = np.array(self.plain.encode_ordinary(string), np.uint32)
             else:
                 ids = np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, np.uint32)
-            first, size = np.flatnonzero(self.starts[ids]), self.size[ids]
-            out.append((ids, first, (np.cumsum(size) - size)[first]))
+            out.append(self.bounded(ids))
         return out
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encodes the chunks that aren't known yet, each once."""
-        if self.kept_bytes > KEPT_BYTES:
-            self.kept.clear()
-            self.kept_bytes = 0
-        new = [c for c in dict.fromkeys(chunks) if c not in self.kept]
-        for chunk, parts in zip(new, self.encode_all(new)):
-            self.kept[chunk] = parts
-            self.kept_bytes += 6 * len(chunk) + 500
-
-    def split(self, text: bytes, places: list[int]) -> list[int]:
-        """places without those inside a special token."""
-        for mark in self.special:
-            if len(mark) > 1 and mark in text:
-                at, inside = text.find(mark), set()
-                while at >= 0:
-                    inside.update(range(at + 1, at + len(mark)))
-                    at = text.find(mark, at + len(mark))
-                places = [p for p in places if p not in inside]
-        return places
+    def bounded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, size = np.flatnonzero(self.starts[ids]), self.size[ids]
+        return ids, first, (np.cumsum(size) - size)[first]
+
+    def learn(self, chunks: list[bytes], given: dict[bytes, bytes]) -> None:
+        """The parts of these chunks: from given ids (by digest), else encoded, each once."""
+        new, self.kept = [], {}
+        for chunk in dict.fromkeys(chunks):
+            ids = given.get(xxhash.xxh3_128_digest(chunk)) if given else None
+            if ids is None:
+                new.append(chunk)
+            else:
+                self.kept[chunk] = self.bounded(np.frombuffer(ids, self.narrow).astype(np.uint32))
+        self.kept.update(zip(new, self.encode_all(new)))
 
     def join(self, text: bytes, places: list[int]) -> np.ndarray:
         """The ids of the text whose chunks begin at `places` (the first is 0)."""
@@ -171,36 +163,115 @@ class Encoder:
         wide = self.digits[ids]
         return wide[wide != 0].tobytes()[:-1]
 
-    def encode_rows(self, data: np.ndarray, offsets: np.ndarray):
-        """ids of every row."""
-        begin = cuts(data, offsets, self.bits)
-        cut = np.searchsorted(begin, offsets)
-        whole = data.tobytes()
-        rows = []
-        for r in range(len(offsets) - 1):
-            text = whole[offsets[r] : offsets[r + 1]]
-            rows.append((text, self.split(text, (begin[cut[r] : cut[r + 1]] - offsets[r]).tolist()) if text else [0]))
-        self.learn([text[a:b] for text, places in rows for a, b in zip(places, [*places[1:], len(text)])])
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray, given: dict[bytes, bytes] | None = None):
+        """ids of every row. given: ids of chunks by digest."""
+        rows = list(chunked(data, offsets, self.special, self.bits))
+        self.learn([text[a:b] for text, places in rows for a, b in zip(places, [*places[1:], len(text)])], given or {})
         for text, places in rows:
             yield text, self.join(text, places)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def special_tokens(path: str) -> list[bytes]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"].encode() for t in json.load(f).get("added_tokens", [])]
+
+
+def split(text: bytes, places: list[int], special) -> list[int]:
+    """places without those inside a special token."""
+    for mark in special:
+        if len(mark) > 1 and mark in text:
+            at, inside = text.find(mark), set()
+            while at >= 0:
+                inside.update(range(at + 1, at + len(mark)))
+                at = text.find(mark, at + len(mark))
+            places = [p for p in places if p not in inside]
+    return places
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray, special, bits: int = CHUNK_BITS):
+    """Each row's text and the places where its chunks begin."""
+    begin = cuts(data, offsets, bits)
+    cut = np.searchsorted(begin, offsets)
+    whole = data.tobytes()
+    for r in range(len(offsets) - 1):
+        text = whole[offsets[r] : offsets[r + 1]]
+        yield text, split(text, (begin[cut[r] : cut[r + 1]] - offsets[r]).tolist(), special) if text else [0]
+
+
+def digested(data: np.ndarray, offsets: np.ndarray, special, bits: int):
+    """Each row's chunks as (digest, chunk)."""
+    for text, places in chunked(data, offsets, special, bits):
+        yield [(xxhash.xxh3_128_digest(text[a:b]), text[a:b]) for a, b in zip(places, [*places[1:], len(text)])] if text else []
+
+
+def counted(rows: DataFrame, path: str, bits: int) -> DataFrame:
+    """rows(k, text) -> staged (k, c, n): the digests of each text's chunks and how often they occur; k is the text's hash."""
+
+    def run(batches):
+        special = special_tokens(path)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            k = batch.column("k").to_numpy()
+            for a, b in pieces(offsets):
+                found = [[c for c, _ in row] for row in digested(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], special, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k[a:b], [len(x) for x in found])), binary([c for x in found for c in x])], ["k", "c"])
+
+    return staged(rows.mapInArrow(run, "k long, c binary").groupBy("k", "c").agg(F.count("*").alias("n")))
+
+
+def encoded_once(rows: DataFrame, owners: DataFrame, path: str, bits: int) -> DataFrame:
+    """rows(k, text), owners(k, cs: digests) -> (c, ids) of these chunks. Rows of one k meet in one task, which encodes a chunk once."""
+
+    def run(batches):
+        encoder, done = Encoder(path, bits), set()
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            wanted = batch.column("cs").to_pylist()
+            for a, b in pieces(offsets):
+                todo = {}
+                for want, row in zip(wanted[a:b], digested(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], encoder.special, bits)):
+                    want = set(want) - done
+                    todo |= {c: chunk for c, chunk in row if c in want}
+                done |= todo.keys()
+                ids = [parts[0].astype(encoder.narrow).tobytes() for parts in encoder.encode_all(list(todo.values()))]
+                yield pa.RecordBatch.from_arrays([binary(list(todo)), binary(ids)], ["c", "ids"])
+
+    return rows.select("k", "text").join(owners.hint("shuffle_hash"), "k").mapInArrow(run, "c binary, ids binary")
+
+
+def with_shared(rows: DataFrame, path: str, bits: int) -> DataFrame:
+    """rows(k, text, ...) with known: digests and ids of the text's chunks that occur elsewhere too (null for none)."""
+    each = counted(rows, path, bits)
+    shared = each.groupBy("c").agg(F.sum("n").alias("n"), F.min("k").alias("owner")).where("n > 1").select("c", "owner")
+    hits = staged(each.select("k", "c").join(shared, "c").select("k", "c", (F.col("k") == F.col("owner")).alias("own")))
+    discard(each)
+    owners = hits.where("own").groupBy("k").agg(F.collect_list("c").alias("cs"))
+    # Once more by chunk, should a task that was split have encoded one twice.
+    ids = staged(encoded_once(rows, owners, path, bits).groupBy("c").agg(F.min("ids").alias("ids")))
+    known = hits.join(ids, "c").groupBy("k").agg(F.collect_list(F.struct("c", "ids")).alias("known"))
+    return rows.join(known.hint("shuffle_hash"), "k", "left")
+
+
+def digests(docs: DataFrame, path: str, bits: int = CHUNK_BITS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256. path: the tokenizer's file on every executor."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, bits)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            known = batch.column("known")
             n, one, two = [], [], []
             for a, b in pieces(offsets):
-                for _, ids in encoder.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                flat = known.slice(a, b - a).flatten()
+                given = dict(zip(flat.field("c").to_pylist(), flat.field("ids").to_pylist()))
+                for _, ids in encoder.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], given):
                     n.append(len(ids))
                     one.append(hashlib.sha256(encoder.listed(ids)).hexdigest())
                     two.append(hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("k"))
+    return with_shared(rows, path, bits).select("doc_id", "text", "known").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -466,6 +466,24 @@ def test_bpe(docs, none, rows):
     assert sorted(back["text"]) == sorted(r[1] or "" for r in rows)
 
 
+@has_tokenizer
+def test_shared_chunks_are_encoded_once(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(VOCABULARY) + str(rng.randint(0, 99)) for _ in range(n))
+    passage = say(400)
+    texts = [say(50) + passage + say(30), passage, say(5) + passage, say(300), passage, say(9) + passage[2000:], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    bits = 7
+    shared = bpe.counted(rows, queries.BPE_FILE, bits).groupBy("c").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n > 1")
+    once = [r.c for r in bpe.encoded_once(rows, shared.groupBy("k").agg(F.collect_list("c").alias("cs")), queries.BPE_FILE, bits).collect()]
+    assert len(once) == len(set(once)) == shared.count() > 5
+    encoder = bpe.Encoder(queries.BPE_FILE)
+    for r in bpe.digests(docs, queries.BPE_FILE, bits).collect():
+        ids = encoder.tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 @has_tokenizer
 @pytest.mark.parametrize("bits", [2, 4, 11])
 def test_chunked_encoding_is_exact(bits):
