@@ -1,6 +1,6 @@
 """Annotation files as typed DataFrames: line tables with file and line number, and parsers over them.
 
-`lines` reads whole folders; every parser takes a line table (file, n, line), so text from any source parses alike.
+`lines` reads whole folders, large files in splits; every parser takes a line table (file, n, line), so text from any source parses alike.
 """
 
 from __future__ import annotations
@@ -16,13 +16,34 @@ HIT_COLUMNS = (
     "Alignment length", "Accession of closest sequence", "Name of closest sequence", "HMM id", "HMM description",
 )
 HIT_DROPPED = ("Protein identifier", "HMM id", "HMM description")
+#: Running counts within a file go by blocks of so many line numbers.
+BLOCK = 1 << 20
 
 
 def lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, n, line) of every file below path whose name fits the pattern; a file's lines keep their order within it."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    named = whole.select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("ls"))
-    return named.select("file", F.posexplode("ls").alias("n", "line"))
+    """(file, n, line) of every file below path whose name fits the pattern.
+
+    Large files are read in splits. n grows with a line's place in its file: it counts from 0 in the first split and from
+    past the byte where it begins in any other, which no line before it reaches, as a line takes at least one byte.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    rows = read.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    place = F.row_number().over(W.partitionBy("file", "_at").orderBy("_i"))
+    return rows.select("file", (F.col("_at") + place - (F.col("_at") == 0).cast("int")).alias("n"), "line")
+
+
+def with_count(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """rows(file, n, line) with name: for how many lines of the file up to this one flag holds, and name_all: for how many of the file.
+
+    Sums run within blocks of BLOCK numbers; the windows over a file are over one row per block.
+    """
+    rows = rows.withColumns({"_b": F.floor(F.col("n") / BLOCK), "_f": flag.cast("long")})
+    file = W.partitionBy("file")
+    total = F.sum("_s").over(file.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    blocks = rows.groupBy("file", "_b").agg(F.sum("_f").alias("_s")).select(F.col("file").alias("_file"), F.col("_b").alias("_block"), (total - F.col("_s")).alias("_before"), F.sum("_s").over(file).alias(f"{name}_all"))
+    own = F.sum("_f").over(W.partitionBy("file", "_b").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("_own", own).join(blocks, F.col("file").eqNullSafe(F.col("_file")) & (F.col("_b") == F.col("_block")))
+    return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_b", "_f", "_own", "_file", "_block", "_before")
 
 
 def entity_of(file: str = "file") -> Column:
@@ -41,11 +62,13 @@ def non_empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataF
 
 def gff(rows: DataFrame, types: tuple[str, ...] | None = ("CDS", "ncRNA")) -> DataFrame:
     """(file, n, contig, type, start, end, strand, attributes map) of the first contig, up to ##FASTA; start from 0."""
-    by = W.partitionBy("file").orderBy("n")
-    rows = rows.withColumn("_fasta", F.max(F.startswith("line", F.lit("##FASTA")).cast("int")).over(by)).where("_fasta = 0 and line <> '' and line not like '#%'")
+    feature = (F.col("line") != "") & ~F.startswith("line", F.lit("#"))
+    contig = F.get(F.split("line", "\t"), F.lit(0))
+    # One row per file, aggregated before it is shuffled.
+    bounds = rows.groupBy(F.col("file").alias("_file")).agg(F.min(F.when(F.startswith("line", F.lit("##FASTA")), F.col("n"))).alias("_end"), F.min(F.when(feature, F.struct("n", contig.alias("contig")))).alias("_first"))
+    rows = rows.where(feature).join(bounds, F.col("file").eqNullSafe(F.col("_file"))).where((F.col("_end").isNull() | (F.col("n") < F.col("_end"))) & (contig == F.col("_first.contig")))
     c = F.split("line", "\t")
     out = rows.select("file", "n", F.get(c, F.lit(0)).alias("contig"), F.get(c, F.lit(2)).alias("type"), (F.get(c, F.lit(3)).cast("long") - 1).alias("start"), F.get(c, F.lit(4)).cast("long").alias("end"), F.when(F.get(c, F.lit(6)) == "-", -1).otherwise(1).alias("strand"), F.str_to_map(F.get(c, F.lit(8)), F.lit(";"), F.lit("=")).alias("attributes"))
-    out = out.withColumn("_first", F.first("contig").over(by)).where("contig = _first").drop("_first")
     return out.where(F.col("type").isin(*types)) if types else out
 
 
@@ -54,19 +77,18 @@ def clstr(rows: DataFrame, drop_last: bool = False) -> DataFrame:
 
     The representative's line ends with *, its similarity is 100. drop_last leaves the file's last cluster out.
     """
-    by = W.partitionBy("file").orderBy("n")
-    rows = rows.where("line <> ''").withColumn("cluster", F.sum(F.startswith("line", F.lit(">")).cast("int")).over(by) - 1)
+    rows = with_count(rows.where("line <> ''"), F.startswith("line", F.lit(">")), "_c").withColumn("cluster", F.col("_c") - 1)
     if drop_last:
-        rows = rows.withColumn("_last", F.max("cluster").over(W.partitionBy("file"))).where("cluster < _last").drop("_last")
+        rows = rows.where("cluster < _c_all - 1")
     members = rows.where("line not like '>%'").select("file", "n", "cluster", F.regexp_extract("line", r">(\S*?)\.\.\.", 1).alias("protein"), F.when(F.endswith(F.rtrim("line"), F.lit("*")), 100.0).otherwise(F.regexp_extract("line", r"([0-9.]+)%\s*$", 1).try_cast("double")).alias("similarity"), F.endswith(F.rtrim("line"), F.lit("*")).alias("_rep"))
-    chosen = F.first(F.when(F.col("_rep"), F.col("protein")), ignorenulls=True).over(W.partitionBy("file", "cluster").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return members.select("file", "cluster", "protein", "similarity", chosen.alias("representative"))
+    chosen = members.groupBy(F.col("file").alias("_file"), F.col("cluster").alias("_cluster")).agg(F.min(F.when(F.col("_rep"), F.struct("n", "protein"))).alias("_chosen"))
+    out = members.join(chosen, F.col("file").eqNullSafe(F.col("_file")) & (F.col("cluster") == F.col("_cluster")))
+    return out.select("file", "cluster", "protein", "similarity", F.col("_chosen.protein").alias("representative"))
 
 
 def fasta(rows: DataFrame) -> DataFrame:
     """(file, n, id, description, sequence) of every record."""
-    by = W.partitionBy("file").orderBy("n")
-    numbered = rows.withColumn("_r", F.sum(F.startswith("line", F.lit(">")).cast("int")).over(by)).where("_r > 0")
+    numbered = with_count(rows, F.startswith("line", F.lit(">")), "_r").where("_r > 0")
     header = F.max(F.when(F.startswith("line", F.lit(">")), F.struct("n", F.substr("line", F.lit(2)).alias("h"))))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.startswith("line", F.lit(">")), F.struct("n", "line")))), lambda x: x["line"]), "")
     out = numbered.groupBy("file", "_r").agg(header.alias("h"), body.alias("sequence"))

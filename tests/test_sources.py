@@ -33,6 +33,37 @@ def test_fasta_names_and_contigs(spark, tmp_path):
     assert [tuple(r) for r in readers.contig_map(lines).collect()] == [("k1", "e2")]
 
 
+def test_large_files_parse_alike_in_splits(spark, tmp_path, monkeypatch):
+    """Splits of a few bytes and blocks of a few lines against one split: blank lines, long lines and lines at the borders."""
+    (tmp_path / "e").mkdir()
+    clusters = "".join(f">Cluster {i}\n" + "".join(f"{j}\t20aa, >p{i}x{j}... {'*' if j == i % 3 else 'at 91.25%'}\n" for j in range(3)) + "\n" * (i % 4) for i in range(60))
+    records = "\n" * 200 + "".join(f">r{i} {'long ' * (i % 7)}\n" + "\n".join("ACGT"[: k % 4 + 1] * (i % 5 + 1) for k in range(6)) + "\n\n" for i in range(50))
+    features = "".join(f"{'c1' if i % 5 else 'c2'}\tx\tCDS\t{i + 1}\t{i + 9}\t.\t+\t0\tID=g{i}\n#\n" for i in range(1, 80)) + "##FASTA\nc1\tx\tCDS\t1\t2\t.\t+\t0\tID=no\n"
+    for name, text in (("a.clstr", clusters), ("a.faa", records), ("a.gff", features), ("b.gff", GFF), ("b.clstr", CLSTR)):
+        (tmp_path / "e" / name).write_text(text)
+
+    def parsed():
+        at = lambda name: readers.lines(spark, str(tmp_path), name)
+        lines = [r.line for r in at("a.faa").orderBy("n").collect()]
+        assert lines == records.split("\n")[:-1] and at("a.faa").select("n").distinct().count() == len(lines)
+        tables = readers.clstr(at("*.clstr")), readers.clstr(at("*.clstr"), True), readers.fasta(at("*.faa")).drop("n"), readers.gff(at("*.gff")).drop("n").withColumn("attributes", F.to_json("attributes"))
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    whole = parsed()
+    monkeypatch.setattr(readers, "BLOCK", 7)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "97")
+        splits = spark.read.text(str(tmp_path / "e" / "a.faa")).rdd.getNumPartitions()
+        parts = parsed()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert splits > 10 and parts == whole
+    assert len(whole[0]) == 183 and len(whole[1]) == 179 and len(whole[2]) == 50 and len(whole[3]) == 64 + 2
+
+
 def test_report_lists_become_text(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"])], "i int, genes array<string>")
     sinks.write_tsv(df, str(tmp_path / "r"))
