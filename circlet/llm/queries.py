@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from circlet.llm import ann, bpe, licenses, maxscore, mixing, quality, simhash, suffix_dedup, url_filter, wordpiece
-
+from circlet.llm import ann, bpe, decontaminate, hard_negatives, licenses, maxscore, mixing, periodic, quality, simhash, suffix_dedup, url_filter, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -64,6 +63,18 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op11_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_token_counts,
         op10_bpe_digests,
+        op11_benchmark_hits,
+        op12_periodic_runs,
+        op13_hard_negatives,
     )
 }
 #: op1: sizes and draws, targets as the level that shares the excess over caps, and the prefix of the ranking by odds ratio.
@@ -101,4 +115,21 @@ OP2_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, str
 OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
  SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL}
+#: op11: windows of the items, and of the documents in every length that an item's window has, met as strings.
+OP11_SQL = """WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ ix AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM iw WHERE len(w) > 0),
+ win AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS s FROM ix), ks AS (SELECT DISTINCT k FROM win), strs AS (SELECT DISTINCT k, s FROM win),
+ dx AS (SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM dw, ks WHERE len(w) >= k),
+ oc AS (SELECT dx.r, dx.i, dx.k, strs.s FROM dx JOIN strs ON strs.k = dx.k AND strs.s = array_to_string(w[i + 1 : i + dx.k], ' ')),
+ ht AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM oc) GROUP BY 1),
+ it AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT oc.r, win.item_id::VARCHAR AS id FROM oc JOIN win ON win.k = oc.k AND win.s = oc.s WHERE item_id IS NOT NULL) GROUP BY 1)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(ht.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(ht.n, 0) > 0 AS contaminated FROM dw LEFT JOIN ht ON ht.r = dw.r LEFT JOIN it ON it.r = dw.r"""
+#: op13: every row with a number of its own, scores of all anchors with all other rows.
+OP13_SQL = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+ p AS (SELECT a, anchor_id, b AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5),
+ n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.p ORDER BY score DESC, vec_id, b) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (a, anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op8_exact_topk": OP8_SQL, "op11_benchmark_hits": OP11_SQL, "op13_hard_negatives": OP13_SQL}
