@@ -220,11 +220,13 @@ def one_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     A null doc_id is a member like any other; rows equal in doc_id and text count as one.
     """
+    own = {c: f"_own{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     lead = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("lead"))
     keep = staged(lead.select(F.col("lead.doc_id").alias("_id"), F.col("lead.key").alias("_key")))
-    out = docs.withColumn("_k", F.xxhash64("text")).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
+    out = docs.withColumnsRenamed(own).withColumn("_k", F.xxhash64("text")).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
     repeated = marks.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").count() > keep.count()
-    return (out.dropDuplicates(["doc_id", "_k"]) if repeated else out).select(docs.columns)
+    out = out.dropDuplicates(["doc_id", "_k"]) if repeated else out
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:

@@ -6,19 +6,22 @@
 2. Contexts. The documents that have such grams cut out, per anchor, the text that its windows cover (at most 80 bytes)
    and the symbols on either side of it. Occurrences of one context are one leaf of the tree, however many they are.
 3. Common-prefix interval trees. The contexts of a gram meet in one task and form a suffix array of window starts with
-   the lengths of common prefixes; a stack scan yields its intervals of 50 bytes or more, and those whose occurrences
-   differ to the left are maximal repeats. Each repeat gives all its occurrences, not neighbours only, the smallest
-   document of the group. A gram of over SPLIT contexts is cut into contexts of one window each, which tasks can share.
+   the lengths of common prefixes; a stack scan yields its intervals of 50 bytes or more, a leaf of several occurrences
+   among them, and those whose occurrences differ to the left are maximal repeats. Each repeat gives all its
+   occurrences, not neighbours only, the smallest document of the group; nothing else does. A gram of over SPLIT contexts
+   is cut into contexts of one window each, which tasks can share: a passage that very many documents share ends in as many
+   different contexts, and all of them would meet in one task otherwise.
 4. `spans`: documents take over their windows' smallest documents; what is larger than one is cut from the text.
 5. `repeat_groups`: a repeat that goes on beyond a context is put together again. Its first window has occurrences that
    differ to the left and its last one to the right, so all runs of repeated text between two such places are candidates,
    and those of equal content meet by hash of 128 bits: the maximal repeats of the whole corpus, at full length, with all
    occurrences. They cover the bytes that the intervals around anchors cover, hence `spans` doesn't need them.
 
-Edge cases: null is the empty text; a text under 50 bytes stays whole; rows with a null doc_id come after all others and
-don't remove from each other, as rows that repeat a doc_id don't; equal rows give equal results and are one document of
-`repeat_groups`, where repeats within a document count; an empty table gives none; extra columns are carried along by
-`without_repeats` and not read otherwise.
+Edge cases: null is the empty text; a text under 50 bytes stays whole; rows with a null doc_id come after all others (and
+so does the doc_id 2^63 - 1, which counts as null) and don't remove from each other, as rows that repeat a doc_id don't;
+rows that repeat a doc_id and a text are searched once and get equal results, and are one document of `repeat_groups`,
+where repeats within a document count; an empty table gives none; extra columns, whatever their names, are carried along
+by `without_repeats` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -77,6 +80,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("t"), "text")
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """keyed rows, each (d, t) once; only the texts of those that repeat are moved."""
+    repeated = small(rows.groupBy("d", "t").count().where("count > 1").select("d", "t"))
+    if not repeated.limit(1).count():
+        return rows
+    return rows.join(repeated, ["d", "t"], "left_anti").union(rows.join(repeated, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]))
+
+
 def grams(rows: DataFrame) -> DataFrame:
     """(g, d, t) of every anchor."""
 
@@ -142,11 +153,12 @@ def common_bytes(x: np.ndarray) -> np.ndarray:
     return n
 
 
-def suffix_array(text: np.ndarray, at: np.ndarray, rest: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, at: np.ndarray, rest: np.ndarray, group: np.ndarray, least: int, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the suffixes of `rest` bytes at places of a padded text, within groups.
 
-    Suffixes whose first `least` bytes no other one has are in no interval; those are told by a hash and left out before
-    the sort, which is by the bytes themselves. lcp[i] is of suffixes i - 1 and i, 0 where it is below `least`.
+    Suffixes whose first `least` bytes no other one has are in no interval, unless they are a leaf that is one itself;
+    those are told by a hash and left out before the sort, which is by the bytes themselves. lcp[i] is of suffixes i - 1
+    and i, 0 where it is below `least`.
     """
     head = words(text, at, rest, 0, least)
     h = group.astype(np.uint64)
@@ -155,7 +167,7 @@ def suffix_array(text: np.ndarray, at: np.ndarray, rest: np.ndarray, group: np.n
         h ^= h >> np.uint64(29)
     by = np.argsort(h)
     same = h[by][1:] == h[by][:-1]
-    again = np.sort(by[np.append(same, False) | np.append(False, same)]) if len(by) else by
+    again = np.sort(by[np.append(same, False) | np.append(False, same) | leaf[by]]) if len(by) else by
     keys = [group[again], *(w[again] for w in head)]
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
@@ -177,23 +189,31 @@ def suffix_array(text: np.ndarray, at: np.ndarray, rest: np.ndarray, group: np.n
     return again, lcp
 
 
-def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int, leaf: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Intervals (first, last, length) of a suffix array whose suffixes share `length` >= least symbols and differ before.
 
     lcp[i]: common prefix of suffixes i - 1 and i (lcp[0] = 0); left: the symbol before each suffix of sa, -1 if
-    there is none that can be known. The stack holds the open intervals of the tree, each with its left symbol, -1
-    once two differ.
+    there is none that can be known; leaf: the length of each suffix that occurs several times, and so is an interval by
+    itself, 0 of the others. The stack holds the open intervals of the tree, each with its left symbol, -1 once two differ.
     """
-    out = []
+    leaf = np.zeros(len(lcp), np.int64) if leaf is None else leaf
+    near = np.append(lcp >= least, False)
+    lone = np.flatnonzero((leaf >= least) & (left < 0) & ~near[:-1] & ~near[1:])
+    out = [(i, i, n) for i, n in zip(lone.tolist(), leaf[lone].tolist())]
     runs = np.flatnonzero(lcp >= least)
     if not len(runs):
         return out
     breaks = np.flatnonzero(np.diff(runs) > 1)
     for a, b in zip(runs[np.concatenate([[0], breaks + 1])].tolist(), runs[np.concatenate([breaks, [len(runs) - 1]])].tolist()):
-        lengths, symbols = lcp[a : b + 1].tolist(), left[a - 1 : b + 1].tolist()
+        lengths, symbols, leaves = lcp[a : b + 1].tolist(), left[a - 1 : b + 1].tolist(), leaf[a - 1 : b + 1].tolist()
         stack: list[list[int]] = []  # length, first, symbol
         for i, length in enumerate([*lengths, 0]):
             first, symbol = a - 1 + i, symbols[i]
+            if leaves[i] >= least:
+                if stack and stack[-1][0] == leaves[i]:
+                    stack[-1][2] = stack[-1][2] if stack[-1][2] == symbol and symbol >= 0 else -1
+                else:
+                    stack.append([leaves[i], first, symbol])
             while stack and stack[-1][0] > length:
                 top = stack.pop()
                 top[2] = top[2] if top[2] == symbol and symbol >= 0 else -1
@@ -221,12 +241,15 @@ class Contexts:
         self.at = (np.cumsum(size) - size)[self.of] + self.start
         self.rest = size[self.of] - self.start
         self.group = np.unique(pdf["g"].to_numpy(), return_inverse=True)[1][self.of]
-        self.order, self.lcp = suffix_array(self.text, self.at, self.rest, self.group, least)
+        # What begins within a context has one symbol before it, so only a whole context can differ to the left by itself.
+        self.leaf = (self.start == 0) & (pdf["m"] < pdf["most"]).to_numpy()[self.of]
+        self.order, self.lcp = suffix_array(self.text, self.at, self.rest, self.group, least, self.leaf)
 
     def repeats(self, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal repeats as occurrences (repeat, suffix, length). What begins with its context may go on before it and counts."""
         before = np.where(self.start > 0, self.text[np.maximum(self.at - 1, 0)].astype(np.int64), -1)[self.order]
-        found = np.array(maximal_repeats(self.order, self.lcp, before, least), np.int64).reshape(-1, 3)
+        leaf = np.where(self.leaf, self.rest, 0)[self.order]
+        found = np.array(maximal_repeats(self.order, self.lcp, before, least, leaf), np.int64).reshape(-1, 3)
         count = found[:, 1] - found[:, 0] + 1
         number = np.repeat(np.arange(len(found)), count)
         entry = np.repeat(found[:, 0], count) + (np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count))
@@ -236,11 +259,12 @@ class Contexts:
 def settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Contexts (g, k, c, m, most) of whole grams -> runs of windows (lo, hi) with the smallest document m that has them.
 
-    Runs that no document of the context can lose are left out.
+    A window has its own last document to begin with, and others from the tree's intervals alone. Runs that no document
+    of the context can lose are left out.
     """
     here = Contexts(pdf)
     m, most = pdf["m"].to_numpy(), pdf["most"].to_numpy()
-    smallest = np.repeat(m, here.windows)
+    smallest = np.repeat(most, here.windows)
     number, suffix, length = here.repeats()
     if len(number):
         group = np.full(int(number.max()) + 1, LAST)
@@ -337,7 +361,7 @@ def trees(found: DataFrame, work, columns: str, split: int = SPLIT) -> DataFrame
 
 def spans(docs_keyed: DataFrame, split: int = SPLIT) -> DataFrame:
     """(d, t, spans): per document with removed bytes, its removed ranges (a, z), which may overlap."""
-    found = found_contexts(docs_keyed)
+    found = found_contexts(once(docs_keyed))
     members = found.select("g", "k", "d", "t", "a")
     runs = trees(found, settle, "m long", split)
     ranges = members.join(runs, ["g", "k"]).where("m < d").select("d", "t", F.struct((F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi") + LENGTH).alias("z")).alias("s"))
@@ -411,7 +435,7 @@ def removed(offsets: np.ndarray, ranges: pa.ListArray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs with _sx_spans."""
+    """docs with _sx_spans; docs has no column named like it, nor _sx_d or _sx_t."""
     ranges = spans(keyed(docs), split)
     d, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     out = docs.withColumns({"_sx_d": d, "_sx_t": t}).join(ranges.select(F.col("d").alias("_sx_d"), F.col("t").alias("_sx_t"), F.col("spans").alias("_sx_spans")), ["_sx_d", "_sx_t"], "left")
@@ -453,7 +477,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out += [None if null[i + n] else whole[x:y].decode("utf-8", "ignore") for n, (x, y) in enumerate(zip(left[:-1].tolist(), left[1:].tolist()))]
         return pa.array(out, pa.string())
 
-    out = with_spans(docs).withColumn("text", kept("text", "_sx_spans")).drop("_sx_spans")
+    own = {c: f"_own{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = with_spans(docs.withColumnsRenamed(own)).withColumn("text", kept("text", "_sx_spans"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn(own["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
