@@ -94,3 +94,24 @@ def test_a_row_does_not_stay_for_another_of_its_id(spark, one):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     got = one(spark.createDataFrame([(5, a, "x"), (5, b, "x"), (1, b, "x")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, b), (5, a)]
+
+
+@pytest.mark.parametrize("chunk", [512, 5])
+def test_buckets_of_many_nodes_are_compared_whole(spark, chunk):
+    """One bucket of sets of all similarities, dealt out in chunks or not, against all pairs."""
+    rng = random.Random(8)
+    sets = {}
+    for i in range(40):
+        base = [1000 * (i % 3) + k for k in range(60)]
+        sets[i] = sorted(rng.sample(base, rng.randint(48, 60)))
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if alike(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    left = spark.createDataFrame([(0, 7, i, len(sets[i]), i) for i in sets], "band int, bucket long, node long, n long, root long")
+    links = near_copies.bucket_links(left, spark.createDataFrame(list(sets.items()), "node long, hashes array<long>"), 0.8, chunk)
+    parts = {r.node: r.component for r in near_copies.connected_components(links).collect()}
+    assert {i: parts.get(i, i) for i in sets} == root
