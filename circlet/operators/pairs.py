@@ -230,22 +230,45 @@ def run_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in BLOCKS.split(", ")})
 
 
-def in_blocks(rows: DataFrame, work, schema: str, group: int) -> DataFrame:
-    """work on every two groups of about `group` circles that meet, a group with itself among them."""
-    rows = cut(rows)
-    groups = max(1, -(-rows.count() // group))
+def in_blocks(rows: DataFrame, work, schema: str, group: int, within: Column | None = None) -> DataFrame:
+    """work on every two groups of about `group` circles that meet, a group with itself among them.
+
+    within: a value of each entity; only those of the same value meet, so other pairs are never made.
+    """
+    rows = cut(rows.withColumn("_in", F.lit(0) if within is None else within))
+    groups = max(1, -(-(rows.groupBy("_in").count().agg(F.max("count")).first()[0] or 0) // group))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("entity"), F.lit(groups)))
     met = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
     met = met.withColumns({"_i": F.least("grp", "_with"), "_j": F.greatest("grp", "_with")}).drop("_with")
     # A block whose second group is empty is not one of the first group with itself.
-    full = met.groupBy("_i", "_j")
-    return full.applyInPandas(lambda key, pdf: work(pdf) if key[0] == key[1] or pdf["grp"].nunique() == 2 else work(pdf.iloc[:0]), schema)
+    full = met.groupBy("_in", "_i", "_j")
+    return full.applyInPandas(lambda key, pdf: work(pdf) if key[1] == key[2] or pdf["grp"].nunique() == 2 else work(pdf.iloc[:0]), schema)
 
 
-def pair_figures(kept: DataFrame, seq: DataFrame | None = None, order: bool = False, runs: bool = False, group: int = GROUP) -> DataFrame:
-    """(u, v, FIGURES) of all pairs. order: with shared adjacencies and components; runs: with indels and, given seq, duplicates."""
+def pair_figures(kept: DataFrame, seq: DataFrame | None = None, order: bool = False, runs: bool = False, group: int = GROUP, within: Column | None = None) -> DataFrame:
+    """(u, v, FIGURES) of all pairs (of equal `within`). order: with shared adjacencies and components; runs: with indels and, given seq, duplicates."""
     schema = "u long, v long, " + ", ".join(f"{c} long" for c in FIGURES)
-    return in_blocks(circle_rows(kept, seq), lambda pdf: figures(pdf, order, runs), schema, group)
+    return in_blocks(circle_rows(kept, seq), lambda pdf: figures(pdf, order, runs), schema, group, within)
+
+
+def measured(kept: DataFrame, measure, seq: DataFrame | None = None, group: int = GROUP, within: Column | None = None) -> DataFrame:
+    """(u, v, d, d_norm: by the largest d) of all pairs by a distance of the caller's.
+
+    measure(one, a, two) -> a number for every circle of the Side two: how far circle a of the Side one is from it. It is
+    called within the tasks, once per circle and block, whichever of the two has the smaller entity.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "d": np.zeros(0)})]
+        for one, a, two, wanted in meetings(pdf):
+            own = np.full(len(two.n), one.entity[a])
+            far = np.asarray(measure(one, a, two), float)
+            parts.append(pd.DataFrame({"u": np.minimum(own, two.entity)[wanted], "v": np.maximum(own, two.entity)[wanted], "d": far[wanted]}))
+        return pd.concat(parts)
+
+    rows = cut(in_blocks(circle_rows(kept, seq), work, "u long, v long, d double", group, within))
+    top = rows.agg(F.max("d").alias("top"))
+    return rows.join(F.broadcast(top)).select("u", "v", "d", F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(F.lit(0.0)).alias("d_norm"))  # one row
 
 
 def jaccard_of(rows: DataFrame) -> DataFrame:
@@ -254,9 +277,9 @@ def jaccard_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_union", F.col("n_u") + F.col("n_v") - F.col("inter")).withColumns({"jaccard": share, "distance": 1 - share})
 
 
-def jaccard_pairs(kept: DataFrame) -> DataFrame:
-    """(u, v, inter, n_union, jaccard, distance) of all pairs."""
-    return jaccard_of(pair_figures(kept)).select("u", "v", "inter", "n_union", "jaccard", "distance")
+def jaccard_pairs(kept: DataFrame, within: Column | None = None) -> DataFrame:
+    """(u, v, inter, n_union, jaccard, distance) of all pairs (of equal `within`)."""
+    return jaccard_of(pair_figures(kept, within=within)).select("u", "v", "inter", "n_union", "jaccard", "distance")
 
 
 def exclusive_blocks(kept: DataFrame, pairs: DataFrame | None = None, group: int = GROUP) -> DataFrame:
@@ -298,11 +321,11 @@ def two_break(kept: DataFrame) -> DataFrame:
     return pair_figures(kept, order=True).select("u", "v", F.col("inter").alias("m"), "components", reversal().alias("reversal"))
 
 
-def pair_components(seq: DataFrame, kept: DataFrame, group: int = GROUP) -> DataFrame:
-    """All six components and the Jaccard distance of every pair."""
+def pair_components(seq: DataFrame, kept: DataFrame, group: int = GROUP, sized: bool = False) -> DataFrame:
+    """All six components and the Jaccard distance of every pair; sized: with size, the number of both sides' tokens."""
     rows = jaccard_of(pair_figures(kept, seq, order=True, runs=True, group=group))
     own = {"mutation": F.lit(0).cast("long"), "reversal": reversal(), "transposition": transposition()}
-    return rows.select("u", "v", *[own.get(c, F.col(c)).alias(c) for c in COMPONENTS], F.col("distance").alias("jaccard_distance"))
+    return rows.select("u", "v", *[own.get(c, F.col(c)).alias(c) for c in COMPONENTS], F.col("distance").alias("jaccard_distance"), *([(F.col("n_u") + F.col("n_v")).alias("size")] if sized else []))
 
 
 def totals(pairs: DataFrame) -> DataFrame:

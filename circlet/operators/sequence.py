@@ -45,42 +45,60 @@ def edge_counts(seq: DataFrame, least: int = 1) -> DataFrame:
     return counts.where(F.col("n") >= least) if least > 1 else counts
 
 
+#: Rows of one entity that are worked on together; an entity of more is dealt out in ranges of so many.
+RANGE = 1 << 16
+
+
+def following(seq: DataFrame, k: int, circular: bool = True, span: int = RANGE) -> DataFrame:
+    """(entity, ord, n, ahead): every row with the entity's size and the tokens from it on, k of them, round the circle.
+
+    Without circular the tokens end with the sequence, so the last rows have fewer. An entity's rows are dealt out by
+    ranges of `span` places; a range also gets the k - 1 rows behind its end, and the last one the first rows of
+    the circle behind the last (again and again, if the circle is shorter than that). No task or value holds a whole circle.
+    """
+    span = max(span, k)
+    size = seq.groupBy("entity").agg((F.max("ord") + 1).cast("long").alias("n"))
+    rows = seq.select("entity", F.col("ord").cast("long").alias("ord"), "token").join(size, "entity")
+    places = F.sequence("ord", F.col("n") + (k - 2), "n") if circular and k > 1 else F.array("ord")
+    # A place is in its own range if that has rows, and behind the end of the range before.
+    ranges = lambda p: F.array(F.struct(F.floor(p / span).alias("part"), p.alias("at")), F.struct((F.floor(p / span) - 1).alias("part"), p.alias("at")))
+    wanted = lambda x: (x["part"] >= 0) & (x["part"] * span < F.col("n")) & (x["at"] < (x["part"] + 1) * span + (k - 1))
+    dealt = rows.select("entity", "n", "token", F.explode(F.filter(F.flatten(F.transform(places, ranges)), wanted)).alias("x")).select("entity", "n", "token", "x.*")
+    ahead = F.collect_list(F.struct("token")).over(W.partitionBy("entity", "part").orderBy("at").rowsBetween(0, k - 1))
+    out = dealt.withColumn("ahead", ahead).where((F.col("at") < F.col("n")) & (F.floor(F.col("at") / span) == F.col("part")))
+    return out.select("entity", F.col("at").alias("ord"), "n", F.col("ahead.token").alias("ahead"))
+
+
 def threemers(seq: DataFrame) -> DataFrame:
     """(mer, n): an anchor with the tokens two steps before and after it on the circle, the smaller of those first."""
-    n = F.size("tokens")
-    mers = circles(seq).select(F.explode(F.transform("tokens", lambda x, i: F.concat_ws("-", F.least(F.get("tokens", (i + n - 2) % n), F.get("tokens", (i + 2) % n)), x, F.greatest(F.get("tokens", (i + n - 2) % n), F.get("tokens", (i + 2) % n))))).alias("mer"))
+    before, anchor, after = (F.get("ahead", F.lit(i)) for i in (0, 2, 4))
+    mers = following(seq, 5).select(F.concat_ws("-", F.least(before, after), anchor, F.greatest(before, after)).alias("mer"))
     return mers.groupBy("mer").agg(F.count("*").alias("n"))
 
 
-def circles(seq: DataFrame) -> DataFrame:
-    """(entity, tokens): each entity's tokens in order, as one array."""
-    return seq.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]).alias("tokens"))
-
-
-def circular_windows(seq: DataFrame, k_min: int, k_max: int | None = None) -> DataFrame:
+def circular_windows(seq: DataFrame, k_min: int, k_max: int | None = None, span: int = RANGE) -> DataFrame:
     """(entity, k, start_ord, chunk): every window of k tokens of every circle.
 
     A circle of n >= k tokens has n windows of k; a shorter one has 2n - k (none below 0), read off twice its length.
     """
-    size = F.size("tokens")
-    starts = F.when(size >= F.col("k"), size).otherwise(F.greatest(2 * size - F.col("k"), F.lit(0)))
-    rows = circles(seq).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.lit(k_max or k_min)))).withColumn("n", starts).where("n > 0")
-    rows = rows.withColumn("start_ord", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select("entity", "k", "start_ord", F.slice(F.concat("tokens", "tokens"), F.col("start_ord") + 1, F.col("k")).alias("chunk"))
+    rows = following(seq, k_max or k_min, span=span).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.lit(k_max or k_min))))
+    rows = rows.where((F.col("n") >= F.col("k")) | (F.col("ord") < 2 * F.col("n") - F.col("k")))
+    return rows.select("entity", "k", F.col("ord").alias("start_ord"), F.slice("ahead", F.lit(1), F.col("k")).alias("chunk"))
+
+
+def holders_of(rows: DataFrame, motif: list[str], starts: Column) -> DataFrame:
+    """(entity, found): whether one of the rows that count as starts has the motif or its reverse ahead."""
+    both = [F.array(*map(F.lit, m)) for m in (motif, motif[::-1])]
+    hit = starts & ((F.col("ahead") == both[0]) | (F.col("ahead") == both[1]))
+    return rows.groupBy("entity").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("found"))
 
 
-def has_motif(seq: DataFrame, motif: list[str]) -> DataFrame:
-    """(entity, found): whether the circle holds the motif, forwards or backwards."""
-    both = [motif, motif[::-1]]
-    size, twice = F.size("tokens"), F.concat("tokens", "tokens")
-    hit = F.exists(F.sequence(F.lit(0), size - 1), lambda i: F.slice(twice, i + 1, F.lit(len(motif))).isin(*[F.array(*map(F.lit, m)) for m in both]))
-    return circles(seq).select("entity", hit.alias("found"))
+def has_motif(seq: DataFrame, motif: list[str], span: int = RANGE) -> DataFrame:
+    """(entity, found): whether the circle holds the motif, forwards or backwards; a shorter circle is read off twice its length."""
+    k = len(motif)
+    return holders_of(following(seq, k, span=span), motif, (F.col("n") >= k) | (F.col("ord") < 2 * F.col("n") - k))
 
 
-def holds_region(seq: DataFrame, region: list[str]) -> DataFrame:
+def holds_region(seq: DataFrame, region: list[str], span: int = RANGE) -> DataFrame:
     """(entity, found): whether the linear sequence holds the region, forwards or backwards."""
-    k = len(region)
-    size = F.size("tokens")
-    both = [F.array(*map(F.lit, m)) for m in (region, region[::-1])]
-    hit = F.when(size >= k, F.exists(F.sequence(F.lit(0), size - k), lambda i: F.slice("tokens", i + 1, F.lit(k)).isin(*both))).otherwise(F.lit(False))
-    return circles(seq).select("entity", hit.alias("found"))
+    return holders_of(following(seq, len(region), circular=False, span=span), region, F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from circlet.functions import tails
 from circlet.functions.order import with_running
 
 
@@ -124,3 +125,36 @@ def mann_whitney(rows: DataFrame, grp: str, value: str, one) -> DataFrame:
     s = ranked.agg(F.sum(F.when(first, F.col("c") * F.col("rank"))).alias("r"), F.sum(F.when(first, F.col("c")).otherwise(0)).alias("n1"), F.sum(F.when(~first, F.col("c")).otherwise(0)).alias("n2"))
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     return s.select(u.alias("u"), (u / (F.col("n1") * F.col("n2"))).alias("auc"), "n1", "n2")
+
+
+def pearson_test(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(r, n, p, p_greater): Pearson's r with its two-sided p-value and the one against a positive correlation; null below 3 pairs."""
+    both = pearson(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y)
+    p = both.withColumn("p", tails.correlation_two_sided("r", "n"))
+    return p.withColumn("p_greater", F.when(F.col("r") >= 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2))
+
+
+def kruskal_test(rows: DataFrame, grp: str, value: str, more_than: int = 0) -> DataFrame:
+    """(h, n, groups, p) over the groups of more than `more_than` rows."""
+    large = rows.groupBy(grp).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).select(grp)
+    out = kruskal(rows.join(large, grp, "left_semi") if more_than else rows, grp, value)
+    return out.withColumn("p", tails.chi_square("h", F.col("groups").cast("double") - 1))
+
+
+def mann_whitney_test(rows: DataFrame, grp: str, value: str, one) -> DataFrame:
+    """(u, auc, n1, n2, z, p): two-sided by the normal approximation, with ties and continuity corrected for."""
+    ranked = average_ranks(rows, grp, value)
+    t = F.col("ties").cast("double")
+    ties = ranked.select(value, "ties").distinct().agg(F.sum(t * t * t - t).alias("t"))
+    both = mann_whitney(rows, grp, value, one).join(F.broadcast(ties))  # one row each
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("t") / (n * (n - 1))))
+    z = (F.greatest("u", n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / spread
+    return both.withColumn("z", z).withColumn("p", F.least(F.lit(1.0), F.when(F.col("z") < 0, F.lit(1.0)).otherwise(tails.normal_two_sided("z")))).drop("t")
+
+
+def frequent_annotations(rows: DataFrame, annotation: str, more_than: int = 4, unknown: str = "hypothetical protein") -> DataFrame:
+    """(annotation, n) of annotations that say something and occur more than `more_than` times, most frequent first, ties by name."""
+    named = rows.where((F.col(annotation) != "") & (F.col(annotation) != unknown))
+    return named.groupBy(F.col(annotation).alias("annotation")).agg(F.count("*").alias("n")).where(F.col("n") > more_than).orderBy(F.desc("n"), "annotation")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from circlet.functions.lineage import cut
+from circlet.functions.order import with_running
 from circlet.functions.text import abbreviated, without_last_word
-from circlet.operators import annotate, cluster, graph, pairs, regions, sequence, stats
+from circlet.operators import agreement, annotate, cluster, graph, pairs, regions, sequence, stats, weights
 from circlet.plans.tables import key_circles, key_sets, supplier_parts, table, type_circles
 from circlet.sources import readers
 from circlet.streaming.windows import windowed_counts
@@ -191,13 +193,13 @@ def component_weights(spark, d):
 
 @query(WEIGHTS + ", ba AS (SELECT *, " + " + ".join(f"{c} * (SELECT weight FROM wt WHERE component = '{c}')" for c in pairs.COMPONENTS if c != "recombination") + " AS base FROM pc), af AS (SELECT u, v, base + CASE WHEN recombination > 0 THEN 1.1 * max(base) OVER () * jaccard_distance ELSE 0 END AS d FROM ba) SELECT u, v, round(d, 6) AS d, round(d / max(d) OVER (), 9) AS d_norm FROM af")
 def pair_affinity(spark, d):
-    rows = components_table(spark, d)
+    rows = cut(components_table(spark, d))
     return pairs.affinity(rows, pairs.totals(rows)).withColumns({"d": F.round("d", 6), "d_norm": F.round("d_norm", 9)})
 
 
 def jaccard_distances(spark, d):
     """Distances by gene content, at most 1, as the region and cluster queries take them."""
-    rows = pairs.jaccard_pairs(key_sets(spark, d)).select("u", "v", F.col("distance").alias("d"))
+    rows = cut(pairs.jaccard_pairs(key_sets(spark, d)).select("u", "v", F.col("distance").alias("d")))
     return rows.join(F.broadcast(rows.agg(F.max("d").alias("top")))).select("u", "v", "d", (F.col("d") / F.col("top")).alias("d_norm"))
 
 
@@ -232,10 +234,25 @@ def distinct_reports(spark, d):
     return out.select("query", F.col("index").cast("long").alias("index"), text("chunk").alias("chunk"), "n", F.round("avg_distance", 9).alias("avg_distance"))
 
 
-@query("WITH a AS (SELECT l_orderkey AS r, list(DISTINCT l_partkey) AS g, list(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1), x AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS p FROM lineitem), c AS (SELECT DISTINCT i.r AS i, h.r AS h FROM x i JOIN x h ON i.p = h.p AND i.r <> h.r), n AS (SELECT DISTINCT c.i FROM c JOIN a s ON s.r = c.i JOIN a b ON b.r = c.h WHERE list_has_all(b.g, s.g) AND list_has_all(b.e, s.e) AND (NOT list_has_all(s.g, b.g) OR NOT list_has_all(s.e, b.e) OR b.r < s.r)) SELECT r AS region, r IN (SELECT i FROM n) AS nested FROM a")
+#: Windows of keys in order; hosts as lists; then the regions that have hosts one after the other, with the gene lists gone so far.
+NESTED = """WITH RECURSIVE al AS (SELECT user_id AS e, list(json_extract_string(props, '$.k') ORDER BY ts, event_id) AS t FROM events GROUP BY 1),
+ w AS (SELECT DISTINCT e, list_slice(list_concat(t, t), i + 1, i + k) AS c FROM (SELECT e, t, k, unnest(range(0, CASE WHEN len(t) >= k THEN len(t) ELSE greatest(2 * len(t) - k, 0) END)) AS i FROM al, (SELECT unnest(range(2, 5)) AS k))),
+ h AS (SELECT DISTINCT e, CASE WHEN c <= list_reverse(c) THEN c ELSE list_reverse(c) END AS g FROM w),
+ a AS (SELECT row_number() OVER (ORDER BY array_to_string(g, ',')) - 1 AS r, g, list(e) AS e FROM h GROUP BY g HAVING count(*) > 1),
+ x AS (SELECT DISTINCT r, unnest(g) AS p FROM a), c AS (SELECT i.r AS i, o.r AS h FROM x i JOIN x o ON i.p = o.p AND i.r <> o.r GROUP BY 1, 2),
+ ed AS (SELECT DISTINCT c.i, b.g AS hg FROM c JOIN a s ON s.r = c.i JOIN a b ON b.r = c.h WHERE b.g <> s.g AND list_has_all(b.g, s.g) AND list_has_all(s.e, b.e)),
+ eh AS (SELECT i, a.g, list(hg) AS hs, row_number() OVER (ORDER BY i) AS k FROM ed JOIN a ON a.r = i GROUP BY 1, 2),
+ st AS (SELECT 0::BIGINT AS k, -1::BIGINT AS i, false AS nested, []::VARCHAR[][] AS gone UNION ALL
+ SELECT k, i, n, CASE WHEN n THEN list_append(gone, g) ELSE gone END FROM (SELECT eh.k, eh.i, eh.g, gone, len(list_filter(eh.hs, lambda x: NOT list_contains(gone, x))) > 0 AS n FROM st JOIN eh ON eh.k = st.k + 1))"""
+
+
+@query(NESTED + " SELECT array_to_string(g, ',') AS genes, r AS region, coalesce(nested, false) AS nested FROM a LEFT JOIN st ON st.i = a.r")
 def nested_regions(spark, d):
-    orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("region")).agg(F.sort_array(F.collect_set("l_partkey")).alias("genes"), F.collect_set("l_suppkey").alias("entities"))
-    return regions.nested_regions(orders)
+    """Windows of two to four keys that users share, in the order of their text."""
+    shared = regions.shared_regions(key_circles(spark, d), 2, 4, 2).select(F.array_join("key", ",").alias("text"), F.col("key").alias("genes"), "entities")
+    rows = with_running(shared.withColumn("one", F.lit(1)), "text", "one", "number").select("text", (F.col("number") - 1).alias("region"), "genes", "entities")
+    rows = cut(rows)
+    return regions.nested_regions(rows).join(rows.select("region", F.col("text").alias("genes")), "region").select("genes", "region", "nested")
 
 
 # Annotation
@@ -569,9 +586,10 @@ def silhouette(spark, d):
 
 def hundreds(spark, d):
     """Users by hundreds of numbers, groups that stay as large when users become more, and the distances within."""
-    members = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct().withColumn("grp", F.floor(F.col("node") / 100))
-    rows = jaccard_distances(spark, d)
-    return rows.withColumn("grp", F.floor(F.col("u") / 100)).where(F.col("grp") == F.floor(F.col("v") / 100)).select("grp", "u", "v", "d"), members
+    hundred = lambda c: F.floor(F.col(c) / 100)
+    members = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct().withColumn("grp", hundred("node"))
+    rows = pairs.jaccard_pairs(key_sets(spark, d), hundred("entity")).select(hundred("u").alias("grp"), "u", "v", F.col("distance").alias("d"))
+    return cut(rows), members
 
 
 @query()
@@ -589,10 +607,17 @@ def single_linkage(spark, d):
     return cluster.tree_merges(*hundreds(spark, d))
 
 
+@query()
+def tree_text(spark, d):
+    """Single-linkage trees of the hundreds, as text."""
+    rows, members = hundreds(spark, d)
+    return cluster.tree_text(cluster.tree_merges(rows, members), members)
+
+
 def shares(spark, d):
     """Similarities of users by gene content, above 0, and their tokens."""
-    kept = key_sets(spark, d)
-    rows = pairs.jaccard_pairs(kept).where("inter > 0").select("u", "v", F.col("jaccard").alias("similarity"))
+    kept = cut(key_sets(spark, d))
+    rows = cut(pairs.jaccard_pairs(kept).where("inter > 0").select("u", "v", F.col("jaccard").alias("similarity")))
     return rows, kept.select(F.col("entity").alias("node"), "token")
 
 
@@ -679,3 +704,89 @@ def cluster_score(spark, d):
 def modularity_score(spark, d):
     members = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("cluster"))
     return cluster.modularity_score(customer_links(spark, d), members, 0.01, of_nodes=True).select(F.round("q", 9).alias("q"), F.round("score", 9).alias("score"))
+
+
+# Tests with their tails, agreement, communities, likelihood
+
+#: The density of r without correlation, over a grid of 20,001 places 14 standard errors either way, by Simpson's rule.
+PEARSON_TAIL = """WITH k AS (SELECT corr({x}, {y}) AS r, count(*) AS n FROM {t}), g AS (SELECT i, abs(r) + i * least(1 - abs(r), 14 / sqrt(n)) / 20000 AS a, i * least(1.0, 14 / sqrt(n)) / 20000 AS b, least(1 - abs(r), 14 / sqrt(n)) AS wa, least(1.0, 14 / sqrt(n)) AS wb, n FROM k, (SELECT unnest(range(0, 20001)) AS i)),
+ f AS (SELECT CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c, wa, wb, CASE WHEN a >= 1 THEN 0 ELSE exp((n - 4) / 2.0 * ln(1 - a * a)) END AS fa, CASE WHEN b >= 1 THEN 0 ELSE exp((n - 4) / 2.0 * ln(1 - b * b)) END AS fb FROM g),
+ p AS (SELECT sum(c * fa) * max(wa) / (sum(c * fb) * max(wb)) AS p FROM f)"""
+
+
+@query(PEARSON_TAIL.format(x="c_acctbal", y="c_nationkey", t="customer") + " SELECT round(r, 9) AS r, n, round(p, 6) AS p, round(CASE WHEN r >= 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS p_greater FROM k, p")
+def pearson_test(spark, d):
+    out = stats.pearson_test(table(spark, d, "customer"), "c_acctbal", "c_nationkey")
+    return out.select(F.round("r", 9).alias("r"), "n", F.round("p", 6).alias("p"), F.round("p_greater", 6).alias("p_greater"))
+
+
+CUSTOMER_RANKS = "WITH v AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY x) AS t FROM v)"
+
+
+#: Of five groups: the chi-square tail with four degrees of freedom is closed.
+@query(CUSTOMER_RANKS + ", s AS (SELECT g, sum(rk) AS sr, count(*) AS k FROM r GROUP BY 1), q AS (SELECT sum(t::DOUBLE * t - 1) AS t FROM r), h AS (SELECT (12.0 / (sum(k)::DOUBLE * (sum(k) + 1)) * sum(sr::DOUBLE * sr / k) - 3 * (sum(k) + 1)) / (1 - max(q.t) / (sum(k)::DOUBLE * sum(k) * sum(k) - sum(k))) AS h, sum(k)::BIGINT AS n, count(*) AS groups FROM s, q) SELECT round(h, 4) AS h, n, groups, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM h")
+def kruskal_test(spark, d):
+    return stats.kruskal_test(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", 4).select(F.round("h", 4).alias("h"), "n", "groups", F.round("p", 6).alias("p"))
+
+
+@query(CUSTOMER_RANKS + """, s AS (SELECT sum(rk) FILTER (g = 'BUILDING')::DOUBLE AS sr, (count(*) FILTER (g = 'BUILDING'))::DOUBLE AS n1, (count(*) FILTER (g <> 'BUILDING'))::DOUBLE AS n2, sum(t::DOUBLE * t - 1) AS t FROM r), u AS (SELECT *, sr - n1 * (n1 + 1) / 2 AS u FROM s),
+ z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u),
+ e AS (SELECT any_value(z) AS z, sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * i / 20000) ** 2)) * any_value(z) / 20000 / 3 * sqrt(2 / pi()) AS inside FROM z, (SELECT unnest(range(0, 20001)) AS i))
+ SELECT round(u, 1) AS u, round(u / (n1 * n2), 9) AS auc, n1::BIGINT AS n1, n2::BIGINT AS n2, round(z.z, 6) AS z, round(CASE WHEN z.z < 0 THEN 1 ELSE 1 - inside END, 6) AS p FROM z, e""")
+def mannwhitney_test(spark, d):
+    out = stats.mann_whitney_test(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", "BUILDING")
+    return out.select(F.round("u", 1).alias("u"), F.round("auc", 9).alias("auc"), "n1", "n2", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query("SELECT p_name AS annotation, count(*) AS n FROM (SELECT CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'hypothetical protein' ELSE p_type END AS p_name FROM part) WHERE p_name NOT IN ('', 'hypothetical protein') GROUP BY 1 HAVING count(*) > 4")
+def annotation_filter(spark, d):
+    name = F.when(F.col("p_size") % 5 == 0, F.lit("")).when(F.col("p_size") % 5 == 1, F.lit("hypothetical protein")).otherwise(F.col("p_type"))
+    return stats.frequent_annotations(table(spark, d, "part").select(name.alias("name")), "name")
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS c FROM orders GROUP BY 1, 2), sa AS (SELECT a, sum(c) AS s FROM c GROUP BY 1), sb AS (SELECT b, sum(c) AS s FROM c GROUP BY 1), n AS (SELECT sum(c) AS n FROM c),
+ mi AS (SELECT sum(c / n * ln(c * n / (sa.s * sb.s))) AS mi FROM c JOIN sa USING (a) JOIN sb USING (b), n), ha AS (SELECT -sum(s / n * ln(s / n)) AS h FROM sa, n), hb AS (SELECT -sum(s / n * ln(s / n)) AS h FROM sb, n),
+ k AS (SELECT sa.s AS x, sb.s AS y, n, unnest(range(greatest(1, sa.s + sb.s - n)::BIGINT, least(sa.s, sb.s)::BIGINT + 1)) AS k FROM sa, sb, n),
+ em AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS emi FROM k)
+ SELECT round(mi, 9) AS mi, round(emi, 9) AS emi, round(ha.h, 9) AS h_a, round(hb.h, 9) AS h_b, round((mi - emi) / ((ha.h + hb.h) / 2 - emi), 6) AS ami, n::BIGINT AS n FROM mi, em, ha, hb, n""")
+def label_agreement(spark, d):
+    out = agreement.mutual_information(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
+    return out.select(*[F.round(c, 9).alias(c) for c in ("mi", "emi", "h_a", "h_b")], F.round("ami", 6).alias("ami"), "n")
+
+
+@query(ORACLE_SQL["silhouette"].replace("bo AS (SELECT u, v, d FROM dn UNION ALL SELECT v, u, d FROM dn)", "df AS (SELECT u, v, CASE WHEN 1 - d_norm < 0.1 THEN 1e20 ELSE d END AS d FROM dn), bo AS (SELECT u, v, d FROM df UNION ALL SELECT v, u, d FROM df)"))
+def cut_silhouette(spark, d):
+    labels = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg((F.min("event_id") % 3).alias("label"))
+    rows = jaccard_distances(spark, d).withColumn("similarity", 1 - F.col("d_norm"))
+    return agreement.cut_silhouette(rows, labels, "similarity", 0.1).withColumn("score", F.round("score", 6))
+
+
+def customer_graph(spark, d):
+    return cut(customer_links(spark, d).withColumn("w", F.lit(1.0)))
+
+
+@query()
+def louvain_communities(spark, d):
+    return graph.communities(customer_graph(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@query()
+def community_ranks(spark, d):
+    """Whether degrees differ between communities of more than four nodes."""
+    edges = customer_graph(spark, d)
+    members = graph.communities(edges, edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    degree = graph.degrees(edges.toDF("a", "b", "w")).join(members, "node")
+    return stats.kruskal_test(cut(degree), "community", "degree", 4)
+
+
+@query()
+def likeliest_weights(spark, d):
+    rows = cut(pairs.pair_components(key_circles(spark, d), key_sets(spark, d), sized=True))
+    return weights.max_likelihood(rows)
+
+
+@query()
+def core_aggregate_names(spark, d):
+    rows = supplier_parts(spark, d)
+    members = rows.select(F.col("entity").alias("node"), F.col("grp").alias("cluster")).distinct()
+    return cluster.core_aggregate(rows.select(F.col("entity").alias("node"), "token"), members, 4, 3, named=True)

@@ -12,6 +12,7 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """(window_start, event_type, n, total) per tumbling window, closed once the watermark has passed it."""
-    at = F.window(F.col("ts").cast("timestamp"), width)
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    # Cast before the watermark is set: a column made of the watermarked one has none.
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
+    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

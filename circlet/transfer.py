@@ -1,9 +1,8 @@
 """The whole job: annotation folders, protein clusters and a hit table in, shared regions around hits out.
 
 Tokens are the representatives of the proteins' clusters; proteins without a cluster are left out. Distances are
-computed over the first copies of all entities' tokens; regions are searched on whole circles, over the entities that
-have hits. Two entities that share no token are not
-in the pair table; no region holds both.
+computed over the first copies of all entities' tokens, for all pairs; regions are searched on whole circles, over the
+entities that have hits.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from circlet.functions.lineage import cut
-from circlet.operators import annotate, pairs, regions, sequence
+from circlet.operators import annotate, pairs, regions, sequence, weights
 from circlet.sources import readers
 
 #: The report's columns.
@@ -40,12 +39,23 @@ def hit_tokens(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("token").agg(F.min_by("is_hit", F.struct("entity", ~F.col("is_hit"))).alias("hit")).where("hit").select(F.col("token").alias("query"))
 
 
-def find(seq: DataFrame, hits: DataFrame, names: DataFrame, k_min: int = 5, k_max: int = 9, least: int = 3, min_distance: float = 0.1) -> DataFrame:
-    """seq: circles with numbered entities; hits(entity, start, end); names(token, name). The annotated region report."""
+def learned_distances(seq: DataFrame, kept: DataFrame, learning: str) -> DataFrame:
+    """(u, v, d, d_norm) from the six components, with the weights that they teach."""
+    components = cut(pairs.pair_components(seq, kept, sized=True))
+    return pairs.affinity(components, pairs.totals(components) if learning == "ratio" else weights.max_likelihood(components))
+
+
+def find(seq: DataFrame, hits: DataFrame, names: DataFrame, k_min: int = 5, k_max: int = 9, least: int = 3, min_distance: float = 0.1, learning: str = "ratio", measure=None) -> DataFrame:
+    """seq: circles with numbered entities; hits(entity, start, end); names(token, name). The annotated region report.
+
+    learning: how components are weighed, by the ratio of all differences to theirs or by max-likelihood. measure: a
+    distance of the caller's instead of the components, see pairs.measured.
+    """
+    if learning not in ("ratio", "max-likelihood"):
+        raise ValueError(f"unknown way to learn weights: {learning}")
     seq = cut(seq)
     kept = sequence.keep_first(seq)
-    components = cut(pairs.pair_components(seq, kept))
-    distances = cut(pairs.affinity(components, pairs.totals(components)))
+    distances = cut(pairs.measured(kept, measure, seq) if measure else learned_distances(seq, kept, learning))
     searched = seq.join(hits.select("entity").distinct(), "entity", "left_semi")
     asked = hit_tokens(annotate.flag_hits(seq, hits).join(hits.select("entity").distinct(), "entity", "left_semi"))
     found = cut(regions.flagged_regions(searched, asked, distances, k_min, k_max, least, min_distance))

@@ -43,5 +43,5 @@ def test_same_as_oracle(spark, duck, name):
 
 
 def test_queries_without_sql_are_tested_elsewhere():
-    """By plain statements of their rules, in test_clusters."""
-    assert set(QUERIES) - set(ORACLE_SQL) == {"markov_clusters", "absorb_small", "core_aggregate", "upgma", "splitter", "single_linkage", "content_clusters", "grid_search"}
+    """By plain statements of their rules, in test_clusters, test_linkage and test_communities."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"markov_clusters", "absorb_small", "core_aggregate", "upgma", "splitter", "single_linkage", "tree_text", "content_clusters", "grid_search", "louvain_communities", "community_ranks", "likeliest_weights", "core_aggregate_names"}
