@@ -366,10 +366,37 @@ def flow_of(similarities: DataFrame) -> DataFrame:
     return both.select("r", "c", (F.col("w") / F.sum("w").over(W.partitionBy("c"))).alias("p"))
 
 
-def markov_clusters(similarities: DataFrame, inflation: float = 2.0, rounds: int = 100, keep: int | None = None) -> DataFrame:
-    """(node, cluster): the smallest attractor that a node's flow ends in; an error if it hasn't settled after so many rounds."""
+def settled_flow(pdf: pd.DataFrame, inflation: float, rounds: int, keep: int | None, least: float = 1e-3) -> pd.DataFrame:
+    """The steps of a whole flow as one dense matrix -> (node, cluster), or no row if it hasn't settled."""
+    names = np.unique(np.concatenate([pdf["r"].to_numpy(), pdf["c"].to_numpy()]))
+    m, mark = np.zeros((len(names), len(names))), None
+    m[np.searchsorted(names, pdf["r"].to_numpy()), np.searchsorted(names, pdf["c"].to_numpy())] = pdf["p"].to_numpy()
+    for _ in range(rounds):
+        m = (m @ m) ** inflation
+        m /= m.sum(0)
+        m[m < least] = 0
+        if keep:
+            np.put_along_axis(m, np.argsort(-m, axis=0, kind="stable")[keep:], 0.0, axis=0)
+        now = (int((m > 0).sum()), round(float((m * m).sum()), 9))
+        if now == mark:
+            return pd.DataFrame({"node": names, "cluster": names[(m > 0).argmax(0)]})
+        mark = now
+    return pd.DataFrame({"node": names[:0], "cluster": names[:0]})
+
+
+def markov_clusters(similarities: DataFrame, inflation: float = 2.0, rounds: int = 100, keep: int | None = None, block: int = NODES) -> DataFrame:
+    """(node, cluster): the smallest attractor that a node's flow ends in; an error if it hasn't settled after so many rounds.
+
+    A flow of one block of nodes goes through its rounds in one task; a larger one in steps of the table.
+    """
     flow, mark = cut(flow_of(similarities)), None
     nodes = flow.select("c").distinct().count()
+    if nodes <= block:
+        whole = lambda key, pdf: settled_flow(pdf, inflation, rounds, keep)
+        out = cut(flow.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(whole, "node long, cluster long"))
+        if nodes and not out.limit(1).count():
+            raise RuntimeError(f"flow not settled after {rounds} rounds")
+        return out
     for _ in range(rounds):
         flow = cut(markov_step(flow, inflation, keep=keep, nodes=nodes))
         now = flow.agg(F.count("*"), F.round(F.sum(F.col("p") * F.col("p")), 9)).first()

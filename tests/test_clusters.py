@@ -95,7 +95,10 @@ def test_markov_clusters(spark):
     rows = queries.user_similarities(spark, DIR).collect()
     weights = {(r.u, r.v): r.similarity for r in rows}
     nodes = sorted({n for e in weights for n in e})
-    assert collected(queries.markov_clusters(spark, DIR)) == flow_clusters(weights, nodes, 2.0)
+    want = flow_clusters(weights, nodes, 2.0)
+    assert collected(queries.markov_clusters(spark, DIR)) == want
+    # The same by steps of the table.
+    assert collected(cluster.markov_clusters(queries.user_similarities(spark, DIR), block=4)) == want
 
 
 @tables
