@@ -107,9 +107,9 @@ def test_trees(spark):
 
 
 def test_a_large_group(spark):
-    """20,000 nodes: no task holds their matrix."""
-    n = 20_000
-    near = spark.range(60_000).select(F.lit(1).cast("long").alias("grp"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("u"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n)).alias("v"), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)) / 1001).alias("d")).where("u <> v")
+    """More nodes than one task takes as a matrix."""
+    n = 1_500
+    near = spark.range(4_500).select(F.lit(1).cast("long").alias("grp"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("u"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n)).alias("v"), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)) / 1001).alias("d")).where("u <> v")
     members = spark.range(n).select(F.lit(1).cast("long").alias("grp"), F.col("id").alias("node"))
     merges = cluster.merge_table(near, members)
     assert merges.count() == n - 1 and merges.agg(F.max("size")).first()[0] == n
