@@ -9,8 +9,8 @@
    the lengths of common prefixes; a stack scan yields its intervals of 50 bytes or more, a leaf of several occurrences
    among them, and those whose occurrences differ to the left are maximal repeats. Each repeat gives all its
    occurrences, not neighbours only, the smallest document of the group; nothing else does. A gram of over SPLIT contexts
-   is cut into contexts of one window each, which tasks can share: a passage that very many documents share ends in as many
-   different contexts, and all of them would meet in one task otherwise.
+   is dealt out to tasks by longer prefixes, with the same result: a passage that very many documents share ends in as
+   many different contexts, and all of them would meet in one task otherwise.
 4. `spans`: documents take over their windows' smallest documents; what is larger than one is cut from the text.
 5. `repeat_groups`: a repeat that goes on beyond a context is put together again. Its first window has occurrences that
    differ to the left and its last one to the right, so all runs of repeated text between two such places are candidates,
@@ -41,6 +41,8 @@ LENGTH, GRAM = 50, 20
 #: Contexts of a gram that go to one task together, and of all grams of a group.
 SPLIT = 2000
 BUCKET = 4000
+#: Places of the anchor in a window that a group too large for one task is dealt out by, one after the other; the last is 1.
+STEPS = (8, 2, 1)
 LAST = (1 << 63) - 1
 
 
@@ -330,30 +332,56 @@ def in_buckets(each: DataFrame, *by: str) -> DataFrame:
     return each.withColumn("bucket", F.pmod(F.xxhash64(*by, F.lit(7)), F.lit(max(1, -(-each.count() // BUCKET)))))
 
 
+def dealt_out(held: DataFrame, crowded: DataFrame, step: int, sides: bool) -> DataFrame:
+    """Contexts of crowded groups -> their pieces, one for each range of `step` places that windows can have the anchor at.
+
+    held: (g: the group, g0, k0, whole: the context, around: place of its anchor, first, final: the group's range, and what
+    is folded). Windows are equal only if the anchor is at one place in both, and all windows of a range have the bytes
+    from the range's least distance before the anchor to its least distance behind it; those bytes and the range name the
+    new group. A piece is the text of a context's windows in the range: (g, k, c, off) with `from`, its place in the context.
+    """
+    low, c = F.col("first"), F.col("whole")
+    byte = lambda at: F.conv(F.hex(F.substring(c, at, F.lit(1))), 16, 10).cast("int")
+    rows = held.join(crowded, "g", "left_semi").withColumn("last", F.col("final"))
+    rows = rows.withColumn("first", F.explode(F.sequence(low, F.col("last"), F.lit(step)))).withColumn("final", F.least(low + step - 1, F.col("last"))).drop("last")
+    near, far = F.greatest(low, F.col("around") - F.length(c) + LENGTH), F.least(F.col("final"), F.col("around"))
+    rows = rows.withColumns({"near": near, "off": far}).where("near <= off").withColumn("from", F.col("around") - F.col("off"))
+    begin, end = F.col("from"), F.col("around") - F.col("near") + LENGTH
+    if sides:
+        rows = rows.withColumns({x: F.when(begin == 0, F.col(x)).otherwise(byte(begin)) for x in ("l_lo", "l_hi")} | {x: F.when(end == F.length(c), F.col(x)).otherwise(byte(end + 1)) for x in ("r_lo", "r_hi")})
+    shared = F.substring(c, F.col("around") - low + 1, LENGTH - F.col("final") + low)
+    rows = rows.withColumns({"g": F.xxhash64(shared, "first"), "c": F.substring(c, begin + 1, F.col("off") - F.col("near") + LENGTH)})
+    return rows.withColumn("k", F.xxhash64("c", "off")).drop("near")
+
+
 def trees(found: DataFrame, work, columns: str, split: int = SPLIT) -> DataFrame:
-    """Step 3, staged: work(contexts) -> (g, k, lo, hi, columns) about their windows, over all contexts of whole grams.
+    """Step 3, staged: work(contexts) -> (g, k, lo, hi, columns) about their windows, over all contexts of whole groups.
 
-    Grams of over `split` contexts have them cut into single windows, each with the symbols on either side, so that equal
-    windows fold before they move and their tree is dealt out by window.
+    A gram's contexts are a group to begin with. One of over `split` is dealt out by longer prefixes (`dealt_out`): windows
+    go by ranges of 8, then 2, then 1 of the 31 places that the anchor can have, each time only where a group is still too
+    large, and equal pieces fold before they move. Groups of one place are equal windows, hence one piece.
     """
     sides = "l" in found.columns
     single = {"m": F.col("d"), "most": F.col("d")} | ({"n": F.lit(1), "l_lo": F.col("l"), "l_hi": F.col("l"), "r_lo": F.col("r"), "r_hi": F.col("r")} if sides else {})
-    each = staged(found.withColumns(single).groupBy("g", "off", "c").agg(*folded(sides)).withColumn("k", F.xxhash64("c", "off")).drop("off"))
-    crowded = small(each.groupBy("g").agg(F.count("*").alias("contexts")).where(F.col("contexts") > split).select("g"))
+    facts = [*single]
+    each = staged(found.withColumns(single).groupBy("g", "off", "c").agg(*folded(sides)).withColumn("k", F.xxhash64("c", "off")))
     schema = f"g long, k long, lo long, hi long, {columns}"
     run = lambda key, pdf: work(pdf)
-    out = in_buckets(each.join(crowded, "g", "left_anti"), "g").groupBy("bucket").applyInPandas(run, schema)
-    if crowded.limit(1).count():
-        byte = lambda at: F.conv(F.hex(F.substring("c", at, F.lit(1))), 16, 10).cast("int")
-        w, final = F.col("w"), F.length("c") - LENGTH
-        wide = each.join(crowded, "g", "left_semi").withColumn("w", F.explode(F.sequence(F.lit(0), final)))
-        if sides:
-            wide = wide.withColumns({x: F.when(w == 0, F.col(x)).otherwise(byte(w)) for x in ("l_lo", "l_hi")} | {x: F.when(w == final, F.col(x)).otherwise(byte(w + LENGTH + 1)) for x in ("r_lo", "r_hi")})
-        wide = wide.withColumns({"k1": F.col("k"), "c": F.substring("c", w + 1, F.lit(LENGTH))}).withColumn("k", F.xxhash64("c"))
-        ones = staged(wide.groupBy("g", "k", "c").agg(*folded(sides)))
-        done = in_buckets(ones, "g", "k").groupBy("bucket").applyInPandas(run, schema)
-        back = done.join(wide.select("g", "k", "k1", "w"), ["g", "k"]).select("g", F.col("k1").alias("k"), w.cast("long").alias("lo"), w.cast("long").alias("hi"), *done.columns[4:])
-        out = out.union(back)
+    tree = lambda rows: in_buckets(rows, "g").groupBy("bucket").applyInPandas(run, schema)
+    large = lambda rows: small(rows.groupBy("g").agg(F.count("*").alias("contexts")).where(F.col("contexts") > split).select("g"))
+    crowded = large(each)
+    out = tree(each.join(crowded, "g", "left_anti").select("g", "k", "c", *facts))
+    held = each.select("g", F.col("g").alias("g0"), F.col("k").alias("k0"), F.col("c").alias("whole"), F.col("off").alias("around"), F.lit(0).alias("first"), F.lit(LENGTH - GRAM).alias("final"), *facts)
+    for step in STEPS:
+        if not crowded.limit(1).count():
+            break
+        parts = dealt_out(held, crowded, step, sides)
+        ones = staged(parts.groupBy("g", "k", "c").agg(*folded(sides)))
+        crowded = large(ones)
+        done = tree(ones if step == 1 else ones.join(crowded, "g", "left_anti"))
+        names = parts.select("g", "k", "g0", "k0", F.col("from").cast("long").alias("from"))
+        out = out.union(done.join(names, ["g", "k"]).select(F.col("g0").alias("g"), F.col("k0").alias("k"), (F.col("lo") + F.col("from")).alias("lo"), (F.col("hi") + F.col("from")).alias("hi"), *done.columns[4:]))
+        held = parts.select(*held.columns)
     out = staged(out)
     discard(each)
     return out
