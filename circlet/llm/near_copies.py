@@ -1,15 +1,25 @@
-"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts meet by bands of minima: a band is the combined smallest value of five hashings of the set, and two sets of
-similarity s share one of the 32 bands with a chance of 1 - (1 - s^5)^32, which is 0.999997 at 0.8. Fingerprints of 64
-bits cannot serve here: at 0.8 they are expected to differ in ten bits, so under one pair in a hundred is within a
-ball of three. Equal sets are one node from the start. Nodes that meet are compared exactly, by their whole sets: at
-first each with two centres of its band, the node that meets most others in all its bands and another one, so that
+"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by SimHash.
+
+A set has many independent 64-bit fingerprints (bits that over half of its shingles' mixed hashes have), and each half
+of one is a segment. At 0.8 a bit differs with a chance of at most 0.162 (0.1875 for four of five shingles), found by going
+through all set sizes up to 250; it tends to acos(8/9)/pi = 0.152. So ten bits of 64 differ, and balls of three bits
+around a whole fingerprint join under one pair in a hundred. Segments are therefore dealt out by their top bits (five, more
+for over a million rows, so that a group keeps its size), and within such a group balls of three bits around the low 16
+meet in the middle as in simhash: one flips at most one bit, an odd one at most two. There are as many segments as it
+takes to meet in none of them with a chance of 3 in a million (36 with five top bits; small sets have more).
+
+Nodes that meet are held against each other by their sizes and their first four fingerprints, which a pair at 0.8 passes
+but with a chance of one in a million, and which hardly any two unlike sets pass. Members of a crowded ball are tried with
+two of them first, so that copies of one text are one component soon, then members of unequal components with each other.
+A component of two or more nodes within its group is a bucket.
+
+Equal sets are one node from the start. Nodes of a bucket are compared exactly, by their whole sets: at
+first each with two centres of its bucket, the node that meets most others in all its buckets and another one, so that
 a large group of copies of one text, which meets its copies more often than they meet each other, is settled by a star;
 then, where a bucket still joins several components, all its nodes with each other. Sets move to their bucket for this
 and are compared there by products of incidence matrices, so no row per pair is made: what comes out is at most a link
-for every component. Buckets of over CHUNK nodes are dealt out, two chunks to a task. Only nodes that meet another have
-their sets written down.
+for every component. Buckets of over CHUNK nodes are dealt out, two chunks to a task, and so are groups of over CROWD
+segments. Only nodes that meet another have their sets written down.
 
 Edge cases: null or blank texts have the empty set and are copies of each other; fewer than five words are one
 shingle; a null doc_id is a document like any other (see simhash.one_of_each); an empty table gives an empty result.
@@ -17,6 +27,9 @@ shingle; a null doc_id is a document like any other (see simhash.one_of_each); a
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb, log
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,10 +41,21 @@ from circlet.llm.common import ascii_lower, discard, pieces, staged, utf8
 from circlet.llm.components import connected_components
 
 WORDS, LEAST = 5, 0.8
-BANDS, MINIMA = 32, 5
+#: The chance that a pair at LEAST meets in no segment, and that one of its bits differs; sets of at most TINY shingles: the latter.
+MISS, DIFFER, TINY, TINY_DIFFER = 3e-6, 0.162, 5, 0.1875
+#: Low bits of a segment that balls of three bits lie around; top bits that it is dealt out by, at least, and the power of two of rows to a group beyond which it takes more.
+BALL, TOP, GROUP_ROWS = 16, 5, 15
+#: Fingerprints that nodes which meet are held against each other by, and bits that may differ (TINY sets: the latter).
+HELD, FAR, TINY_FAR = 4, 72, 80
+#: Segments of one group at once, near members of a ball beyond which centres go first, and pairs or flips in memory at once.
+CROWD, CROWDED, AT_ONCE = 1 << 18, 32, 1 << 21
+#: Segments that go to one group of the shuffle, about.
+DEALT = 1 << 15
 #: Nodes of a bucket that are compared at once, and hashes of all sets that go to one group.
 CHUNK, GROUP = 512, 1 << 20
-MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS, MINIMA)).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, 512)).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+ONE = np.array([0, *(1 << i for i in range(BALL))], np.int32)
+TWO = np.array([1 << i | 1 << j for i, j in combinations(range(BALL), 2)], np.int32)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,19 +84,35 @@ def over(docs: DataFrame, words: int, columns: str, work) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "text").mapInArrow(run, schema)
 
 
-def sketch(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-    """Per set: a hash of the whole set, its size, and its bands (none for the empty set)."""
+def dealing(rows: int) -> tuple[int, int, int]:
+    """For so many rows: the top bits that segments are dealt out by, and how many segments a set has, and one of at most TINY shingles."""
+    bits = min(32 - BALL, max(TOP, (rows >> GROUP_ROWS).bit_length()))
+
+    def segments(p: float) -> int:
+        meet = (1 - p) ** bits * sum(comb(BALL, i) * p**i * (1 - p) ** (BALL - i) for i in range(4))
+        return 2 * ceil(log(MISS) / log(1 - meet) / 2)
+
+    return bits, segments(DIFFER), segments(TINY_DIFFER)
+
+
+def sketch(h: np.ndarray, n: np.ndarray, segments: int, tiny: int) -> list[pa.Array]:
+    """Per set: a hash of the whole set, its size, and its fingerprints, one for two segments (none for the empty set)."""
     full = np.flatnonzero(n)
     first = (np.cumsum(n) - n)[full]
-    mark, bands = np.zeros(len(n), np.uint64), np.zeros((len(full), BANDS), np.uint64)
+    mark, prints = np.zeros(len(n), np.uint64), np.zeros((len(n), max(segments, tiny) // 2), np.uint64)
     if len(full):
         mark[full] = np.add.reduceat((h ^ (h >> np.uint64(29))) * simhash.P2, first) ^ n[full].astype(np.uint64)
-        for b in range(BANDS):
-            for xor, times in zip(MIX[0, b], MIX[1, b]):
-                low = np.minimum.reduceat((h ^ xor) * times, first)
-                bands[:, b] = simhash._rot(bands[:, b] ^ low, 31) * simhash.P1
-    count = np.where(n > 0, BANDS, 0)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands.view(np.int64).ravel()))
+    of = np.repeat(np.arange(len(n)), n)
+    many = np.where(n > TINY, segments, tiny) // 2 * (n > 0)
+    for i in range(prints.shape[1]):
+        if i == min(segments, tiny) // 2:
+            more = many[of] > i
+            h, of = h[more], of[more]
+        mixed = (h ^ MIX[0, i]) * MIX[1, i]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * simhash.P2
+        prints[:, i] = simhash.majority(mixed ^ (mixed >> np.uint64(29)), of, len(n))
+    own = prints[np.arange(prints.shape[1]) < many[:, None]]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(own.view(np.int64)))
     return [pa.array(mark.view(np.int64)), pa.array(n.astype(np.int64)), lists]
 
 
@@ -80,6 +120,117 @@ def whole(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))]
 
 
+def linked(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Puts together the components of x and y, pair by pair: label is the smallest row of a component."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray):
+    """Pairs (i, j) with lo[i] <= j < hi[i], as arrays of about AT_ONCE pairs."""
+    i = np.flatnonzero(hi > lo)
+    ends = np.cumsum(hi[i] - lo[i])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+        count = (hi - lo)[i[a:b]]
+        yield np.repeat(i[a:b], count), np.arange(count.sum()) + np.repeat(lo[i[a:b]] - np.cumsum(count) + count, count)
+        a = b
+
+
+def ball_components(low: np.ndarray, prints: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Components (smallest row) of one group's rows: links are pairs within 3 of the low bits whose sizes and fingerprints are close.
+
+    All links count, though not all pairs are tried: those within a component that is known already are left out.
+    """
+    rows, label = len(low), np.arange(len(low))
+    if rows < 2:
+        return label
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        fit = np.minimum(n[x], n[y]) / np.maximum(n[x], n[y]) >= least
+        x, y = x[fit], y[fit]
+        far = np.where(np.minimum(n[x], n[y]) <= TINY, TINY_FAR, FAR)
+        close = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64) <= far
+        linked(label, x[close], y[close])
+
+    odd = np.flatnonzero(np.bitwise_count(low) & 1)
+    slices = min(1 << BALL, 1 << (rows * (len(ONE) + len(TWO) // 2) // (2 * AT_ONCE)).bit_length())
+    for part in range(slices):
+        flips = []
+        for own, masks in ((np.arange(rows), ONE), (odd, TWO)):
+            variant = (low[own][:, None] ^ masks).ravel()
+            here = np.flatnonzero(variant & (slices - 1) == part)
+            flips.append((variant[here].astype(np.int64), own[here // len(masks)]))
+        (near, i), (wide, j) = flips
+        count, others = np.bincount(near, minlength=1 << BALL), np.bincount(wide, minlength=1 << BALL)
+        kept, also = (count + others)[near] > 1, count[wide] > 0
+        near, i, wide, j = near[kept], i[kept], wide[also], j[also]
+        order = np.argsort(near, kind="stable")
+        near, i = near[order], i[order]
+        crowd, crowd_wide = count[near] > CROWDED, count[wide] > CROWDED
+        for turn in (1, 2) if crowd.any() else ():
+            start = np.searchsorted(near, np.arange(1 << BALL))
+            at = start + np.arange(1 << BALL) * (turn * 40503) % np.maximum(count, 1)
+            centre = i[np.minimum(at, len(i) - 1)]
+            link(i[crowd], centre[near[crowd]])
+            link(j[crowd_wide], centre[wide[crowd_wide]])
+        known = label.copy()
+        near_key, wide_key = near * rows + known[i], wide * rows + known[j]
+        order, order_wide = np.argsort(near_key), np.argsort(wide_key)
+        near, i, near_key, j, wide_key = near[order], i[order], near_key[order], j[order_wide], wide_key[order_wide]
+        at, next_ = near * rows, (near + 1) * rows
+        for keys, other, lo, hi in (
+            (near_key, i, np.searchsorted(near_key, near_key, "right"), np.searchsorted(near_key, next_)),
+            (wide_key, j, np.searchsorted(wide_key, at), np.searchsorted(wide_key, near_key)),
+            (wide_key, j, np.searchsorted(wide_key, near_key, "right"), np.searchsorted(wide_key, next_)),
+        ):
+            for x, y in ranges(lo, hi):
+                link(i[x], other[y])
+    return label
+
+
+def met(nodes: DataFrame, rows: int, least: float, crowd: int = CROWD) -> DataFrame:
+    """nodes(node, n, prints), `rows` of them at most -> staged (band, bucket, node, n): the components of segments that agree in their top bits."""
+    bits, segments, _ = dealing(rows)
+    held = [f"f{i}" for i in range(HELD)]
+    both = nodes.select("node", "n", *[F.col("prints")[i].alias(f) for i, f in enumerate(held)], F.posexplode("prints").alias("at", "print"))
+    both = both.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    cut = both.select("node", "n", *held, (2 * F.col("at") + F.col("side")).alias("band"), simhash.halves(F.col("side"), F.col("print"))[0].alias("part"))
+    cut = cut.select("node", "n", *held, "band", F.shiftright("part", 32 - bits).alias("top"), F.col("part").bitwiseAND(F.lit((1 << BALL) - 1)).cast("int").alias("low"))
+    i = j = F.lit(0).cast("bigint")
+    if rows > crowd:
+        large = cut.groupBy("band", "top").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("band", "top", F.ceil(2 * F.col("m") / crowd).alias("chunks"))
+        cut = cut.join(large, ["band", "top"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        cut = cut.withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), "chunks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        i, j = F.least("i", "j"), F.greatest("i", "j")
+    cut = cut.select("node", "n", *held, "band", F.xxhash64("band", "top", i, j).alias("block"), "low")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        for _, own in pdf.groupby("block", sort=False):
+            n, node = own["n"].to_numpy(), own["node"].to_numpy()
+            label = ball_components(own["low"].to_numpy(), np.ascontiguousarray(own[held].to_numpy()).view(np.uint64), n, least)
+            of = np.flatnonzero(np.bincount(label, minlength=len(n))[label] > 1)
+            smallest = node.copy()
+            np.minimum.at(smallest, label, node)
+            out.append(pd.DataFrame({"band": own["band"].to_numpy()[of], "bucket": smallest[label[of]], "node": node[of], "n": n[of]}))
+        return pd.concat(out)
+
+    grouped = cut.groupBy(F.pmod("block", F.lit(max(1, rows * segments // DEALT))).alias("grp"))
+    found = grouped.applyInPandas(run, "band int, bucket long, node long, n long")
+    return staged(found.distinct() if rows > crowd else found)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """pairs(a, b) -> staged (a, b) of those whose sets are alike."""
     found = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -183,11 +334,11 @@ def alike_components(meets: DataFrame, sets: DataFrame, least: float) -> DataFra
 def rooted(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """docs(doc_id, text) -> staged (doc_id, key, root) of every row: key is the text's hash, root its group of near copies."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = staged(over(docs, words, "node long, n long, bands array<long>", sketch))
-    nodes = rows.groupBy("node").agg(F.max(F.struct("n", "bands")).alias("s")).select("node", "s.*")
-    bands = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = bands.groupBy("band", "bucket").count().where("count > 1").select("band", "bucket")
-    meets = staged(bands.join(shared, ["band", "bucket"], "left_semi").select("band", "bucket", "node", "n"))
+    count = docs.count()
+    _, segments, tiny = dealing(count)
+    rows = staged(over(docs, words, "node long, n long, prints array<long>", lambda h, n: sketch(h, n, segments, tiny)))
+    nodes = rows.groupBy("node").agg(F.max(F.struct("n", "prints")).alias("s")).select("node", "s.*")
+    meets = met(nodes, count, least)
     one = rows.join(meets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = docs.join(one.select("key"), "key", "left_semi").dropDuplicates(["key"])
     wanted = over(texts, words, "hashes array<long>", whole).select("key", "hashes")

@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays.
+    """Of every group of near copies (five-word shingles, met by SimHash, Jaccard 0.8 or more) the document with the smallest doc_id stays.
 
     Nulls come last; of rows with that doc_id, the one whose text has the smallest hash; of equal rows, one.
     """
@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", keep_quality),
-    ("near_copies", one_of_each_group),
+    ("simhash_near_dedup", one_of_each_group),
     ("suffix_array_dedup", without_repeats),
     ("mix_sources", mix),
     ("bpe_encode", encode),
