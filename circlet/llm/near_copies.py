@@ -18,8 +18,8 @@ first each with two centres of its bucket, the node that meets most others in al
 a large group of copies of one text, which meets its copies more often than they meet each other, is settled by a star;
 then, where a bucket still joins several components, all its nodes with each other. Sets move to their bucket for this
 and are compared there by products of incidence matrices, so no row per pair is made: what comes out is at most a link
-for every component. Buckets of over CHUNK nodes are dealt out, two chunks to a task, and so are groups of over CROWD
-segments. Only nodes that meet another have their sets written down.
+for every component. Buckets of over CHUNK nodes are dealt out, two chunks (of four times as many nodes, where
+the sets are small) to a task, but no two of the bucket's largest component; groups of over CROWD segments are, too. Only nodes that meet another have their sets written down.
 
 Edge cases: null or blank texts have the empty set and are copies of each other; fewer than five words are one
 shingle; a null doc_id is a document like any other (see simhash.one_of_each); an empty table gives an empty result.
@@ -33,7 +33,7 @@ from math import ceil, comb, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from circlet.llm import simhash
@@ -279,9 +279,19 @@ def joined(roots: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
 def bucket_links(left: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
     """left(band, bucket, node, n, root) -> staged (a, b): links between roots whose nodes are alike, found bucket by bucket."""
     at = ["band", "bucket"]
-    large = left.groupBy(*at).agg(F.count("*").alias("m")).where(F.col("m") > chunk).select(*at, F.ceil(F.col("m") / chunk).alias("chunks"))
-    rows = left.join(large, at, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), "chunks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    # Nodes of the bucket's largest component, `main`, needn't be compared with each other: their chunks meet those of all others only.
+    per = left.groupBy(*at, "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    all_ = per.groupBy(*at).agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "root")).alias("top")).where(F.col("m") > chunk)
+
+    def chunks(m: Column, n: Column) -> Column:
+        return F.least(F.ceil(m / chunk), F.greatest(F.ceil(m / (4 * chunk)), F.ceil(n / GROUP))).cast("bigint")
+
+    others, own = chunks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")), chunks(F.col("top.m"), F.col("top.n"))
+    large = all_.select(*at, F.col("top.root").alias("main"), others.alias("others"), own.alias("own"))
+    rows = left.join(large, at, "left").withColumn("others", F.coalesce("others", F.lit(1))).withColumn("own", F.coalesce("own", F.lit(0)))
+    main, spot = F.coalesce(F.col("root") == F.col("main"), F.lit(False)), F.xxhash64("node", F.lit(3))
+    rows = rows.withColumn("i", F.when(main, F.col("others") + F.pmod(spot, "own")).otherwise(F.pmod(spot, "others")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1 + F.when(main, 0).otherwise(F.col("own")))))
     rows = staged(rows.select(F.xxhash64(*at, F.least("i", "j"), F.greatest("i", "j")).alias("block"), *at, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "n", "root"))
     groups = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // GROUP))
     met = rows.join(sets, "node").withColumn("grp", F.pmod("block", F.lit(groups)))

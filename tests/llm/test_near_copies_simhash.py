@@ -109,3 +109,20 @@ def test_groups_dealt_out_lose_no_meeting(spark, crowd):
                 if close and a >> 32 - bits == b >> 32 - bits and ((a ^ b) & 65535).bit_count() <= 3:
                     want.add((band, x, y))
     assert want and want <= together
+
+
+@pytest.mark.parametrize("chunk", [512, 10])
+def test_a_settled_component_is_not_compared_with_itself(spark, monkeypatch, chunk):
+    """A bucket of one large component and few other nodes: every link is found, in rows that grow with its size only."""
+    base = list(range(100))
+    sets = {i: base[: 90 + i % 11] + [1000 + i] for i in range(200)} | {i: [5000 * i + k for k in range(50)] for i in range(200, 206)}
+    sets |= {i: base[:84] + [2000 + i] for i in range(206, 209)}
+    left = [(0, 7, i, len(s), 0 if i < 200 else i) for i, s in sets.items()]
+    made, here = [], near_copies.staged
+    monkeypatch.setattr(near_copies, "staged", lambda df: made.append(here(df)) or made[-1])
+    counts = []
+    monkeypatch.setattr(near_copies, "discard", lambda df: counts.append(df.count()))
+    links = near_copies.bucket_links(spark.createDataFrame(left, "band int, bucket long, node long, n long, root long"), spark.createDataFrame(list(sets.items()), "node long, hashes array<long>"), 0.8, chunk)
+    parts = {r.node: r.component for r in near_copies.connected_components(links).collect()}
+    assert {i for i in parts if parts[i] == 0} == {206, 207, 208} and len(parts) == 3
+    assert max(counts[:1]) <= 200 + 9 * (1 + -(-200 // chunk))
