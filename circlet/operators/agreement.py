@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from circlet.functions.lineage import cut
-from circlet.operators.cluster import silhouette
-
-#: Fixed value: the distance of pairs whose similarity is below the threshold.
-FAR = 1e20
+from circlet.operators.cluster import FAR, silhouette
 
 
 def log_factorials(n: np.ndarray) -> np.ndarray:
